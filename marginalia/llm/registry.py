@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from . import decontamination, licenses, quality_rules
+from .decontamination import op3_decontamination
+from .licenses import op2_license_scan
 from .pii import op4_pii
+from .quality_rules import op1_quality_rules
 from .sharding import op8_sharding
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_license_scan": op2_license_scan,
+    "op3_decontamination": op3_decontamination,
     "op4_pii": op4_pii,
     "op8_sharding": op8_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_quality_rules": quality_rules.oracle(),
+    "op2_license_scan": licenses.oracle(),
+    "op3_decontamination": decontamination.oracle(),
+}
