@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from . import decontamination, licenses, quality_rules
 from .decontamination import op3_decontamination
+from .language_id import op7_language_id
 from .licenses import op2_license_scan
 from .pii import op4_pii
+from .quality_classifier import op10_quality_classifier
 from .quality_rules import op1_quality_rules
 from .sharding import op8_sharding
 
@@ -14,7 +16,9 @@ QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op3_decontamination": op3_decontamination,
     "op4_pii": op4_pii,
+    "op7_language_id": op7_language_id,
     "op8_sharding": op8_sharding,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL = {
