@@ -10,6 +10,7 @@ from .pii import op4_pii
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import op1_quality_rules
 from .sharding import op8_sharding
+from .simhash import op9_simhash
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op7_language_id": op7_language_id,
     "op8_sharding": op8_sharding,
+    "op9_simhash": op9_simhash,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
