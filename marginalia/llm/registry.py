@@ -11,12 +11,14 @@ from .quality_classifier import op10_quality_classifier
 from .quality_rules import op1_quality_rules
 from .sharding import op8_sharding
 from .simhash import op9_simhash
+from .substring_dedup import op5_substring_dedup
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_license_scan": op2_license_scan,
     "op3_decontamination": op3_decontamination,
     "op4_pii": op4_pii,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_language_id": op7_language_id,
     "op8_sharding": op8_sharding,
     "op9_simhash": op9_simhash,
