@@ -45,15 +45,13 @@ def train(docs: DataFrame, label: str, per_label: int = 1200, per_doc: int = 4)
     return ByteCNN(labels).fit([bytes(r["window"]) for r in rows], [labels.index(r["label"]) for r in rows])
 
 
-def score(docs: DataFrame, model: ByteCNN, columns: str, name: str = "probabilities") -> DataFrame:
-    """Each row's ``columns`` (a DDL list, beside text) with the label probabilities of its whole text."""
+def score(docs: DataFrame, model: ByteCNN, kinds: str, name: str = "probabilities") -> DataFrame:
+    """The same rows (``kinds`` is their schema) with the label probabilities of the whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c.split()[0] for c in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(shared.value.documents((t or "").encode() for t in batch["text"].to_pylist()))
-            kept = [batch[c] for c in names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array([p.tolist() for p in found], pa.list_(pa.float64()))], [*names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([p.tolist() for p in found], pa.list_(pa.float64()))], [*batch.schema.names, name])
 
-    return docs.select(*names, "text").mapInArrow(run, f"{columns}, {name} array<double>")
+    return docs.mapInArrow(run, f"{kinds}, {name} array<double>")

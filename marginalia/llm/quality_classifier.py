@@ -5,7 +5,7 @@ filter's largest value in a chunk feeds a softmax, and the chunks' probabilities
 averaged into one. The network is fitted to a bounded sample of labelled rows
 (``per_label`` documents of either label).
 
-Null and empty texts score 0. Without labelled rows every text scores 1, so that
+Null and empty texts score 0. Without rows of both labels every text scores 1, so that
 nothing is rejected. Extra columns are ignored; repeated rows give repeated results.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bytecnn import ByteCNN
 from .common import table
 from .labelled import id_remainder, score, train
 
@@ -27,16 +28,22 @@ def learnable(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(told, "doc_id")
 
 
-def quality(docs: DataFrame, learn_from: DataFrame, per_label: int = 1500) -> DataFrame:
-    """doc_id and score, the probability of label 1."""
+def fitted(learn_from: DataFrame, per_label: int = 1500) -> ByteCNN | None:
+    """A network for doc_id, text and quality; None if the labels tell nothing apart."""
     model = train(learn_from, "quality", per_label)
-    if model is None or "1" not in model.labels:
-        return docs.select("doc_id", F.lit(1.0).alias("score"))
-    told = score(docs, model, "doc_id long")
-    return told.select("doc_id", F.least(F.col("probabilities")[model.labels.index("1")], F.lit(1.0)).alias("score"))
+    return model if model and len(model.labels) > 1 and "1" in model.labels else None
+
+
+def scored(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
+    """The same rows with ``score``, the probability of label 1 (an input column of that name is replaced)."""
+    docs = docs.drop("score")
+    if model is None:
+        return docs.withColumn("score", F.lit(1.0))
+    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    return score(docs, model, kinds).withColumn("score", F.least(F.col("probabilities")[model.labels.index("1")], F.lit(1.0))).drop("probabilities")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    told = quality(docs, learnable(docs, table(spark, sf_dir, "labels")))
-    return told.select("doc_id", (id_remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    model = fitted(learnable(docs, table(spark, sf_dir, "labels")))
+    return scored(docs.select("doc_id", "text"), model).select("doc_id", (id_remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

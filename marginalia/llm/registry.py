@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import decontamination, licenses, quality_rules
+from .byte_bpe import op6_byte_bpe
 from .decontamination import op3_decontamination
 from .language_id import op7_language_id
 from .licenses import op2_license_scan
@@ -19,6 +20,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_pii": op4_pii,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_language_id": op7_language_id,
     "op8_sharding": op8_sharding,
     "op9_simhash": op9_simhash,
