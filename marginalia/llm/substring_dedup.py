@@ -10,12 +10,12 @@ induced from it:
    smallest hash in its first ``SPREAD`` positions: a local minimum, about one for
    each ``SPREAD / 2`` bytes. Equal strings sample the same suffix at the same offset.
    A tuple holds the suffix's place, a name for the ``LENGTH - SPREAD + 1`` bytes that
-   all strings of the sample share with it (its common prefix), and a 128-bit name
+   all strings of the sample share with it (its common prefix), and a 96-bit name
    for the whole stretch of strings that sample it.
 2. Grouping. Spark's disk-backed sort and shuffle bring equal names together, after
    partial aggregation: a stretch that occurs twice is removed wherever it stands.
 3. Induction. Of stretches that share a common prefix but differ as a whole (the rims
-   of repeats), one representative each is compared string by string, by 128-bit
+   of repeats), one representative each is compared string by string, by hashed
    names. Groups of more than ``GROUP`` stretches are compared by a shuffle of the
    string names instead of in one task.
 
@@ -35,21 +35,26 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import table, written
 
-LENGTH, SPREAD, GRAM = 400, 192, 16
+LENGTH, SPREAD = 400, 256
 #: Window starts that are sampled at once; bits that hold a place among them.
 SEGMENT, PLACE_BITS = 1 << 20, 22
 GROUP = 2048
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _signed(x: int, bits: int = 64) -> int:
+    return x - (1 << bits) if x >> (bits - 1) else x
 
 
 def _names(b: bytes) -> tuple[int, int]:
+    """96 bits that name a byte string: a long and an int."""
     x = xxhash.xxh3_128_intdigest(b)
-    return _signed(x >> 64), _signed(x & ((1 << 64) - 1))
+    return _signed(x >> 64), _signed(x >> 32 & 0xFFFFFFFF, 32)
+
+
+def _text_hash(b: bytes) -> int:
+    return _signed(xxhash.xxh32_intdigest(b), 32)
 
 
 def sampled(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,29 +78,42 @@ def sampled(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lo, hi, place[lo]
 
 
+#: Columns of a tuple: its document, the hash of its text, the first string's start and how
+#: many more there are, the name of the common prefix and that of the whole stretch.
+TUPLE = {"doc_id": pa.int64(), "th": pa.int32(), "lo": pa.int32(), "more": pa.int32(), "key": pa.int64(), "u1": pa.int64(), "u2": pa.int32()}
+
+
 def suffix_tuples(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), lo, hi, key, u1, u2 for every sampled suffix."""
-    names = ["doc_id", "th", "lo", "hi", "key", "u1", "u2"]
+    """A row of TUPLE for every sampled suffix."""
+
+    def told(out: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, TUPLE.values(), strict=True)], list(TUPLE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in names]
+            out: list[list] = [[] for _ in TUPLE]
+            docs, ths, los, mores, keys, u1s, u2s = out
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
                 b = (text.as_py() or "").encode()
-                th = _signed(xxhash.xxh3_64_intdigest(b))
+                th = _text_hash(b)
                 for s in range(0, len(b) - LENGTH + 1, SEGMENT):
                     part = b[s : s + SEGMENT + LENGTH - 1]
                     lo, hi, at = sampled(part)
-                    for p, q, a in zip(lo.tolist(), hi.tolist(), at.tolist(), strict=True):
-                        key = _signed(xxhash.xxh3_64_intdigest(part[a : a + LENGTH - SPREAD + 1]))
-                        for column, v in zip(out, (doc, th, p + s, q + s, key, *_names(part[p : q + LENGTH])), strict=True):
-                            column.append(v)
-                if len(out[0]) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names)
-                    out = [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names)
-
-    return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+                    docs += [doc] * len(lo)
+                    ths += [th] * len(lo)
+                    los += (lo + s).tolist()
+                    mores += (hi - lo).tolist()
+                    keys += [_signed(xxhash.xxh3_64_intdigest(part[a : a + LENGTH - SPREAD + 1])) for a in at.tolist()]
+                    names = [_names(part[p : q + LENGTH]) for p, q in zip(lo.tolist(), hi.tolist(), strict=True)]
+                    u1s += [x for x, _ in names]
+                    u2s += [x for _, x in names]
+                if len(docs) > 50_000:
+                    yield told(out)
+                    for column in out:
+                        column.clear()
+            yield told(out)
+
+    return docs.mapInArrow(run, "doc_id long, th int, lo int, more int, key long, u1 long, u2 int")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -105,16 +123,19 @@ def packed(docs: DataFrame) -> DataFrame:
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             texts = [(t or "").encode() for t in batch["text"].to_pylist()]
-            th = [_signed(xxhash.xxh3_64_intdigest(b)) for b in texts]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(th, pa.int64()), pa.array([squeeze.compress(b) for b in texts], pa.binary())], ["doc_id", "th", "z"])
+            th = [_text_hash(b) for b in texts]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(th, pa.int32()), pa.array([squeeze.compress(b) for b in texts], pa.binary())], ["doc_id", "th", "z"])
 
-    return docs.mapInArrow(run, "doc_id long, th long, z binary")
+    return docs.mapInArrow(run, "doc_id long, th int, z binary")
 
 
 def _same(left: DataFrame, right: DataFrame) -> list:
     return [left["doc_id"].eqNullSafe(right["doc_id"]), left["th"] == right["th"]]
 
 
+SPAN = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+
+
 def _repeated(group: list[tuple]) -> Iterator[tuple[int | None, int, int, int]]:
     """Of stretches (times, doc_id, th, lo, bytes): the strings of single ones that another has too, as spans."""
     seen: dict[bytes, int] = {}
@@ -140,7 +161,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "th", "lo", "end"]
 
     def told() -> pa.RecordBatch:
-        rows = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 4
+        columns = zip(*out, strict=True) if out else ([], [], [], [])
+        rows = [pa.array(c, t) for c, t in zip(columns, SPAN, strict=True)]
         out.clear()
         return pa.RecordBatch.from_arrays(rows, names)
 
@@ -161,7 +183,7 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for times, doc, th, lo, b in zip(*(batch[c].to_pylist() for c in ("times", "doc_id", "th", "lo", "b")), strict=True):
             rows = [(doc, th, lo + p, times, *_names(b[p : p + LENGTH])) for p in range(len(b) - LENGTH + 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [*SPAN, pa.int64(), pa.int32()], strict=True)], names)
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,30 +194,33 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, th, z, wanted in zip(*(batch[c].to_pylist() for c in ("doc_id", "th", "z", "wanted")), strict=True):
             b = expand.decompress(z)
             cols = [[w["key"] for w in wanted], [w["d"] for w in wanted], [w["times"] for w in wanted], [doc] * len(wanted), [th] * len(wanted), [w["lo"] for w in wanted]]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array([b[w["lo"] : w["hi"] + LENGTH] for w in wanted], pa.binary())], names)
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+            cut = [b[w["lo"] : w["lo"] + w["more"] + LENGTH] for w in wanted]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types, strict=True)), pa.array(cut, pa.binary())], names)
 
 
-def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """doc_id, th, lo, end: spans of bytes to remove; they may overlap."""
-    tuples = suffix_tuples(docs)
-    stretch = tuples.groupBy("key", "u1", "u2").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "th", "lo", "hi")).alias("at"))
+def repeated_spans(docs: DataFrame, text: DataFrame, group: int = GROUP) -> DataFrame:
+    """doc_id, th, lo, end: spans of bytes to remove; they may overlap. ``text`` is packed(docs)."""
+    tuples = written(suffix_tuples(docs))
+    stretch = tuples.groupBy("key", "u1", "u2").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "th", "lo", "more")).alias("at"))
     keys = stretch.groupBy("key").agg(F.sum("times").alias("n"), F.count("*").alias("d"), F.min("times").alias("least")).where("n > 1")
-    met = durable(stretch.join(keys, "key"))
-    whole = tuples.join(met.where("times > 1").select("u1", "u2"), ["u1", "u2"], "left_semi").select("doc_id", "th", "lo", (F.col("hi") + LENGTH).alias("end"))
+    met = written(stretch.join(keys, "key").select("key", "u1", "u2", F.least("times", F.lit(2)).cast("int").alias("times"), "at", "d", "least"))
+    whole = tuples.join(met.where("times > 1").select("u1", "u2"), ["u1", "u2"], "left_semi").select("doc_id", "th", "lo", (F.col("lo") + F.col("more") + LENGTH).alias("end"))
 
     # rims: keys whose stretches are not all repeated as they are
     rims = met.where("d > 1 and least = 1").select("key", "d", "times", "at.*")
-    wanted = rims.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "d", "times", "lo", "hi")).alias("wanted"))  # at most one a sampled suffix of the document
-    text = packed(docs)
-    joined = wanted.join(text, _same(wanted, text)).select(text["doc_id"], text["th"], "z", "wanted")
-    cut = joined.mapInArrow(_stretches, "key long, d long, times long, doc_id long, th long, lo long, b binary")
-    cut = durable(cut.dropDuplicates(["key", "doc_id", "th", "lo"]))
+    wanted = rims.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "d", "times", "lo", "more")).alias("wanted"))  # at most one a sampled suffix of the document
+    joined = text.join(wanted, _same(text, wanted)).select(text["doc_id"], text["th"], "z", "wanted")
+    cut = joined.mapInArrow(_stretches, "key long, d long, times int, doc_id long, th int, lo int, b binary")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = cut.where(F.col("d") <= group).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compare, "doc_id long, th long, lo long, end long")
-    strings = cut.where(F.col("d") > group).mapInArrow(_strings, "doc_id long, th long, lo long, times long, u1 long, u2 long")
+    ordered = lambda df: df.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compare, "doc_id long, th int, lo int, end int")
+    if rims.where(F.col("d") > group).isEmpty():
+        return whole.unionByName(ordered(cut))
+    cut = written(cut)
+    strings = cut.where(F.col("d") > group).mapInArrow(_strings, "doc_id long, th int, lo int, times int, u1 long, u2 int")
     twice = strings.groupBy("u1", "u2").agg(F.count("*").alias("n")).where("n > 1")
     large = strings.where("times = 1").join(twice, ["u1", "u2"], "left_semi").select("doc_id", "th", "lo", (F.col("lo") + LENGTH).alias("end"))
-    return whole.unionByName(small).unionByName(large)
+    return whole.unionByName(ordered(cut.where(F.col("d") <= group))).unionByName(large)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -231,8 +256,8 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, group: int = GROUP)
     """One row per document: bytes, removed bytes and runs, and the hash of what is left
     (with ``keep_text``, its bytes too)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = repeated_spans(docs, group).groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "end")).alias("spans"))
     text = packed(docs)
+    spans = repeated_spans(docs, text, group).groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "end")).alias("spans"))
     joined = text.join(spans, _same(text, spans), "left").select(text["doc_id"], "z", "spans")
     told = joined.mapInArrow(lambda it: _removed(it, keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return told if keep_text else told.drop("kept")
