@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, quality_rules
+from . import decontamination, licenses, quality_rules, sharding
 from .byte_bpe import op6_byte_bpe
 from .decontamination import op3_decontamination
 from .language_id import op7_language_id
@@ -31,4 +31,5 @@ ORACLE_SQL = {
     "op1_quality_rules": quality_rules.oracle(),
     "op2_license_scan": licenses.oracle(),
     "op3_decontamination": decontamination.oracle(),
+    "op8_sharding": sharding.oracle(),
 }

@@ -96,3 +96,20 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 12
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
+
+
+def oracle(shards: int = 16) -> str:
+    """The same rows by one window over everything; CRC-32 by its byte table, made by rule."""
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    octets = "list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::bigint)"
+    return f"""
+    with crc as (select {table}::bigint[] as t),
+    d as (select doc_id, strlen(coalesce(text, '')) + 1 as size, md5(coalesce(text, '')) as key,
+      xor(list_reduce(list_concat([4294967295::bigint], {octets}), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295::bigint) as text_crc32 from documents, crc),
+    s as (select *, ((2 * sum(size) over (order by key, doc_id) - size) * {shards} // (2 * sum(size) over ()))::int as shard from d)
+    select doc_id, size::bigint as size, text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by key, doc_id) - 1 as slot, null::int as grown_shard from s
+    """
