@@ -16,8 +16,8 @@ induced from it:
    partial aggregation: a stretch that occurs twice is removed wherever it stands.
 3. Induction. Of stretches that share a common prefix but differ as a whole (the rims
    of repeats), one representative each is compared string by string, by hashed
-   names. Groups of more than ``GROUP`` stretches are compared by a shuffle of the
-   string names instead of in one task.
+   names. Groups that would take more than ``GROUP`` bytes are compared by a shuffle
+   of the string names instead of in one task.
 
 Matches never cross documents. Null text counts as empty. Rows that share doc_id and
 text are told alike, and repeat each other. Extra columns are ignored.
@@ -40,7 +40,8 @@ from .common import table, written
 LENGTH, SPREAD = 400, 256
 #: Window starts that are sampled at once; bits that hold a place among them.
 SEGMENT, PLACE_BITS = 1 << 20, 22
-GROUP = 2048
+#: Bytes of memory that one group may take in a task: its stretches and their strings' names.
+GROUP, STRING_COST = 64 << 20, 100
 
 
 def _signed(x: int, bits: int = 64) -> int:
@@ -156,7 +157,7 @@ def _repeated(group: list[tuple]) -> Iterator[tuple[int | None, int, int, int]]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by key; each key's stretches are compared in memory, GROUP of them at most."""
+    """Rows come by key; each key's stretches are compared in memory, GROUP bytes at most."""
     key, group, out = None, [], []
     names = ["doc_id", "th", "lo", "end"]
 
@@ -189,11 +190,11 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of each representative's stretch, from its document."""
     expand = zstandard.ZstdDecompressor()
-    names = ["key", "d", "times", "doc_id", "th", "lo", "b"]
+    names = ["key", "mem", "times", "doc_id", "th", "lo", "b"]
     for batch in batches:
         for doc, th, z, wanted in zip(*(batch[c].to_pylist() for c in ("doc_id", "th", "z", "wanted")), strict=True):
             b = expand.decompress(z)
-            cols = [[w["key"] for w in wanted], [w["d"] for w in wanted], [w["times"] for w in wanted], [doc] * len(wanted), [th] * len(wanted), [w["lo"] for w in wanted]]
+            cols = [[w["key"] for w in wanted], [w["mem"] for w in wanted], [w["times"] for w in wanted], [doc] * len(wanted), [th] * len(wanted), [w["lo"] for w in wanted]]
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
             cut = [b[w["lo"] : w["lo"] + w["more"] + LENGTH] for w in wanted]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types, strict=True)), pa.array(cut, pa.binary())], names)
@@ -203,24 +204,24 @@ def repeated_spans(docs: DataFrame, text: DataFrame, group: int = GROUP) -> Data
     """doc_id, th, lo, end: spans of bytes to remove; they may overlap. ``text`` is packed(docs)."""
     tuples = written(suffix_tuples(docs))
     stretch = tuples.groupBy("key", "u1", "u2").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "th", "lo", "more")).alias("at"))
-    keys = stretch.groupBy("key").agg(F.sum("times").alias("n"), F.count("*").alias("d"), F.min("times").alias("least")).where("n > 1")
-    met = written(stretch.join(keys, "key").select("key", "u1", "u2", F.least("times", F.lit(2)).cast("int").alias("times"), "at", "d", "least"))
+    keys = stretch.groupBy("key").agg(F.sum("times").alias("n"), F.count("*").alias("d"), F.min("times").alias("least"), F.sum(STRING_COST * (F.col("at.more") + 1) + LENGTH).alias("mem")).where("n > 1")
+    met = written(stretch.join(keys, "key").select("key", "u1", "u2", F.least("times", F.lit(2)).cast("int").alias("times"), "at", "d", "least", "mem"))
     whole = tuples.join(met.where("times > 1").select("u1", "u2"), ["u1", "u2"], "left_semi").select("doc_id", "th", "lo", (F.col("lo") + F.col("more") + LENGTH).alias("end"))
 
     # rims: keys whose stretches are not all repeated as they are
-    rims = met.where("d > 1 and least = 1").select("key", "d", "times", "at.*")
-    wanted = rims.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "d", "times", "lo", "more")).alias("wanted"))  # at most one a sampled suffix of the document
+    rims = met.where("d > 1 and least = 1").select("key", "mem", "times", "at.*")
+    wanted = rims.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "mem", "times", "lo", "more")).alias("wanted"))  # at most one a sampled suffix of the document
     joined = text.join(wanted, _same(text, wanted)).select(text["doc_id"], text["th"], "z", "wanted")
-    cut = joined.mapInArrow(_stretches, "key long, d long, times int, doc_id long, th int, lo int, b binary")
+    cut = joined.mapInArrow(_stretches, "key long, mem long, times int, doc_id long, th int, lo int, b binary")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = lambda df: df.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compare, "doc_id long, th int, lo int, end int")
-    if rims.where(F.col("d") > group).isEmpty():
+    if rims.where(F.col("mem") > group).isEmpty():
         return whole.unionByName(ordered(cut))
     cut = written(cut)
-    strings = cut.where(F.col("d") > group).mapInArrow(_strings, "doc_id long, th int, lo int, times int, u1 long, u2 int")
+    strings = cut.where(F.col("mem") > group).mapInArrow(_strings, "doc_id long, th int, lo int, times int, u1 long, u2 int")
     twice = strings.groupBy("u1", "u2").agg(F.count("*").alias("n")).where("n > 1")
     large = strings.where("times = 1").join(twice, ["u1", "u2"], "left_semi").select("doc_id", "th", "lo", (F.col("lo") + LENGTH).alias("end"))
-    return whole.unionByName(ordered(cut.where(F.col("d") <= group))).unionByName(large)
+    return whole.unionByName(ordered(cut.where(F.col("mem") <= group))).unionByName(large)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
