@@ -165,17 +165,30 @@ def tag_clusters(notes: DataFrame, k: int = 12) -> DataFrame:
     return notes.select("path").join(first, "path", "left").select("path", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
+def evenly_spaced(points: DataFrame, k: int, n: int, ranges: int = 64) -> list:
+    """The features at k evenly spaced places by id, without sorting all rows in one task:
+    ids fall into ranges, counts tell which range holds a place, and rows are numbered there."""
+    bounds = F.array(*map(F.lit, points.approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.01))).cast("array<double>")
+    ranged = points.withColumn("range", F.size(F.filter(bounds, lambda b: b <= F.col("id"))))
+    wanted, before = [], 0
+    places = [i * n // k for i in range(k)]
+    for r in sorted(ranged.groupBy("range").count().collect()):  # a row a range
+        wanted += [(r["range"], p - before + 1) for p in places if before <= p < before + r["count"]]
+        before += r["count"]
+    numbered = ranged.where(F.col("range").isin([r for r, _ in wanted])).withColumn("n", F.row_number().over(Window.partitionBy("range").orderBy("id")))
+    hit = F.struct("range", "n").isin([F.struct(F.lit(r), F.lit(p)) for r, p in wanted])
+    return [list(r["f"]) for r in numbered.where(hit).orderBy("range", "n").collect()]  # k rows
+
+
 def kmeans(points: DataFrame, k: int, rounds: int = 30) -> DataFrame:
     """id, cluster for rows (id, features array<float>): seeds evenly spaced by id, the
     nearest centre (the first of equals), an empty cluster keeps its centre."""
     points = settled(points.select("id", F.transform("features", lambda x: x.cast("double")).alias("f")))
     n = points.count()
     k = min(k, n)
-    spark = points.sparkSession
     if not k:
-        return spark.createDataFrame([], "id long, cluster int")
-    numbered = points.rdd.map(lambda r: (r["id"], list(r["f"]))).sortByKey().zipWithIndex().filter(lambda x, s={i * n // k for i in range(k)}: x[1] in s)
-    centres = [f for (_, f), _ in sorted(numbered.collect(), key=lambda x: x[1])]  # k rows
+        return points.sparkSession.createDataFrame([], "id long, cluster int")
+    centres = evenly_spaced(points, k, n)
 
     def nearest() -> F.Column:
         far = F.array(*(F.struct(F.aggregate(F.zip_with("f", F.array(*map(F.lit, c)), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)))

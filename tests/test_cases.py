@@ -159,3 +159,17 @@ def test_share_visits_stop_at_the_budget(spark):
     links = spark.sql("select 's' as token, 'p' as path, timestamp_ntz'2024-01-01 00:00:00' as created_at, timestamp_ntz'2024-01-03 00:00:00' as expires_at, 2 as max_visits")
     hits = spark.sql("select 'p' as path, timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(id) as ts, id as event_id from range(5)")
     assert activity.share_visits(links, hits).first()["visits"] == 2
+
+
+def test_kmeans_against_plain_python(spark):
+    import random
+
+    rng = random.Random(3)
+    data = [(i, [rng.gauss(5 * (i % 3), 1), rng.gauss(-5 * (i % 3), 1)]) for i in range(90)]
+    centres = [data[i * 90 // 3][1] for i in range(3)]
+    near = lambda f: min(range(3), key=lambda c: (sum((a - b) ** 2 for a, b in zip(f, centres[c], strict=True)), c))
+    for _ in range(10):
+        held = [[f for _, f in data if near(f) == c] for c in range(3)]
+        centres = [[sum(x) / len(h) for x in zip(*h, strict=True)] if h else c for h, c in zip(held, centres, strict=True)]
+    told = {r["id"]: r["cluster"] for r in graph.kmeans(spark.createDataFrame(data, "id long, features array<double>"), 3, 10).collect()}
+    assert told == {i: near(f) for i, f in data}
