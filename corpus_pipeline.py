@@ -22,7 +22,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents scored below the threshold go."""
-    model = quality_classifier.fitted(quality_classifier.learnable(docs, table(spark, sf_dir, "labels")))
+    model = quality_classifier.fitted(docs, quality_classifier.learnable(table(spark, sf_dir, "labels")))
     return quality_classifier.scored(docs.select(*COLUMNS), model).where(F.col("score") >= quality_classifier.THRESHOLD).select(*COLUMNS)
 
 

@@ -29,15 +29,25 @@ def _cut(batches: Iterator[pa.RecordBatch], per_doc: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(windows, pa.binary())], ["label", "window"])
 
 
-def train(docs: DataFrame, label: str, per_label: int = 1200, per_doc: int = 4) -> ByteCNN | None:
-    """A network fitted to at most ``per_label`` documents of each label, those with the
-    smallest hash of their id, and ``per_doc`` windows of each. None without labels.
-    ``docs`` has doc_id, text and the label column, and only rows that may be learned from."""
-    named = docs.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col(label).cast("string").alias("label"), "text")
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = named.select("doc_id", "label").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_label).select("doc_id", "label").distinct()
-    # at most per_label rows a label
-    sample = named.join(F.broadcast(chosen), ["doc_id", "label"]).select("label", "text")
+def sample_ids(ids: DataFrame, per_label: int) -> DataFrame:
+    """doc_id and label of at most ``per_label`` rows of each label, those with the smallest
+    hash of their id. A cut by hash leaves about twice that many before they are ranked."""
+    ids = ids.where("label is not null and doc_id is not null").distinct()
+    counts = {r["label"]: r["count"] for r in ids.groupBy("label").count().collect()}  # a row a label
+    u = F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") / F.lit(float(1 << 53))
+    rate = F.lit(1.0)
+    for label, n in counts.items():
+        rate = F.when(F.col("label") == label, min(1.0, (2 * per_label + 100) / n)).otherwise(rate)
+    order = Window.partitionBy("label").orderBy(u, "doc_id")
+    return ids.where(u <= rate).withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_label).select("doc_id", "label")
+
+
+def train(docs: DataFrame, ids: DataFrame, per_label: int = 1200, per_doc: int = 4) -> ByteCNN | None:
+    """A network fitted to a bounded sample: ``per_label`` documents of each label and
+    ``per_doc`` windows of each. None without labels. ``docs`` has doc_id and text; ``ids``
+    has doc_id and label, and only rows that may be learned from."""
+    chosen = sample_ids(ids.select("doc_id", F.col("label").cast("string").alias("label")), per_label)
+    sample = docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("label", "text")  # at most per_label rows a label
     rows = sorted(sample.mapInArrow(lambda it: _cut(it, per_doc), "label string, window binary").collect(), key=lambda r: (r["label"], bytes(r["window"])))
     labels = sorted({r["label"] for r in rows})
     if not labels:

@@ -19,8 +19,8 @@ from .labelled import id_remainder, score, train
 
 
 def identify(docs: DataFrame, learn_from: DataFrame, per_label: int = 1200) -> DataFrame:
-    """doc_id, lang_pred, score; ``learn_from`` has doc_id, text and lang."""
-    model = train(learn_from, "lang", per_label)
+    """doc_id, lang_pred, score; ``learn_from`` has doc_id and lang of the rows to learn from."""
+    model = train(docs, learn_from.select("doc_id", F.col("lang").alias("label")), per_label)
     if model is None:
         return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     lettered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"), "text")
@@ -37,5 +37,5 @@ def identify(docs: DataFrame, learn_from: DataFrame, per_label: int = 1200) -> D
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_remainder(F.col("doc_id"), 4) == 2
-    told = identify(docs.select("doc_id", "text"), docs.where(~held_out).select("doc_id", "text", "lang"))
+    told = identify(docs.select("doc_id", "text"), docs.where(~held_out).select("doc_id", "lang"))
     return told.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

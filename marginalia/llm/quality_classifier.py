@@ -22,15 +22,14 @@ THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
 
 
-def learnable(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text and quality of the labelled rows outside the held-out fold."""
-    told = labels.where(id_remainder(F.col("doc_id"), FOLDS) != HELD_OUT).select("doc_id", "quality")
-    return docs.select("doc_id", "text").join(told, "doc_id")
+def learnable(labels: DataFrame) -> DataFrame:
+    """doc_id and label of the labelled rows outside the held-out fold."""
+    return labels.where(id_remainder(F.col("doc_id"), FOLDS) != HELD_OUT).select("doc_id", F.col("quality").alias("label"))
 
 
-def fitted(learn_from: DataFrame, per_label: int = 1500) -> ByteCNN | None:
-    """A network for doc_id, text and quality; None if the labels tell nothing apart."""
-    model = train(learn_from, "quality", per_label)
+def fitted(docs: DataFrame, ids: DataFrame, per_label: int = 1500) -> ByteCNN | None:
+    """A network for doc_id and text with the labels of ``ids``; None if they tell nothing apart."""
+    model = train(docs.select("doc_id", "text"), ids, per_label)
     return model if model and len(model.labels) > 1 and "1" in model.labels else None
 
 
@@ -45,5 +44,5 @@ def scored(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fitted(learnable(docs, table(spark, sf_dir, "labels")))
+    model = fitted(docs, learnable(table(spark, sf_dir, "labels")))
     return scored(docs.select("doc_id", "text"), model).select("doc_id", (id_remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
