@@ -114,31 +114,40 @@ class ByteCNN:
         for ready in range(ready, len(counts)):
             yield sums.pop(ready, np.zeros(len(self.labels))) / max(counts[ready], 1)
 
-    def fit(self, windows: list[bytes], labels: list[int], epochs: int = 4, batch: int = 64, rate: float = 0.01, seed: int = 11) -> ByteCNN:
-        """Adam on cross entropy; gradients reach a filter through its largest value alone."""
+    def fit(self, windows: list[bytes], labels: list[int], epochs: int = 4, steps: int = 600, batch: int = 64, rate: float = 0.01, seed: int = 11) -> ByteCNN:
+        """Adam on cross entropy, every label weighing the same; gradients reach a filter
+        through its largest value alone. At least ``steps`` batches are taken. A fifth of
+        the windows are cut to a few bytes, so that short texts are known too."""
         rng = np.random.default_rng(seed)
         pad = max(WIDTHS)
         x = np.zeros((len(windows), WINDOW + pad), np.uint8)
         for k, b in enumerate(windows):
             x[k, : len(b)] = np.frombuffer(b[:WINDOW], np.uint8)
+        sizes = np.array([min(max(len(b), 1), WINDOW) for b in windows])
         y = np.asarray(labels)
+        counts = np.bincount(y, minlength=len(self.labels))
+        weight = (len(y) / (np.maximum(counts, 1) * max(1, np.count_nonzero(counts)))).astype(np.float32)
+        epochs = max(epochs, -(-steps // max(1, len(y) // batch)))
         params = [*self.tables, *self.marks, self.out, self.bias]
         first, second, turn = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
         for _ in range(epochs):
             for rows in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
-                flat, m = x[rows].ravel(), len(rows)
-                width = WINDOW + pad
+                m, width = len(rows), WINDOW + pad
+                size = np.where(rng.random(m) < 0.2, np.minimum(sizes[rows], rng.integers(6, 96, m)), sizes[rows])
+                outside = np.arange(width) >= size[:, None]
+                flat = np.where(outside, 0, x[rows]).astype(np.uint8).ravel()
                 flags = repeats(flat)
                 pooled, best = [], []
                 for c in self.convolved(np.append(flat, np.zeros(pad, np.uint8))):
                     c = c.reshape(m, width, FILTERS)[:, :WINDOW]
+                    c[outside[:, :WINDOW]] = -1e9
                     at = c.argmax(1)
                     pooled.append(np.take_along_axis(c, at[:, None], 1)[:, 0])
                     best.append(at + (np.arange(m) * width)[:, None])
                 h = np.hstack(pooled)
                 p = self.softmax(h)
                 p[np.arange(m), y[rows]] -= 1
-                p /= m
+                p *= weight[y[rows]][:, None] / m
                 active = np.maximum(h, 0)
                 back = (p @ self.out.T) * (h > 0)
                 grads = [np.zeros_like(q) for q in params]
