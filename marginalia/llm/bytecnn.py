@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 
 WIDTHS = (2, 3, 4, 6)
-FILTERS = 16
+FILTERS = 12
 WINDOW, STRIDE = 512, 448
 REPEAT_LAGS = range(2, 33)
 #: Bytes and windows that are taken through the network at once.
