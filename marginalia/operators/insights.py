@@ -101,7 +101,8 @@ def tag_matrix(notes: DataFrame, top: int = 15) -> DataFrame:
     names = tag_counts(notes).limit(top).select("tag")
     pairs = tag_cooccurrence(notes, top)
     both = pairs.union(pairs.select("b", "a", "n"))
-    cells = names.select(F.col("tag").alias("a")).crossJoin(F.broadcast(names.select(F.col("tag").alias("b"))))  # top x top cells
+    listed = names.agg(F.collect_list("tag").alias("t"))  # one row of top names
+    cells = listed.select("t", F.explode("t").alias("a")).select("a", F.explode("t").alias("b"))
     return cells.join(both, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -139,7 +140,8 @@ def tag_evolution(notes: DataFrame, top: int = 8, n: int = 24) -> DataFrame:
     ranked = tag_counts(notes).limit(top).select("tag", F.row_number().over(Window.orderBy(F.desc("n"), "tag")).alias("place"))
     dated = notes.select(dates.year_month(F.col("mtime")).alias("period"), "tags")
     months = dated.select("period").distinct().orderBy(F.desc("period")).limit(n)
-    cells = months.crossJoin(F.broadcast(ranked))  # n x top cells
+    listed = ranked.agg(F.collect_list(F.struct("tag", "place")).alias("t"))  # one row of top names
+    cells = months.join(F.broadcast(listed), F.lit(True)).select("period", F.inline("t"))
     counted = dated.select("period", F.explode("tags").alias("tag")).groupBy("period", "tag").agg(F.count("*").alias("n"))
     told = cells.join(counted, ["period", "tag"], "left").select("period", "tag", "place", F.coalesce("n", F.lit(0)).alias("n"))
     return told.select("period", "tag", "n", F.sum("n").over(Window.partitionBy("period").orderBy("place")).alias("stacked"))
