@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..functions import markdown as M
 from ..functions import text as T
-from ..operators import indexes
 from ..sources import frontmatter, sinks, vault
-from .base import AS_OF, VAULT, Queries, notes, over_notes
+from .base import AS_OF, Queries, notes, over_notes
 
 Q = Queries()
 PATTERNS = ["dup", "src1/**", "*.tmp", "src?/fr/Doc 1*"]
