@@ -7,8 +7,8 @@ each distinct word is encoded once. The ids go back to the block in the order in
 the words came, and the block's documents look their pre-tokens up by position. The
 documents themselves are shuffled once, compressed; what words cost grows with the
 distinct words of each block, not with the text. A frequent word takes one entry of
-each block, so no word makes a bucket large. Blocks and buckets are as many as the
-session's shuffle partitions.
+each block, so no word makes a bucket large. There are as many buckets as the
+session has shuffle partitions, and twice as many blocks.
 
 Decoding looks ids up in the token-byte table, whose size is the vocabulary's.
 
@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+#: Blocks for each shuffle partition: a task holds one block at a time.
+BLOCKS = 2
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -89,7 +91,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str = public_token
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(ranks)
     tokens = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
-    block = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int")
+    block = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(BLOCKS * n)).cast("int")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), block.alias("block"), tokens.alias("tokens")).mapInArrow(_pack, "doc_id long, block int, z binary, lens binary")
 
     def spoken(block: pa.Table) -> pa.Table:
