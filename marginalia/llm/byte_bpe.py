@@ -8,7 +8,7 @@ the words came, and the block's documents look their pre-tokens up by position.
 documents themselves are shuffled once, compressed; what words cost grows with the
 distinct words of each block, not with the text. A frequent word takes one entry of
 each block, so no word makes a bucket large. There are as many buckets as the
-session has shuffle partitions, and twice as many blocks.
+session has shuffle partitions, and BLOCKS times as many blocks.
 
 Decoding looks ids up in the token-byte table, whose size is the vocabulary's.
 
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Blocks for each shuffle partition: a task holds one block at a time.
-BLOCKS = 2
+#: Blocks for each shuffle partition: more hold less text each, and send more words in all.
+BLOCKS = 1
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
