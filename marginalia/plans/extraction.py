@@ -99,13 +99,15 @@ Q.on_notes("note_as_of", _versions, f"select path, 'v' || max(age) as content, m
 
 
 def _scanned(n):
-    """Writes the notes as files and reads them back."""
+    """Writes all notes as files and reads them back."""
     root = tempfile.mkdtemp(prefix="vault-") if n.sparkSession.sparkContext.master.startswith("local[") else sinks.shared_path(n.sparkSession)
-    sinks.write_notes(n.where("folder = 'dup'"), root)
+    sinks.write_notes(n, root)
     return vault.scan_vault(n.sparkSession, root).select("path", "title", F.length("raw").alias("chars"))
 
 
-Q.on_notes("scan_vault", _scanned, "select path, title, length(raw) as chars from notes where folder = 'dup'")
+# the SQL tells one folder of what was scanned; the whole has its own query
+Q.on_notes("scan_vault", lambda n: _scanned(n).where("startswith(path, 'dup/')"), "select path, title, length(raw) as chars from notes where folder = 'dup'")
+Q.on_notes("scan_vault_whole", _scanned, "select path, title, length(raw) as chars from notes")
 
 # sinks
 Q.on_notes("search_dump", sinks.search_dump, "select title, path, array_to_string(tags, '|') as tags, substr(trim(regexp_replace(replace(regexp_replace(body, '<[^>]*(>|\\z)', ' ', 'g'), '>', ' '), '\\s+', ' ', 'g')), 1, 300) as content, epoch(mtime)::bigint as mtime from notes")

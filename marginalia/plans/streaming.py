@@ -65,10 +65,13 @@ Q.plain("stream_share_budget", _budget, ROWS + "select token, least(count(event_
 
 
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Some of the notes as files, streamed and merged."""
+    """All notes as files, streamed and merged."""
     root, path = sinks.shared_path(spark), sinks.shared_path(spark)
-    sinks.write_notes(derived_vault(spark, sf_dir).where("folder = 'dup'"), root)
-    return merged(S.stream_notes(spark, root), S.merge_notes(path), path).select(F.regexp_extract("path", r"(dup/.*)$", 1).alias("path"), F.length("raw").alias("chars"))
+    sinks.write_notes(derived_vault(spark, sf_dir), root)
+    below = F.substring_index("path", f"/{root.rsplit('/', 1)[-1]}/", -1)
+    return merged(S.stream_notes(spark, root), S.merge_notes(path), path).select(below.alias("path"), F.length("raw").alias("chars"))
 
 
-Q.plain("stream_notes", _notes, over_notes("select path, length(raw) as chars from notes where folder = 'dup'"))
+# the SQL tells one folder of what was merged; the whole has its own query
+Q.plain("stream_notes", lambda spark, sf_dir: _notes(spark, sf_dir).where("startswith(path, 'dup/')"), over_notes("select path, length(raw) as chars from notes where folder = 'dup'"))
+Q.plain("stream_notes_whole", _notes, over_notes("select path, length(raw) as chars from notes"))

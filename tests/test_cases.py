@@ -173,3 +173,17 @@ def test_kmeans_against_plain_python(spark):
         centres = [[sum(x) / len(h) for x in zip(*h, strict=True)] if h else c for h, c in zip(held, centres, strict=True)]
     told = {r["id"]: r["cluster"] for r in graph.kmeans(spark.createDataFrame(data, "id long, features array<double>"), 3, 10).collect()}
     assert told == {i: near(f) for i, f in data}
+
+
+@pytest.mark.parametrize("name", ["scan_vault", "stream_notes"])
+def test_every_note_is_written_and_read_back(spark, data, name, monkeypatch):
+    from marginalia import catalog
+    from marginalia.sources import sinks
+
+    wrote, write = [], sinks.write_notes
+    monkeypatch.setattr(sinks, "write_notes", lambda n, root: (wrote.append(n.count()), write(n, root)))
+    n = vault.derived_vault(spark, data)
+    assert catalog.QUERIES[name](spark, data).count() == n.where("folder = 'dup'").count()
+    assert wrote == [n.count()]
+    told = {tuple(r) for r in catalog.QUERIES[f"{name}_whole"](spark, data).select("path", "chars").collect()}
+    assert told == {(r["path"], len(r["raw"])) for r in n.collect()}
