@@ -68,11 +68,37 @@ def share_status(links: DataFrame, as_of: str) -> DataFrame:
     return links.withColumn("valid", ~bad)
 
 
+def access_counts(accesses: DataFrame) -> DataFrame:
+    """path, ts, n: how many accesses a note had at each moment."""
+    return accesses.groupBy("path", "ts").agg(F.count("*").alias("n"))
+
+
+def valid_visits(links: DataFrame, counts: DataFrame) -> DataFrame:
+    """token, n: the accesses of ``counts`` (path, ts, n) from creation to expiry, for tokens
+    with known path and creation.
+
+    They are the difference of the running counts at both ends of a link. A running count is
+    that of the hours before, from one row per path and hour, and that within the hour.
+    """
+    told = links.where("path is not null and created_at is not null and (expires_at is null or expires_at >= created_at)")
+    # at one moment a creation stands before the accesses, an expiry after them
+    ends = F.explode(F.array(F.struct(F.col("created_at").alias("ts"), F.lit(-1).alias("place")), F.struct(F.col("expires_at").alias("ts"), F.lit(1).alias("place"))))
+    marks = told.select("token", "path", F.col("expires_at").isNull().alias("open"), ends.alias("e")).select("path", "e.ts", "e.place", F.lit(0).cast("long").alias("n"), "token", "open").where("ts is not null")
+    known = counts.where("path is not null and ts is not null").select("path", "ts", F.lit(0).alias("place"), "n", F.lit(None).cast("string").alias("token"), F.lit(False).alias("open"))
+    rows = known.unionByName(marks).withColumn("hour", F.date_trunc("hour", "ts"))
+    by_path = Window.partitionBy("path")
+    hours = rows.groupBy("path", "hour").agg(F.sum("n").alias("n")).select(
+        "path", "hour", F.coalesce(F.sum("n").over(by_path.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(by_path).alias("total"),
+    )
+    within = F.sum("n").over(Window.partitionBy("path", "hour").orderBy("ts", "place").rowsBetween(Window.unboundedPreceding, 0))
+    reached = rows.withColumn("within", within).where(F.col("place") != 0).join(hours, ["path", "hour"]).withColumn("reached", F.col("before") + F.col("within"))
+    worth = F.when(F.col("place") > 0, F.col("reached")).when(F.col("open"), F.col("total") - F.col("reached")).otherwise(-F.col("reached"))
+    return reached.groupBy("token").agg(F.sum(worth).alias("n"))
+
+
 def share_visits(links: DataFrame, accesses: DataFrame) -> DataFrame:
     """token, visits: accesses before expiry, up to max_visits."""
-    hits = links.select("token", "path", "created_at", "expires_at", "max_visits").join(accesses.select("path", "ts", "event_id"), "path").where("ts >= created_at and (expires_at is null or ts <= expires_at)")
-    counted = hits.groupBy("token").agg(F.count("*").alias("n"))
-    told = links.select("token", "max_visits").join(counted, "token", "left")
+    told = links.select("token", "max_visits").join(valid_visits(links, access_counts(accesses)), "token", "left")
     return told.select("token", F.least(F.coalesce("n", F.lit(0)), F.coalesce(F.col("max_visits").cast("long"), F.coalesce("n", F.lit(0)))).alias("visits"))
 
 

@@ -17,11 +17,20 @@ from .base import Queries, over_notes
 Q = Queries()
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Everything that the stream gives now, as a table in memory."""
-    spark, name = stream.sparkSession, f"stream_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+def drained(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """Everything that the stream gives now, as a table in the shared folder: the rows that were
+    appended, the last complete table, or the last row of each key."""
+    spark, path, done = stream.sparkSession, sinks.shared_path(stream.sparkSession), []
+    put = S.upserted(f"{path}/rows", keys) if mode == "update" else S.appended(f"{path}/rows")
+
+    def batch(rows: DataFrame, epoch: int) -> None:
+        put(rows, epoch)
+        done.append(epoch)
+
+    stream.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    kept = done if mode == "append" else done[-1:]
+    read = spark.read.schema(stream.schema)
+    return read.parquet(*(f"{path}/rows/{epoch}" for epoch in kept)) if kept else spark.createDataFrame([], stream.schema)
 
 
 def merged(stream: DataFrame, merge, path: str) -> DataFrame:
@@ -45,20 +54,21 @@ def on(name, run, sql=None):
 
 on("stream_visit_counts", lambda s: drained(S.visit_counts(s), "complete"), "select path, count(*) as visits from act group by path")
 on("stream_daily", lambda s: drained(S.per_period(s), "complete").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n"), "select strftime(ts, '%Y-%m-%d') as day, count(*) as n from act group by 1")
-on("stream_progress", lambda s: drained(S.progress(s), "update").groupBy("user", "path").agg(F.max_by(F.struct("percent", "completed"), "duration").alias("x"), F.max("duration").alias("duration")).select("user", "path", "x.percent", "duration", "x.completed"), 'select "user", path, percent, duration, percent >= 95 as completed from prog')
+on("stream_progress", lambda s: drained(S.progress(s), "update", ["user", "path"]), 'select "user", path, percent, duration, percent >= 95 as completed from prog')
 on("stream_dedup", lambda s: drained(S.dedup(s, ["event_id"]), "append").agg(F.count("*").alias("n")), "select count(distinct event_id) as n from act")
 on("stream_keep_last_n", lambda s: merged(s, S.keep_last_n(p := sinks.shared_path(s.sparkSession), 5), p).select("event_id"), 'select event_id from act qualify row_number() over (partition by "user" order by ts desc, event_id desc) <= 5')
 
 
 def _budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = A.activity(spark, sf_dir)
-    hits = A.shares(rows).select("token", "path", "created_at", "expires_at", "max_visits").join(rows.select("path", "ts"), "path").where("ts >= created_at")
+    """Accesses are counted as a stream, then told to their links, one row a link, as another."""
+    counts = drained(A.access_counts(_events(spark, sf_dir)), "update", ["path", "ts"]).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    links = A.shares(A.activity(spark, sf_dir))
+    hits = links.select("token", "created_at", "expires_at", "max_visits").dropDuplicates(["token"]).join(A.valid_visits(links, counts), "token")
     path = sinks.shared_path(spark)
-    told = hits.select("token", F.col("ts").cast("timestamp").alias("ts"), F.col("expires_at").cast("timestamp").alias("expires_at"), F.col("max_visits").cast("double").alias("max_visits"))
-    told.coalesce(1).write.parquet(path)
+    told = hits.select("token", F.col("created_at").cast("timestamp").alias("ts"), "n", F.col("expires_at").cast("timestamp").alias("expires_at"), F.col("max_visits").cast("double").alias("max_visits"))
+    told.write.parquet(path)
     stream = spark.readStream.schema(told.schema).parquet(path)
-    counted = drained(S.share_budget(stream), "update").groupBy("token").agg(F.max("visits").alias("visits"))
-    return counted.where("visits > 0")
+    return drained(S.share_budget(stream), "update", ["token"]).where("visits > 0")
 
 
 Q.plain("stream_share_budget", _budget, ROWS + "select token, least(count(event_id), coalesce(max_visits, count(event_id)))::bigint as visits from shares s join (select path, ts, event_id from act) a on a.path = s.path and a.ts >= s.created_at and (expires_at is null or a.ts <= expires_at) group by token, max_visits having visits > 0")

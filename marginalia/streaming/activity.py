@@ -61,8 +61,9 @@ def progress(rows: DataFrame) -> DataFrame:
 
 
 def share_budget(accesses: DataFrame) -> DataFrame:
-    """token and visits of accesses (token, ts, expires_at, max_visits): counted while the
-    link is valid; state goes when the watermark passes the expiry."""
+    """token and visits of accesses (token, ts, n, expires_at, max_visits), n of them at once:
+    counted while the link is valid; state goes when the watermark passes the expiry, and
+    later accesses, which are not valid, tell nothing."""
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -71,10 +72,12 @@ def share_budget(accesses: DataFrame) -> DataFrame:
         (visits,) = state.get if state.exists else (0,)
         expiry = None
         for df in frames:
-            for t, e, m in zip(df["ts"], df["expires_at"], df["max_visits"], strict=True):
+            for t, n, e, m in zip(df["ts"], df["n"], df["expires_at"], df["max_visits"], strict=True):
                 expiry = e if pd.notna(e) else expiry
-                if (pd.isna(e) or t <= e) and (pd.isna(m) or visits < m):
-                    visits += 1
+                if pd.isna(e) or t <= e:
+                    visits = visits + int(n) if pd.isna(m) else max(visits, min(visits + int(n), int(m)))
+        if not visits:
+            return
         state.update((visits,))
         if expiry is not None and pd.notna(expiry):
             at = int(pd.Timestamp(expiry).timestamp() * 1000)
@@ -111,5 +114,28 @@ def merge_notes(path: str) -> Callable[[DataFrame, int], None]:
     return merge
 
 
+def appended(path: str) -> Callable[[DataFrame, int], None]:
+    """A batch function that adds each batch to a table."""
+    return lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/{epoch}")
+
+
+def upserted(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """A batch function that upserts rows by keys into a table of generations. A batch with
+    keyed state must be computed once only, so it is written before it is merged."""
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch
+        if epoch:
+            batch.write.mode("overwrite").parquet(f"{path}/batch-{epoch}")
+            fresh = spark.read.schema(batch.schema).parquet(f"{path}/batch-{epoch}")
+            now = fresh.select(*(F.col(k).alias(f"__{k}") for k in keys))
+            same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+            fresh = fresh.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/{epoch - 1}").join(now, same, "left_anti"))
+        fresh.write.mode("overwrite").parquet(f"{path}/{epoch}")
+
+    return merge
+
+
 def latest(spark: SparkSession, path: str, epoch: int) -> DataFrame:
     return spark.read.parquet(f"{path}/{epoch}")

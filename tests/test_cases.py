@@ -187,3 +187,65 @@ def test_every_note_is_written_and_read_back(spark, data, name, monkeypatch):
     assert wrote == [n.count()]
     told = {tuple(r) for r in catalog.QUERIES[f"{name}_whole"](spark, data).select("path", "chars").collect()}
     assert told == {(r["path"], len(r["raw"])) for r in n.collect()}
+
+
+def _shares(spark):
+    """Two hot notes, many accesses at one moment, links of every kind; and what all pairs say."""
+    import random
+    from datetime import datetime, timedelta
+
+    rng, start = random.Random(5), datetime(2024, 1, 1)
+    hits = [(rng.choice(["p", "q", None]), start + timedelta(minutes=20 * rng.randrange(300)) if i % 17 else None, i) for i in range(900)]
+    links = []
+    for i in range(120):
+        made = start + timedelta(minutes=20 * rng.randrange(300))
+        links.append((f"s{i}", rng.choice(["p", "q", "none", None]), made if i % 13 else None, made + timedelta(minutes=20 * rng.randrange(-3, 90)) if i % 2 else None, i % 7 if i % 3 == 0 else None))
+    want = {}
+    for token, path, made, end, most in links:
+        n = sum(1 for p, t, _ in hits if None not in (p, t, path, made) and p == path and t >= made and (end is None or t <= end))
+        want[token] = n if most is None else min(n, most)
+    frame = spark.createDataFrame(links, "token string, path string, created_at timestamp_ntz, expires_at timestamp_ntz, max_visits int")
+    return frame, spark.createDataFrame(hits, "path string, ts timestamp_ntz, event_id long"), want
+
+
+def test_share_visits_against_all_pairs(spark):
+    links, hits, want = _shares(spark)
+    assert {r["token"]: r["visits"] for r in activity.share_visits(links, hits).collect()} == want
+
+
+def test_share_visits_pair_no_accesses(spark):
+    """A link meets two rows of running counts, not every access of its note."""
+    hits = spark.sql("select 'p' as path, timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id % 86400) as ts, id as event_id from range(3000)")
+    links = spark.sql("select 's' || id as token, 'p' as path, timestamp_ntz'2024-01-01 00:00:00' as created_at, cast(null as timestamp_ntz) as expires_at, cast(null as int) as max_visits from range(300)")
+    told = activity.share_visits(links, hits)
+    assert {r["visits"] for r in told.collect()} == {3000}
+    plan, most, todo = told._jdf.queryExecution().executedPlan(), 0, []
+    todo.append(plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan)
+    while todo:
+        node = todo.pop()
+        found = node.metrics().get("numOutputRows")
+        most = max(most, found.get().value() if found.isDefined() else 0)
+        below = [node.plan()] if node.nodeName().endswith("QueryStage") else [node.children().apply(i) for i in range(node.children().size())]
+        todo.extend(below)
+    assert 0 < most <= 3600
+
+
+def test_streams_are_drained_without_the_driver(spark, tmp_path):
+    """Batches are upserted by key, in whatever number they come."""
+    from marginalia.plans import streaming
+    from marginalia.streaming import activity as S
+
+    for i in range(3):
+        spark.createDataFrame([(k, i * 10 + j) for j, k in enumerate(["a", "b", None])][: 3 - i], "k string, v long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema("k string, v long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    told = streaming.drained(stream().groupBy("k").agg(F.sum("v").alias("v"), F.count("*").alias("n")), "update", ["k"])
+    assert {r["k"]: (r["v"], r["n"]) for r in told.collect()} == {"a": (30, 3), "b": (12, 2), None: (2, 1)}
+    assert all(f.startswith("file:") for f in told.inputFiles()) and told.inputFiles()
+    assert streaming.drained(stream(), "append").count() == 6
+    accesses = "token string, ts timestamp, n long, expires_at timestamp, max_visits double"
+    rows = [("s", "2024-01-01", 5, "2024-01-02", None), ("z", "2024-01-09", 1, None, None), ("s", "2024-01-10", 7, "2024-01-02", None), ("z", "2024-01-11", 9, None, 4.0)]
+    for t, at, n, end, most in rows:
+        one = spark.createDataFrame([(t, at, n, end, most)], "token string, ts string, n long, expires_at string, max_visits double")
+        one.selectExpr("token", "cast(ts as timestamp) ts", "n", "cast(expires_at as timestamp) expires_at", "max_visits").coalesce(1).write.mode("append").parquet(str(tmp_path / "acc"))
+    told = streaming.drained(S.share_budget(spark.readStream.schema(accesses).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "acc"))), "update", ["token"])
+    assert {r["token"]: r["visits"] for r in told.collect()} == {"s": 5, "z": 4}
