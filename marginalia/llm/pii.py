@@ -32,7 +32,8 @@ PHONE = r"(?<![\w+(])(?:\+1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 CARD = r"(?<![\w-])\d(?:[ -]?\d){12,18}(?!\w)"
 CLOUD_KEY = r"(?<!\w)AKIA[0-9A-Z]{16}(?!\w)"
-SECRET = r"(?<!\w)(?:password|passwd|secret|token|api_key) {0,2}[=:] {0,2}[\"']?[0-9a-f]{12,64}(?![0-9A-Za-z])"
+NAMED = r"(?i:password|passwd|secret|token|api_key) {0,2}[=:] {0,2}[\"']?"
+SECRET = rf"(?<!\w){NAMED}[0-9A-Fa-f]{{12,64}}(?![0-9A-Za-z])"
 KINDS = {"email": EMAIL, "date": DATE, "ipv4": IPV4, "ssn": SSN, "phone": PHONE, "card": CARD, "cloud_key": CLOUD_KEY, "secret": SECRET}
 PATTERN = "|".join(KINDS.values())
 
@@ -114,6 +115,14 @@ def _card(m: Column, key: str) -> Column:
     return F.when((_checksum(d) % 10 == 0) & d.rlike("[1-9]"), _laid_out(m, _let(front, lambda x: F.concat(x, check(x)))))
 
 
+def _hex(secret: Column, key: str) -> Column:
+    """Hex digits of one case are permuted as a number, so both cases of it link; in mixed
+    case each character stays in its class, so that different values stay different."""
+    one = _let(permute_text(F.lower(secret), [HEX], key, "secret"), lambda x: F.when(secret.rlike("[A-F]"), F.upper(x)).otherwise(x))
+    mixed = permute_text(secret, [DIGITS, HEX[10:], HEX[10:].upper()], key, "secret")
+    return F.when(secret.rlike("[a-f]") & secret.rlike("[A-F]"), mixed).otherwise(one)
+
+
 def _ipv4(m: Column, key: str) -> Column:
     octet = lambda k: F.split(m, r"\.")[k].cast("int")
     valid = (octet(0) < 256) & (octet(1) < 256) & (octet(2) < 256) & (octet(3) < 256)
@@ -163,14 +172,14 @@ def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one match of PATTERN; null if it is not valid."""
     whole = lambda p: m.rlike(f"^(?:{p})$")
     country, national = _after(m, r"\+1[ .-]?")
-    named, secret = _after(m, r"(?:password|passwd|secret|token|api_key) {0,2}[=:] {0,2}[\"']?")
+    named, secret = _after(m, NAMED)
     return (
         F.when(m.contains("@"), F.concat(permute_text(F.substring_index(m, "@", 1), [DIGITS, LOWER, UPPER], key, "email"), F.lit("@"), F.substring_index(m, "@", -1)))
         .when(whole(r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}"), _date(m, key))
         .when(whole(r"\d+\.\d+\.\d+\.\d+"), _ipv4(m, key))
         .when(whole(r"\d{3}-\d{2}-\d{4}"), _ssn(m, key))
         .when(m.startswith("AKIA"), F.concat(F.lit("AKIA"), permute_text(F.substring(m, 5, 16), [DIGITS, UPPER], key, "cloud")))
-        .when(named != "", F.concat(named, permute_text(secret, [HEX], key, "secret")))
+        .when(named != "", F.concat(named, _hex(secret, key)))
         .when(F.length(_digits(m)) >= 13, _card(m, key))
         .otherwise(F.concat(country, _laid_out(national, permute_text(_digits(national), [DIGITS], key, "phone"))))
     )

@@ -130,6 +130,17 @@ def test_pseudonyms_keep_their_format(spark):
     assert re.search(r"ip (\S+),", a)[1] == b.split(", ")[1]
 
 
+def test_secrets_in_any_case(spark):
+    low = "9233a8ec17d2b82bc439e9329b"
+    texts = [f'TOKEN = "{low.upper()}" end', f'token = "{low}" end', f"Api_Key: {low[:13]}{low[13:].upper()} end", "SECRET=NOTHEXATALLXYZ end"]
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    a, b, c, d = (r["text"] for r in rows)
+    assert [r["pii_found"] for r in rows] == [1, 1, 1, 0] and d == texts[3]
+    assert low not in (a + b + c).lower()
+    assert re.fullmatch(r'TOKEN = "[0-9A-F]{26}" end', a) and a.lower() == b
+    assert re.fullmatch(r"Api_Key: [0-9a-f]{13}[0-9A-F]{13} end", c)
+
+
 def test_permutations_are_one_to_one(spark):
     from pyspark.sql import functions as F
 
