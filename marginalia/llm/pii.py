@@ -30,7 +30,10 @@ DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})
 IPV4 = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
 PHONE = r"(?<![\w+(])(?:\+1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-CARD = r"(?<![\w-])\d(?:[ -]?\d){12,18}(?!\w)"
+#: Cards as they are issued, and the longest other run; neither runs into what begins a value of its own.
+ISSUED = r"(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\w)"
+_NEXT = rf"[ -](?!{DATE}|{IPV4}|{SSN}|{PHONE}|{ISSUED})"
+CARD = rf"(?<![\w-])(?:\d{{4}}(?:[ -]\d{{4}}[ -]\d{{4}}[ -]\d{{4}}|[ -]\d{{6}}[ -]\d{{5}})(?!\w)(?:{_NEXT}\d{{1,4}}(?!\w))?|\d(?:\d|{_NEXT}\d){{12,18}}(?!\w))"
 CLOUD_KEY = r"(?<!\w)AKIA[0-9A-Z]{16}(?!\w)"
 NAMED = r"(?i:password|passwd|secret|token|api_key) {0,2}[=:] {0,2}[\"']?"
 SECRET = rf"(?<!\w){NAMED}[0-9A-Fa-f]{{12,64}}(?![0-9A-Za-z])"
@@ -108,11 +111,27 @@ def _checksum(digits: Column) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    d = _digits(m)
-    n = F.length(d)
-    front = F.concat(F.substring(d, F.lit(1), F.lit(1)), permute_text(F.substring(d, F.lit(2), n - 2), [DIGITS], key, "card"))
-    check = lambda x: F.pmod(10 - F.pmod(_checksum(F.concat(x, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
-    return F.when((_checksum(d) % 10 == 0) & d.rlike("[1-9]"), _laid_out(m, _let(front, lambda x: F.concat(x, check(x)))))
+    """The card in a run of digits: as issued, the whole run, a shorter run from its start, or
+    the last four groups of four; what is beside it stays."""
+    size = F.length(m)
+    issued = F.length(F.regexp_extract(m, f"^{ISSUED}", 0))
+    ends = F.filter(F.sequence(size, F.lit(13), F.lit(-1)), lambda i: (i == size) | F.substring(m, i + 1, F.lit(1)).isin(" ", "-"))
+    last = F.length(F.regexp_extract(m, r"(?<=[ -])\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}$", 0))
+    span = lambda at, n: F.struct(at.cast("int").alias("at"), n.cast("int").alias("n"))
+    spans = F.concat(F.array(span(F.lit(1), issued)), F.transform(ends, lambda i: span(F.lit(1), i)), F.array(span(size - last + 1, last)))
+
+    def valid(s: Column) -> Column:
+        d = _digits(F.substring(m, s["at"], s["n"]))
+        return F.length(d).between(13, 19) & (_checksum(d) % 10 == 0) & d.rlike("[1-9]")
+
+    def written(s: Column) -> Column:
+        shape = F.substring(m, s["at"], s["n"])
+        d = _digits(shape)
+        front = F.concat(F.substring(d, F.lit(1), F.lit(1)), permute_text(F.substring(d, F.lit(2), F.length(d) - 2), [DIGITS], key, "card"))
+        check = lambda x: F.pmod(10 - F.pmod(_checksum(F.concat(x, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
+        return F.concat(F.substring(m, F.lit(1), s["at"] - 1), _laid_out(shape, _let(front, lambda x: F.concat(x, check(x)))), F.substring(m, s["at"] + s["n"], size))
+
+    return F.get(F.transform(F.slice(F.filter(spans, valid), 1, 1), written), F.lit(0))
 
 
 def _hex(secret: Column, key: str) -> Column:

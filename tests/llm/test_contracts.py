@@ -141,6 +141,26 @@ def test_secrets_in_any_case(spark):
     assert re.fullmatch(r"Api_Key: [0-9a-f]{13}[0-9A-F]{13} end", c)
 
 
+def test_cards_beside_other_digits(spark):
+    card, bare = "4111 1111 1111 1111", "4111111111111111"
+    texts = [f"{bare} 123", f"{card} 12/27", f"{card} 2027", f"{card}-123", f"12 {card}", f"2024 {card}", f"{bare} 078-05-1120", f"{card} 444 555-4984", f"{card} 5500 0000 0000 0004", "3782 822463 10005 1234", "6304 0000 0000 0001 107", "4111 1111 1111 1112 123"]
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    told = [r["text"] for r in rows]
+    new = feistel_card(bare, pii.KEY)
+    laid = " ".join(new[i : i + 4] for i in range(0, 16, 4))
+    assert told[:6] == [f"{new} 123", f"{laid} 12/27", f"{laid} 2027", f"{laid}-123", f"12 {laid}", f"2024 {laid}"]
+    assert told[6].startswith(new + " ") and "078-05-1120" not in told[6] and re.fullmatch(r"\d{16} \d{3}-\d{2}-\d{4}", told[6])
+    assert told[7].startswith(laid + " ") and "555-4984" not in told[7]
+    other = feistel_card("5500000000000004", pii.KEY)
+    assert told[8] == f"{laid} " + " ".join(other[i : i + 4] for i in range(0, 16, 4))
+    amex = feistel_card("378282246310005", pii.KEY)
+    assert told[9] == f"{amex[:4]} {amex[4:10]} {amex[10:]} 1234"
+    assert luhn("6304000000000001107") and not luhn("6304000000000001")
+    assert re.sub(r"\D", "", told[10]) == feistel_card("6304000000000001107", pii.KEY)
+    assert told[11] == texts[11]
+    assert [r["pii_found"] for r in rows] == [1, 1, 1, 1, 1, 1, 2, 2, 2, 1, 1, 0]
+
+
 def test_permutations_are_one_to_one(spark):
     from pyspark.sql import functions as F
 
