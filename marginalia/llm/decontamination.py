@@ -52,10 +52,14 @@ def sketches(items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
 def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, item_id, shared and n_item shingles, containment: the verified pairs."""
     lookup = durable(sketches(items, containment))
-    lookup = F.broadcast(lookup) if lookup.count() <= BROADCAST_ROWS else lookup
-    met = shingles(docs, "doc_id", "text").join(lookup, "h")
-    pairs = met.groupBy("doc_id", "item_id", "n_item", "h").agg(F.max("sketch").alias("sketch")).groupBy("doc_id", "item_id", "n_item")
-    told = pairs.agg(F.count("*").alias("n_shared"), F.max("sketch").alias("candidate")).where("candidate")
+    small = lookup.count() <= BROADCAST_ROWS
+    held = lambda rows: F.broadcast(rows) if small else rows
+    pairs = durable(shingles(docs, "doc_id", "text").join(held(lookup.where("sketch").select("item_id", "h")), "h").select("doc_id", "item_id").distinct())
+    # ids that are null meet each other, as in grouping
+    same = lambda other: docs["doc_id"].eqNullSafe(other["doc_id"])
+    met = shingles(docs.join(ids := pairs.select("doc_id").distinct(), same(ids), "left_semi"), "doc_id", "text").join(held(lookup.drop("sketch")), "h").alias("m")
+    kept = met.join(pairs.alias("p"), F.expr("m.doc_id <=> p.doc_id and m.item_id <=> p.item_id"), "left_semi")
+    told = kept.select("doc_id", "item_id", "n_item", "h").distinct().groupBy("doc_id", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
     return told.where(F.col("n_shared") >= F.ceil(F.col("n_item") * F.lit(containment) - F.lit(1e-9))).select("doc_id", "item_id", "n_shared", "n_item", F.round(F.col("n_shared") / F.col("n_item"), 6).alias("containment"))
 
 

@@ -83,6 +83,21 @@ def test_contained_at_the_threshold(spark):
     assert decontamination.contained_items(docs, items.limit(0)).count() == 0
 
 
+def test_only_pairs_that_meet_in_a_sketch_are_counted(spark, monkeypatch):
+    """With the sketches emptied, nothing is a candidate, before anything is counted."""
+    from pyspark.sql import functions as F
+
+    text = " ".join(f"w{i}" for i in range(29))
+    docs, items = spark.createDataFrame([(1, text), (None, text)], "doc_id long, text string"), spark.createDataFrame([(7, text)], "item_id long, text string")
+    assert {(r["doc_id"], r["n_shared"]) for r in decontamination.contained_items(docs, items).collect()} == {(1, 25), (None, 25)}
+    looked, durable = [], decontamination.durable
+    monkeypatch.setattr(decontamination, "durable", lambda df: (looked.append(df.columns), durable(df))[1])
+    sketches = decontamination.sketches
+    monkeypatch.setattr(decontamination, "sketches", lambda *a: sketches(*a).withColumn("sketch", F.lit(False)))
+    assert decontamination.contained_items(docs, items).count() == 0
+    assert ["doc_id", "item_id"] in looked
+
+
 def test_every_sketch_is_large_enough(spark):
     items = spark.createDataFrame([(n, " ".join(f"w{n}x{i}" for i in range(n + 4))) for n in range(1, 70)], "item_id long, text string")
     for r in decontamination.sketches(items).groupBy("item_id", "n_item").agg({"sketch": "count"}).collect():
