@@ -235,33 +235,46 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _removed(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
+#: Bytes of remaining text in a batch that a task gives out.
+BATCH = 8 << 20
+RESULT = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "text": pa.string()}
+
+
+def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     expand = zstandard.ZstdDecompressor()
+    rows: list[tuple] = []
+    held = 0
+
+    def told() -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * len(RESULT)
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, RESULT.values(), strict=True)], list(RESULT))
+
     for batch in batches:
-        cols: list[list] = [[] for _ in range(6)]
-        for doc, z, spans in zip(*(batch[c].to_pylist() for c in ("doc_id", "z", "spans")), strict=True):
-            b = expand.decompress(z)
-            runs = merged([(s["lo"], s["end"]) for s in spans or []])
+        for doc, z, spans in zip(batch["doc_id"], batch["z"], batch["spans"], strict=True):
+            b = expand.decompress(z.as_py())
+            runs = merged([(s["lo"], s["end"]) for s in spans.as_py() or []])
             kept, at = [], 0
             for lo, end in runs:
                 kept.append(b[at:lo])
                 at = end
             rest = b"".join([*kept, b[at:]])
-            for column, v in zip(cols, (doc, len(b), len(b) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), rest if keep_text else None), strict=True):
-                column.append(v)
-        types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            rows.append((doc.as_py(), len(b), len(b) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "replace")))
+            held += len(rest)
+            if held >= BATCH:
+                yield told()
+                held = 0
+    yield told()
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = False, group: int = GROUP) -> DataFrame:
-    """One row per document: bytes, removed bytes and runs, and the hash of what is left
-    (with ``keep_text``, its bytes too)."""
+def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
+    """One row per document: bytes, removed bytes and runs, the hash of the remaining bytes
+    and ``text``, those bytes as UTF-8 (a character that a cut divides becomes U+FFFD)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     text = packed(docs)
     spans = repeated_spans(docs, text, group).groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "end")).alias("spans"))
     joined = text.join(spans, _same(text, spans), "left").select(text["doc_id"], "z", "spans")
-    told = joined.mapInArrow(lambda it: _removed(it, keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return told if keep_text else told.drop("kept")
+    return joined.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
