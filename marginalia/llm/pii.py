@@ -1,35 +1,50 @@
 """Operator 4: format-preserving pseudonyms by keyed Feistel permutations.
 
-Addresses, phone numbers, card numbers, IP addresses, identity numbers, dates and
-access secrets are found by pattern and validated (card checksum, octet ranges,
+Addresses, phone numbers, card and account numbers, IP addresses, identity numbers,
+dates and access secrets are found by pattern and validated (checksums, octet ranges,
 calendar, number ranges). A value is permuted within its own format by a Feistel
 network whose round function is keyed SHA-256: equal values get equal pseudonyms in
-every document, different values of a format get different ones, a card keeps its
-length, first digit, separators and a right checksum, a date stays a date.
+every document, different values of a format get different ones. A card keeps its
+length, first digit, separators and a right checksum; an account number its country
+and right check digits; a phone number its country code; an address its shape and last
+label; a date stays a date, and one that can only be day-first stays one.
 
-Everything is a column expression over the row: no shuffle, no Python.
+The key is the caller's. ``session_key`` reads it from ``spark.marginalia.pii.key``; where
+that is unset it draws one for the session, so that values stay linked within the
+session and nobody can turn them back. The key is a literal of the plan: event logs and
+plans are as secret as the key.
+
+Everything is a column expression over the row: no shuffle, no Python. Patterns repeat
+only characters, or groups a bounded number of times, so that no text, however long,
+deepens the stack.
 
 Null text stays null; text without personal data is returned as it is. All columns
-are kept; ``pii_found`` counts validated values (an input column of that name is
-replaced). Matches that fail validation are left alone.
+are kept; ``pii_found`` counts validated values, also those that the permutation maps to
+themselves (an input column of that name is replaced). Matches that fail validation
+are left alone.
 """
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import spare, table
 
-KEY = "marginalia-demo-key"
+KEY_SETTING = "spark.marginalia.pii.key"
 ROUNDS = 8
 
 #: How each kind is written.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-]|\.\d)"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}"
+DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-]|\.\d)"
 IPV4 = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
-PHONE = r"(?<![\w+(])(?:\+1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)"
+#: Country codes of telephone numbers: none is the beginning of another.
+COUNTRY = r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+PHONE = rf"(?<![\w+(])(?:(?:\+1[ .-]?)?(?:\(\d{{3}}\)[ .-]?|\d{{3}}[ .-])\d{{3}}[ .-]\d{{4}}|{COUNTRY}(?:[ .-]?\(\d{{1,4}}\)|[ .-]?\d{{2,4}})(?:[ .-]?\d{{2,4}}){{1,5}})(?!\w)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
+IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
 #: Cards as they are issued, and the longest other run; neither runs into what begins a value of its own.
 ISSUED = r"(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\w)"
 _NEXT = rf"[ -](?!{DATE}|{IPV4}|{SSN}|{PHONE}|{ISSUED})"
@@ -37,7 +52,7 @@ CARD = rf"(?<![\w-])(?:\d{{4}}(?:[ -]\d{{4}}[ -]\d{{4}}[ -]\d{{4}}|[ -]\d{{6}}[
 CLOUD_KEY = r"(?<!\w)AKIA[0-9A-Z]{16}(?!\w)"
 NAMED = r"(?i:password|passwd|secret|token|api_key) {0,2}[=:] {0,2}[\"']?"
 SECRET = rf"(?<!\w){NAMED}[0-9A-Fa-f]{{12,64}}(?![0-9A-Za-z])"
-KINDS = {"email": EMAIL, "date": DATE, "ipv4": IPV4, "ssn": SSN, "phone": PHONE, "card": CARD, "cloud_key": CLOUD_KEY, "secret": SECRET}
+KINDS = {"email": EMAIL, "date": DATE, "ipv4": IPV4, "ssn": SSN, "phone": PHONE, "cloud_key": CLOUD_KEY, "iban": IBAN, "card": CARD, "secret": SECRET}
 PATTERN = "|".join(KINDS.values())
 
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
@@ -80,7 +95,7 @@ def permute_text(text: Column, alphabets: list[str], key: str, tweak: str) -> Co
                 out = F.when(F.position(c, F.lit(x)) > 0, F.substring(F.lit(x), at.cast("int") + 1, F.lit(1))).otherwise(out)
             return out
 
-        return F.array_join(F.transform(F.split(half, ""), one), "")
+        return F.array_join(F.transform(F.filter(F.split(half, ""), lambda c: c != ""), one), "")
 
     cut = F.floor(F.length(text) / 2).cast("int")
     start = F.struct(F.substring(text, F.lit(1), cut).alias("l"), F.substring(text, cut + 1, F.length(text)).alias("r"))
@@ -96,11 +111,11 @@ def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
 
-def _laid_out(shape: Column, digits: Column) -> Column:
-    """``digits`` written over the digits of ``shape``, separators kept."""
-    place = lambda i: F.length(_digits(F.substring(shape, F.lit(1), i)))
+def _laid_out(shape: Column, written: Column, kind: str = "0-9") -> Column:
+    """``written`` over the characters of a kind in ``shape``, the others kept."""
+    place = lambda i: F.length(F.regexp_replace(F.substring(shape, F.lit(1), i), f"[^{kind}]", ""))
     one = lambda i: F.substring(shape, i, F.lit(1))
-    return _let(digits, lambda d: F.array_join(F.transform(F.sequence(F.lit(1), F.length(shape)), lambda i: F.when(one(i).rlike("[0-9]"), F.substring(d, place(i), F.lit(1))).otherwise(one(i))), ""))
+    return _let(written, lambda d: F.array_join(F.transform(F.sequence(F.lit(1), F.length(shape)), lambda i: F.when(one(i).rlike(f"[{kind}]"), F.substring(d, place(i), F.lit(1))).otherwise(one(i))), ""))
 
 
 def _checksum(digits: Column) -> Column:
@@ -167,18 +182,67 @@ def _ssn(m: Column, key: str) -> Column:
 
 #: The days of 400 years, 146,097 of them, as a product of near equal factors.
 CYCLE, CYCLE_A, CYCLE_B = 146_097, 189, 773
+WALK = 32
 
 
 def _date(m: Column, key: str) -> Column:
-    year = F.when(m.contains("/") | m.contains("."), F.substring(m, 7, 4)).otherwise(F.substring(m, 1, 4))
-    month = F.when(m.contains("/"), F.substring(m, 1, 2)).when(m.contains("."), F.substring(m, 4, 2)).otherwise(F.substring(m, 6, 2))
-    day = F.when(m.contains("/"), F.substring(m, 4, 2)).when(m.contains("."), F.substring(m, 1, 2)).otherwise(F.substring(m, 9, 2))
-    number = F.datediff(F.concat_ws("-", year, month, day).try_cast("date"), F.lit("1700-01-01").cast("date"))
-    to = permute_pair(F.floor(number / CYCLE_B), number % CYCLE_B, CYCLE_A, CYCLE_B, key, "date")
-    written = lambda p: F.date_format(F.date_add(F.lit("1700-01-01").cast("date"), (p["l"] * CYCLE_B + p["r"]).cast("int")), "yyyy-MM-dd")
-    y, mo, da = (lambda d: F.substring(d, 1, 4)), (lambda d: F.substring(d, 6, 2)), (lambda d: F.substring(d, 9, 2))
-    back = lambda d: F.when(m.contains("/"), F.concat_ws("/", mo(d), da(d), y(d))).when(m.contains("."), F.concat_ws(".", da(d), mo(d), y(d))).otherwise(d)
-    return F.when(number.between(0, CYCLE - 1), _let(_let(to, written), back))
+    """The permuted date in the same layout. Slashes are month-first where that is a date,
+    else day-first; then the permutation is walked on until the day is beyond 12 again, so
+    the layouts stay apart and different values stay different."""
+    first, second, year = F.substring(m, 1, 2), F.substring(m, 4, 2), F.substring(m, 7, 4)
+    slashed, turned = m.substr(3, 1) == "/", (m.substr(3, 1) == "/") & (first > "12")
+    iso = F.when(m.rlike(r"^\d{4}"), F.translate(m, "/", "-")).when(slashed & ~turned, F.concat_ws("-", year, first, second)).otherwise(F.concat_ws("-", year, second, first))
+    origin = F.lit("1700-01-01").cast("date")
+    number = F.datediff(iso.try_cast("date"), origin)
+    on = lambda n: _let(permute_pair(F.floor(n / CYCLE_B), n % CYCLE_B, CYCLE_A, CYCLE_B, key, "date"), lambda p: (p["l"] * CYCLE_B + p["r"]).cast("int"))
+    day = lambda n: F.dayofmonth(F.date_add(origin, n))
+    # two days in five are early ones: a walk of WALK steps fails to leave them once in 10^12 values
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), on(number), lambda n, _: F.when(turned & (day(n) <= 12), on(n)).otherwise(n))
+
+    def written(n: Column) -> Column:
+        d = F.date_format(F.date_add(origin, n), "yyyy-MM-dd")
+        y, mo, da = F.substring(d, 1, 4), F.substring(d, 6, 2), F.substring(d, 9, 2)
+        return F.when(turned, F.concat_ws("/", da, mo, y)).when(slashed, F.concat_ws("/", mo, da, y)).when(m.contains("."), F.concat_ws(".", da, mo, y)).when(m.contains("/"), F.concat_ws("/", y, mo, da)).otherwise(d)
+
+    return F.when(number.between(0, CYCLE - 1), _let(walked, written))
+
+
+def _mod97(account: Column) -> Column:
+    """The remainder by which account numbers are checked: the first four characters come last, letters count from ten."""
+    chars = F.filter(F.split(F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 4)), ""), lambda c: c != "")
+    return F.aggregate(chars, F.lit(0), lambda s, c: F.when(F.ascii(c) < 58, (s * 10 + F.ascii(c) - 48) % 97).otherwise((s * 100 + F.ascii(c) - 55) % 97))
+
+
+def _iban(m: Column, key: str) -> Column:
+    """The account number at the start of the match, as a whole or up to a space; what follows stays."""
+    size = F.length(m)
+    ends = F.filter(F.sequence(size, F.lit(15), F.lit(-1)), lambda i: (i == size) | (F.substring(m, i + 1, F.lit(1)) == " "))
+    bare = lambda i: F.replace(F.substring(m, F.lit(1), i), F.lit(" "), F.lit(""))
+    valid = lambda i: F.length(bare(i)).between(15, 34) & (_mod97(bare(i)) == 1)
+
+    def written(i: Column) -> Column:
+        country = F.substring(m, 1, 2)
+        new = permute_text(F.substring(bare(i), F.lit(5), size), [DIGITS, UPPER], key, "iban")
+        check = lambda x: F.lpad((98 - _mod97(F.concat(country, F.lit("00"), x))).cast("string"), 2, "0")
+        whole = _let(new, lambda x: F.concat(country, check(x), x))
+        return F.concat(_laid_out(F.substring(m, F.lit(1), i), whole, "0-9A-Z"), F.substring(m, i + 1, size))
+
+    return F.get(F.transform(F.slice(F.filter(ends, valid), 1, 1), written), F.lit(0))
+
+
+def _email(m: Column, key: str) -> Column:
+    """Local part and host are permuted apart, so that hosts stay linked; the last label stays.
+    No host is longer than 253 characters."""
+    local, host = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
+    last = F.substring_index(host, ".", -1)
+    named = F.substring(host, F.lit(1), F.length(host) - F.length(last) - 1)
+    return F.when(F.length(host) <= 253, F.concat(permute_text(local, [DIGITS, LOWER, UPPER], key, "email"), F.lit("@"), permute_text(named, [DIGITS, LOWER, UPPER], key, "host"), F.lit("."), last))
+
+
+def _phone(m: Column, key: str) -> Column:
+    country, national = _after(m, COUNTRY)
+    digits = _digits(national)
+    return F.when(F.length(digits).between(6, 14), F.concat(country, _laid_out(national, permute_text(digits, [DIGITS], key, "phone"))))
 
 
 def _after(m: Column, pattern: str) -> tuple[Column, Column]:
@@ -190,32 +254,39 @@ def _after(m: Column, pattern: str) -> tuple[Column, Column]:
 def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one match of PATTERN; null if it is not valid."""
     whole = lambda p: m.rlike(f"^(?:{p})$")
-    country, national = _after(m, r"\+1[ .-]?")
     named, secret = _after(m, NAMED)
     return (
-        F.when(m.contains("@"), F.concat(permute_text(F.substring_index(m, "@", 1), [DIGITS, LOWER, UPPER], key, "email"), F.lit("@"), F.substring_index(m, "@", -1)))
-        .when(whole(r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}"), _date(m, key))
+        F.when(m.contains("@"), _email(m, key))
+        .when(whole(r"\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}"), _date(m, key))
         .when(whole(r"\d+\.\d+\.\d+\.\d+"), _ipv4(m, key))
         .when(whole(r"\d{3}-\d{2}-\d{4}"), _ssn(m, key))
         .when(m.startswith("AKIA"), F.concat(F.lit("AKIA"), permute_text(F.substring(m, 5, 16), [DIGITS, UPPER], key, "cloud")))
         .when(named != "", F.concat(named, _hex(secret, key)))
-        .when(F.length(_digits(m)) >= 13, _card(m, key))
-        .otherwise(F.concat(country, _laid_out(national, permute_text(_digits(national), [DIGITS], key, "phone"))))
+        .when(m.rlike("^[A-Z]{2}"), _iban(m, key))
+        .when(~m.startswith("+") & (F.length(_digits(m)) >= 13), _card(m, key))
+        .otherwise(_phone(m, key))
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
-    """The same rows with personal data in ``text`` replaced, and ``pii_found``."""
-    found = docs.withColumn("__found", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    told = found.withColumn("__new", F.when(F.size("__found") > 0, F.transform("__found", lambda m: F.coalesce(pseudonym(m, key), m))))
-    known = F.size(F.filter(F.arrays_zip("__found", "__new"), lambda p: p["__found"] != p["__new"]))
+def session_key(spark: SparkSession) -> str:
+    """The key of ``spark.marginalia.pii.key``; where it is unset, one is drawn for the session."""
+    if not spark.conf.get(KEY_SETTING, None):
+        spark.conf.set(KEY_SETTING, secrets.token_hex(32))
+    return spark.conf.get(KEY_SETTING)
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None, text: str = "text") -> DataFrame:
+    """The same rows with personal data in ``text`` replaced, and ``pii_found``; without a key, the session's."""
+    key = key or session_key(docs.sparkSession)
+    found = spare(docs, "found")
+    new = spare(docs, "new")
+    said = docs.withColumn(found, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    told = said.withColumn(new, F.when(F.size(found) > 0, F.transform(found, lambda m: pseudonym(m, key))))
+    placed = F.zip_with(F.col(new), F.col(found), lambda n, m: F.coalesce(n, m))
     pieces = F.split(F.col(text), PATTERN, -1)
-    joined = F.array_join(F.zip_with(pieces, F.concat("__new", F.array(F.lit(""))), lambda p, q: F.concat(p, q)), "")
-    return (
-        told.withColumn(text, F.when(F.col("__new").isNotNull(), joined).otherwise(F.col(text)))
-        .withColumn("pii_found", F.when(F.col("__new").isNotNull(), known).otherwise(0).cast("int"))
-        .drop("__found", "__new")
-    )
+    joined = F.array_join(F.zip_with(pieces, F.concat(placed, F.array(F.lit(""))), lambda p, q: F.concat(p, q)), "")
+    known = F.size(F.filter(new, lambda n: n.isNotNull()))
+    return told.withColumns({text: F.when(F.col(new).isNotNull(), joined).otherwise(F.col(text)), "pii_found": F.when(F.col(new).isNotNull(), known).otherwise(0).cast("int")}).drop(found, new)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
