@@ -13,7 +13,7 @@ import tiktoken
 import xxhash
 
 import corpus_pipeline
-from marginalia.llm import byte_bpe, decontamination, language_id, licenses, pii, quality_classifier, quality_rules, registry, sharding, simhash, substring_dedup
+from marginalia.llm import byte_bpe, language_id, licenses, pii, quality_classifier, quality_rules, registry, sharding, simhash, substring_dedup
 from tests.compare import assert_same
 
 LONG = "word " * 30_000
@@ -71,41 +71,6 @@ def test_license_blocks_across_windows(spark):
     assert (row["labels"], row["n_base"], row["score"]) == ("proprietary", 0, 1.0)
 
 
-# 3
-def test_contained_at_the_threshold(spark):
-    item = [f"w{i}" for i in range(29)]  # 25 shingles
-    inside = lambda n: " ".join([f"x{i}" for i in range(500)] + item[:n] + ["end"] * 300)
-    docs = spark.createDataFrame([(1, inside(29)), (2, inside(24)), (3, inside(23)), (4, None), (5, "")], "doc_id long, text string")
-    items = spark.createDataFrame([(7, " ".join(item)), (8, "too short"), (9, None)], "item_id long, text string")
-    told = {(r["doc_id"], r["item_id"]): r["n_shared"] for r in decontamination.contained_items(docs, items).collect()}
-    assert told == {(1, 7): 25, (2, 7): 20}
-    assert sorted(r["doc_id"] for r in decontamination.decontaminate(docs, items).collect()) == [3, 4, 5]
-    assert decontamination.contained_items(docs, items.limit(0)).count() == 0
-
-
-def test_only_pairs_that_meet_in_a_sketch_are_counted(spark, monkeypatch):
-    """With the sketches emptied, nothing is a candidate, before anything is counted."""
-    from pyspark.sql import functions as F
-
-    text = " ".join(f"w{i}" for i in range(29))
-    docs, items = spark.createDataFrame([(1, text), (None, text)], "doc_id long, text string"), spark.createDataFrame([(7, text)], "item_id long, text string")
-    assert {(r["doc_id"], r["n_shared"]) for r in decontamination.contained_items(docs, items).collect()} == {(1, 25), (None, 25)}
-    looked, durable = [], decontamination.durable
-    monkeypatch.setattr(decontamination, "durable", lambda df: (looked.append(df.columns), durable(df))[1])
-    sketches = decontamination.sketches
-    monkeypatch.setattr(decontamination, "sketches", lambda *a: sketches(*a).withColumn("sketch", F.lit(False)))
-    assert decontamination.contained_items(docs, items).count() == 0
-    assert ["doc_id", "item_id"] in looked
-
-
-def test_every_sketch_is_large_enough(spark):
-    items = spark.createDataFrame([(n, " ".join(f"w{n}x{i}" for i in range(n + 4))) for n in range(1, 70)], "item_id long, text string")
-    for r in decontamination.sketches(items).groupBy("item_id", "n_item").agg({"sketch": "count"}).collect():
-        assert r["item_id"] == r["n_item"]
-    counts = Counter(r["item_id"] for r in decontamination.sketches(items).where("sketch").collect())
-    assert all(counts[n] > n - 0.8 * n - 1e-9 for n in range(1, 70))
-
-
 # 5
 def brute_repeats(texts: dict[int, str | None], length: int) -> dict[int, tuple]:
     data = {d: (t or "").encode() for d, t in texts.items()}
