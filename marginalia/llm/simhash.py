@@ -4,19 +4,22 @@ A document's fingerprint takes each bit by majority over the XXH64 values of its
 three-word shingles. Equal fingerprints become one before any search. Fingerprints
 within ``RADIUS`` bits agree on at least two of five blocks of their bits, so each is
 dealt to ten shards, one for each pair of blocks and their value, and every link shows
-in some shard. A shard's fingerprints form BK-trees: a node's children are keyed by
+in some shard. A shard of more than ``TREE`` fingerprints is dealt again in the same way by
+its other bits. A shard's fingerprints form BK-trees: a node's children are keyed by
 their Hamming distance to it, and a search follows only edges within the radius of
-the node's distance to what is sought. A shard with more than ``TREE`` fingerprints is
-divided into trees of about that size, and all its fingerprints are sent to each of
-them: no task holds more than one tree at a time, and the others stream by.
+the node's distance to what is sought. What is still larger after the second deal (about
+2^15 times ``TREE``, or very many variants of one text) is divided into trees of ``TREE``
+fingerprints, and all of it is sent to each of them: no task holds more than one tree at a
+time, and the others stream by.
 
 Only links that join two groups are returned (a forest of each tree), never all pairs
 within a group. Groups are found by alternating large-star and small-star steps with
-a checkpoint after each, in plain joins and minima.
+a checkpoint after each, in plain joins and minima; their nodes are fingerprints.
 
 Null and empty texts have fingerprint zero and link like any other. A null doc_id is
-larger than any other; a group of only such has a null component_id. Rows that share
-a doc_id count as one document of the group. Extra columns are ignored.
+larger than any other; a group of only such has a null component_id. Extra columns are
+ignored. ``deduplicate`` tells rows apart by id and text: one row of each group stays, also
+of rows that repeat entirely or have no id.
 """
 
 from __future__ import annotations
@@ -30,13 +33,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, table, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Blocks of the bits outside a pair of blocks, 38 or 39 of them.
+INNER = ((0, 8), (8, 8), (16, 8), (24, 8), (32, 7))
+PAIRS = tuple(combinations(range(len(BLOCKS)), len(BLOCKS) - RADIUS))
 TREE = 4096
-#: Node ids from here on stand for fingerprints without a doc_id.
-NO_ID = (1 << 63) - (1 << 41)
 
 
 def fingerprint(text: str | None) -> int:
@@ -57,14 +61,18 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+    """doc_id, key (of the text) and fp, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t) for t in batch["text"].to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], pa.array(fps)], ["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(F.col("text")).alias("key"), "text").mapInArrow(run, "doc_id long, key string, fp long")
+
+
+def _key(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
 
 
 class BKTree:
@@ -110,10 +118,10 @@ def _tree_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         a, b = [], []
-        for key, part, own, fp, node in zip(*(batch[c].to_pylist() for c in ("shard", "part", "own", "fp", "node")), strict=True):
-            if (key, part) != at:
-                at, tree, nodes, parent = (key, part), BKTree(), [], []
-            fp &= (1 << 64) - 1
+        for *key, own, node in zip(*(batch[c].to_pylist() for c in ("shard", "inner", "part", "own", "fp")), strict=True):
+            if key != at:
+                at, tree, nodes, parent = key, BKTree(), [], []
+            fp = node & (1 << 64) - 1
             near = {root(k) for k in tree.search(fp, RADIUS)}
             for k in near:
                 a.append(node)
@@ -128,22 +136,42 @@ def _tree_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _shards(fp: Column) -> Column:
-    block = lambda k: F.shiftrightunsigned(fp, BLOCKS[k][0]).bitwiseAND(F.lit((1 << BLOCKS[k][1]) - 1))
-    pairs = list(combinations(range(len(BLOCKS)), len(BLOCKS) - RADIUS))
-    return F.array(*(F.lit(n << 26).cast("long") + block(i) * (1 << 13) + block(j) for n, (i, j) in enumerate(pairs)))
+def _block(x: Column, at: tuple[int, int]) -> Column:
+    return F.shiftrightunsigned(x, at[0]).bitwiseAND(F.lit((1 << at[1]) - 1))
+
+
+def _shards(x: Column, blocks: tuple = BLOCKS) -> Column:
+    """A number for each pair of blocks and their values."""
+    return F.array(*(F.lit(n << 26).cast("long") + _block(x, blocks[i]) * (1 << 13) + _block(x, blocks[j]) for n, (i, j) in enumerate(PAIRS)))
+
+
+def _other_bits(fp: Column, shard: Column) -> Column:
+    """The bits outside the pair of blocks that the shard is of, side by side."""
+    rest = []
+    for pair in PAIRS:
+        at, bits = 0, F.lit(0).cast("long")
+        for k in set(range(len(BLOCKS))) - set(pair):
+            bits, at = bits + F.shiftleft(_block(fp, BLOCKS[k]), at), at + BLOCKS[k][1]
+        rest.append(bits)
+    return F.get(F.array(*rest), F.shiftright(shard, 26).cast("int"))
 
 
-def links(classes: DataFrame, tree: int = TREE) -> DataFrame:
-    """(a, b): a forest that joins all nodes whose fingerprints are within the radius.
-    ``classes`` has a row for each fingerprint: fp and node."""
-    dealt = classes.select("fp", "node", F.explode(_shards(F.col("fp"))).alias("shard"))
-    sizes = dealt.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
+def _counted(dealt: DataFrame) -> DataFrame:
+    """Rows of shards that hold two fingerprints or more, with their number."""
+    sizes = dealt.groupBy("shard", "inner").agg(F.count("*").alias("n")).where("n > 1")
+    return dealt.join(sizes, ["shard", "inner"])
+
+
+def links(fps: DataFrame, tree: int = TREE) -> DataFrame:
+    """(a, b): a forest that joins all fingerprints within the radius; ``fps`` has each once."""
+    first = _counted(fps.select("fp", F.explode(_shards(F.col("fp"))).alias("shard"), F.lit(-1).cast("long").alias("inner")))
+    inner = F.explode(_shards(_other_bits(F.col("fp"), F.col("shard")), INNER)).alias("inner")
+    again = _counted(first.where(F.col("n") > tree).select("fp", "shard", inner))
     parts = F.ceil(F.col("n") / F.lit(tree)).cast("int")
-    rows = dealt.join(sizes, "shard").withColumn("home", F.pmod(F.xxhash64("fp"), parts).cast("int")).select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    rows = rows.select("shard", "part", (F.col("home") == F.col("part")).alias("own"), "fp", "node")
-    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartition(n, "shard", "part").sortWithinPartitions("shard", "part", F.desc("own"))
+    rows = first.where(F.col("n") <= tree).unionByName(again).withColumn("home", F.pmod(F.xxhash64("fp"), parts).cast("int")).select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    rows = rows.select("shard", "inner", "part", (F.col("home") == F.col("part")).alias("own"), "fp")
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartition(n, "shard", "inner", "part").sortWithinPartitions("shard", "inner", "part", F.desc("own"))
     return ordered.mapInArrow(_tree_links, "a long, b long")
 
 
@@ -168,20 +196,38 @@ def components(pairs: DataFrame, rounds: int = 40) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def grouped(told: DataFrame) -> DataFrame:
+    """fp and root, the smallest fingerprint that it is joined to, for each fingerprint in ``told``."""
+    fps = durable(told.select("fp").distinct())
+    groups = components(links(fps)).withColumnRenamed("node", "fp")
+    return durable(fps.join(groups, "fp", "left").select("fp", F.coalesce("component", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id for every document."""
-    told = durable(fingerprints(docs))
-    own = F.lit(NO_ID) + F.pmod(F.xxhash64("fp"), F.lit(1 << 40))
-    classes = durable(told.groupBy("fp").agg(F.min("doc_id").alias("first")).select("fp", F.coalesce("first", own).alias("node")))
-    groups = components(links(classes))
-    settled = classes.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return told.join(settled, "fp").select("doc_id", "fp", F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"))
+    told = durable(fingerprints(docs).drop("key"))
+    roots = grouped(told)
+    classes = told.groupBy("fp").agg(F.min("doc_id").alias("first")).join(roots, "fp")
+    ids = durable(classes.groupBy("root").agg(F.min("first").alias("component_id")))
+    settled = durable(roots.join(ids, "root").select("fp", "component_id"))
+    return told.join(settled, "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest doc_id of their group; those without an id stay."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone.distinct(), "doc_id", "left_anti")
+    """One row of each group: that with the smallest doc_id, of equal ones that with the smallest key."""
+    told = durable(fingerprints(docs))
+    rows = told.groupBy("doc_id", "key").agg(F.min("fp").alias("fp"), F.count("*").alias("n"))  # equal texts have equal fingerprints
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "n")
+    first = rows.join(grouped(told), "fp").groupBy("root").agg(F.min(order).alias("r"))
+    stays = written(first.select(F.col("r.doc_id").alias("id"), "r.key", "r.n"))
+
+    def chosen(these: DataFrame) -> DataFrame:
+        return docs.join(these, [docs["doc_id"].cast("long").eqNullSafe(these["id"]), _key(docs["text"]) == these["key"]], "left_semi")
+
+    repeated = stays.where("n > 1")
+    if repeated.isEmpty():
+        return chosen(stays)
+    return chosen(stays.where("n = 1")).unionByName(chosen(repeated).dropDuplicates(["doc_id", "text"]))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,6 @@ from collections import Counter
 import public_tokenizers
 import pytest
 import tiktoken
-import xxhash
 
 import corpus_pipeline
 from marginalia.llm import byte_bpe, language_id, licenses, pii, quality_classifier, quality_rules, registry, sharding, simhash, substring_dedup
@@ -171,43 +170,6 @@ def test_a_hot_text_is_divided(spark):
     assert len(counts) == 16 and max(counts.values()) - min(counts.values()) <= 6
 
 
-# 9
-def brute_fingerprint(text: str | None) -> int:
-    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
-    if not words:
-        return 0
-    n = min(3, len(words))
-    h = [xxhash.xxh64_intdigest(b" ".join(words[i : i + n]), 42) for i in range(len(words) - n + 1)]
-    return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
-
-
-@pytest.mark.parametrize("tree", [simhash.TREE, 2])
-def test_groups_are_those_of_all_pairs(spark, documents, tree, monkeypatch):
-    monkeypatch.setattr(simhash.links, "__defaults__", (tree,))
-    base = " ".join(f"w{i}" for i in range(400))
-    rows = [(r["doc_id"], r["text"]) for r in documents.collect()] + [(2000 + k, base.replace(f"w{k * 7} ", f"v{k} ")) for k in range(40)] + [(3000, None), (3001, ""), (3002, "ONE two"), (3003, "one TWO")]
-    told = {r["doc_id"]: (r["fp"] & (2**64 - 1), r["component_id"]) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    fps = {d: brute_fingerprint(t) for d, t in rows}
-    assert {d: f for d, (f, _) in told.items()} == fps
-    parent = {d: d for d in fps}
-
-    def root(d):
-        while parent[d] != d:
-            d = parent[d]
-        return d
-
-    for a in fps:
-        for b in fps:
-            if a < b and (fps[a] ^ fps[b]).bit_count() <= 3 and root(a) != root(b):
-                parent[max(root(a), root(b))] = min(root(a), root(b))
-    assert {d: c for d, (_, c) in told.items()} == {d: root(d) for d in fps}
-
-
-def test_long_chains_settle(spark):
-    pairs = spark.range(1, 500).selectExpr("id as a", "id - 1 as b")
-    assert {r["component"] for r in simhash.components(pairs).collect()} == {0}
-
-
 # the pipeline
 def test_stages_take_effect(spark, data, documents):
     docs, counts = documents, [documents.count()]
