@@ -7,14 +7,20 @@ each distinct word is encoded once. The ids go back to the block in the order in
 the words came, and the block's documents look their pre-tokens up by position. The
 documents themselves are shuffled once, compressed; what words cost grows with the
 distinct words of each block, not with the text. A frequent word takes one entry of
-each block, so no word makes a bucket large. There are as many buckets as the
-session has shuffle partitions, and BLOCKS times as many blocks.
+each block, so no word makes a bucket large.
 
-Decoding looks ids up in the token-byte table, whose size is the vocabulary's.
+A block is what a task holds at once. The bytes of all texts are counted first, and there
+are as many blocks as make one ``BLOCK_BYTES`` on average, whatever the number of shuffle
+partitions; a longer text makes its block larger by its own length. There is a bucket for
+every ``BLOCKS_PER_BUCKET`` blocks, so that a bucket holds the words of about so many.
+
+Decoding looks ids up in the token-byte table, whose size is the vocabulary's: what a
+broadcast join with it would give, by array index.
 
 The vocabulary is a rank file named by the caller; it is read once and broadcast (tens
 of thousands of entries). Null text counts as empty and gives no ids. Columns other
-than doc_id and text are ignored; repeated rows give repeated results.
+than doc_id and text are ignored; repeated rows give repeated results, and rows that repeat
+entirely share a block. An input column named ``decoded`` is replaced by decoding.
 """
 
 from __future__ import annotations
@@ -34,8 +40,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Blocks for each shuffle partition: more hold less text each, and send more words in all.
-BLOCKS = 1
+#: Bytes of text in a block: smaller ones take less memory, and send more words in all.
+BLOCK_BYTES = 12 << 20
+BLOCKS_PER_BUCKET = 4
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -88,10 +95,12 @@ def _by_bucket(words: list[bytes], buckets: int) -> dict[int, list[int]]:
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """doc_id and ids, array<int>."""
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = -(-total // BLOCK_BYTES) or 1
+    n = -(-blocks // BLOCKS_PER_BUCKET)
     shared = spark.sparkContext.broadcast(ranks)
     tokens = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
-    block = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(BLOCKS * n)).cast("int")
+    block = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), block.alias("block"), tokens.alias("tokens")).mapInArrow(_pack, "doc_id long, block int, z binary, lens binary")
 
     def spoken(block: pa.Table) -> pa.Table:
@@ -156,6 +165,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str = public_token
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """The same rows with ``decoded``, the bytes that the ids stand for."""
+    encoded = encoded.drop("decoded")
     tokens = sorted(ranks, key=ranks.get)
     shared = encoded.sparkSession.sparkContext.broadcast((b"".join(tokens), np.cumsum([0, *map(len, tokens)])))
     names = encoded.columns

@@ -109,13 +109,15 @@ def test_repeated_rows_repeat_each_other(spark):
 
 
 # 6
-def test_ids_are_those_of_the_library(spark, awkward, documents):
+def test_ids_are_those_of_the_library(spark, awkward, documents, monkeypatch):
     ranks = byte_bpe.read_ranks(public_tokenizers.path(byte_bpe.VOCABULARY))
     bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     docs = awkward.select("doc_id", "text").union(documents.select("doc_id", "text").limit(50)).union(spark.createDataFrame([(500, "it's  a   test \n\n y\x85z 12½²٣ don't 'll"), (501, " \t\r\n  "), (502, "<|endoftext|>\x1c\x1f\x0b")], "doc_id long, text string"))
     sha = lambda b: hashlib.sha256(b).hexdigest()
     want = Counter((r["doc_id"], len(ids := bpe.encode_ordinary(r["text"] or "")), sha(",".join(map(str, ids)).encode()), sha((r["text"] or "").encode())) for r in docs.collect())
     assert Counter(tuple(r) for r in byte_bpe.digests(docs).collect()) == want
+    monkeypatch.setattr(byte_bpe, "BLOCK_BYTES", 4000)  # many blocks and buckets
+    assert Counter(tuple(r) for r in byte_bpe.digests(docs).collect()) == want
 
 
 # 7 and 10
