@@ -12,9 +12,9 @@ LINK = r"\[\[(.*?)(?:\|(.*?))?\]\]"
 IMAGE_REF = r"!\[([^\]]*)\]\(([^)]+)\)"
 FILE_REF = r"(?:^|[^!])\[([^\]]*)\]\(([^)]+\.(?:pdf|PDF|doc|docx|zip|rar))\)"
 TAG = r"(?:^|[^#\w])#([\w一-龥_-]+)"
-BLOCK_MATH = r"(?s)\$\$(.+?)\$\$"
-INLINE_MATH = r"\$([^\s$](?:[^$\n]*[^\s$])?)\$"
-HIGHLIGHT = r"==([^=\n]+)=="
+BLOCK_MATH = r"\$\$([\s\S]*?)\$\$"
+INLINE_MATH = r"\$([^\s\$\n\r][^\$\n\r]*[^\s\$\n\r]|[^\s\$\n\r])\$"
+HIGHLIGHT = r"==([^=\n\r]+)=="
 FENCE = r"(?s)(?:^|\n)```([^\n`]*)\n(.*?)\n```"
 HEADING = r"(?m)^(#{1,6})[ \t]+(.+?)[ \t]*#*[ \t]*$"
 LINKED_FILE = r"\.(pdf|PDF|png|jpg|jpeg|gif|svg|webp)$"
@@ -57,21 +57,17 @@ def embeds(text: Column) -> Column:
 
 
 def metadata_tags(meta: Column) -> Column:
-    """Tags of the metadata block: ``tags`` then ``tag``, each a list or one word."""
+    """Tags of a metadata block of plain lines: ``tags`` then ``tag``, each a list or one value."""
 
     def named(key: str) -> Column:
-        flow = F.split(F.regexp_extract(meta, rf"(?m)^{key}:[ \t]*\[(.*?)\][ \t]*$", 1), ",")
-        dashes = all_of(F.regexp_extract(meta, rf"(?m)^{key}:[ \t]*\r?\n((?:[ \t]*-[ \t]+.*(?:\r?\n|$))+)", 1), r"-[ \t]+(.*)")
-        single = F.array(F.regexp_extract(meta, rf"(?m)^{key}:[ \t]*([^\[\s].*)$", 1))
-        return F.concat(flow, dashes, single)
+        listed = F.split(F.regexp_extract(meta, rf"(?m)^{key}:[ \t]*\[(.*?)\][ \t]*$", 1), ",")
+        return F.concat(listed, F.array(F.regexp_extract(meta, rf"(?m)^{key}:[ \t]*([^\[\s].*)$", 1)))
 
-    stripped = F.transform(F.concat(named("tags"), named("tag")), lambda t: F.trim(F.regexp_replace(t, r"""^\s*["']?|["']?\s*$""", "")))
-    return F.filter(F.when(meta.isNotNull(), stripped).otherwise(F.array().cast("array<string>")), lambda t: t != "")
+    return F.filter(F.transform(F.concat(named("tags"), named("tag")), lambda t: F.trim(F.replace(t, F.lit("\t"), F.lit(" ")))), lambda t: t != "")
 
 
-def tags(meta: Column, text: Column) -> Column:
-    """Metadata tags, then hashtags of the text, each once in order."""
-    return F.array_distinct(F.concat(metadata_tags(meta), all_of(text, "(?U)" + TAG)))
+def hashtags(text: Column) -> Column:
+    return all_of(text, "(?U)" + TAG)
 
 
 def asset_refs(text: Column) -> Column:

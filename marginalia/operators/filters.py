@@ -41,7 +41,7 @@ def recent(notes: DataFrame, as_of: str, days: int = 30) -> DataFrame:
 
 
 def random_note(notes: DataFrame, seed: int) -> DataFrame:
-    return notes.orderBy(F.xxhash64("path", F.lit(seed)), "path").limit(1)
+    return notes.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), "path")), "path").limit(1)
 
 
 def resolve(refs: DataFrame, notes: DataFrame) -> DataFrame:

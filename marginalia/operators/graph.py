@@ -119,8 +119,10 @@ def transclusion(notes: DataFrame, depth: int = 2) -> DataFrame:
 def color_groups(notes: DataFrame) -> DataFrame:
     """path, its first tag, and the number of that tag's group by name (0 without tags)."""
     first = F.get("tags", F.lit(0))
-    groups = notes.select(first.alias("tag")).where("tag is not null").distinct()
-    numbered = groups.withColumn("grp", F.row_number().over(Window.orderBy("tag")))  # one row a distinct tag
+    groups = notes.select(first.alias("tag"), F.substring(first, 1, 2).alias("start")).where("tag is not null").distinct()
+    # tags are numbered among those of the same two first characters, behind all that come before
+    starts = groups.groupBy("start").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    numbered = groups.join(starts, "start").select("tag", (F.col("before") + F.row_number().over(Window.partitionBy("start").orderBy("tag"))).cast("int").alias("grp"))
     return notes.select("path", first.alias("tag")).join(numbered, "tag", "left").select("path", "tag", F.coalesce("grp", F.lit(0)).alias("grp"))
 
 

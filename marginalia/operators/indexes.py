@@ -20,17 +20,30 @@ def link_rows(notes: DataFrame) -> DataFrame:
     return notes.select("path", "title", F.posexplode("links").alias("place", "target"))
 
 
-def backlinks(notes: DataFrame) -> DataFrame:
-    """Raw target and the sorted titles that link to it, repeats kept."""
-    return link_rows(notes).groupBy("target").agg(F.sort_array(F.collect_list("title")).alias("sources"))
+#: Values in one row of an index.
+CHUNK = 4096
+
+
+def listed(rows: DataFrame, key: str, value: str, name: str, chunk: int = CHUNK) -> DataFrame:
+    """key, part and the sorted values of that part: keys of more than ``chunk`` values are
+    divided by hash into parts of about so many, so no row and no task grows with a key."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > chunk)
+    h = F.conv(F.substring(F.md5(value), 1, 8), 16, 10).cast("long")
+    part = F.coalesce(F.pmod(h, F.ceil(F.col("n") / F.lit(chunk))), F.lit(0)).cast("int")
+    return rows.join(counts, key, "left").groupBy(key, part.alias("part")).agg(F.sort_array(F.collect_list(value)).alias(name))
+
+
+def backlinks(notes: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Raw target, part and the sorted titles that link to it, repeats kept."""
+    return listed(link_rows(notes), "target", "title", "sources", chunk)
 
 
 def tag_rows(notes: DataFrame) -> DataFrame:
     return notes.select("path", "title", F.explode("tags").alias("tag"))
 
 
-def tag_index(notes: DataFrame) -> DataFrame:
-    return tag_rows(notes).groupBy("tag").agg(F.sort_array(F.collect_list("title")).alias("titles"))
+def tag_index(notes: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    return listed(tag_rows(notes), "tag", "title", "titles", chunk)
 
 
 def tag_counts(notes: DataFrame) -> DataFrame:
@@ -63,8 +76,8 @@ def ordered_tree(notes: DataFrame) -> DataFrame:
     return folder_tree(notes).withColumn("top", top).select("top", "node", "name", "depth", "is_note", F.row_number().over(Window.partitionBy("top").orderBy("sort_key")).alias("n"))
 
 
-def merged_index(notes: DataFrame, changes: DataFrame, parsed: DataFrame) -> DataFrame:
+def merged_index(notes: DataFrame, changes: DataFrame, parsed: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Backlinks after a change set: contributions of changed notes are replaced."""
     kept = link_rows(notes).join(changes.select("path").distinct(), "path", "left_anti")
     rows = kept.unionByName(link_rows(parsed))
-    return rows.groupBy("target").agg(F.sort_array(F.collect_list("title")).alias("sources"))
+    return listed(rows, "target", "title", "sources", chunk)

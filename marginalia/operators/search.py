@@ -1,17 +1,20 @@
 """Ranked text search over notes (path, title, folder, mtime, tags, body).
 
-The postings table (``postings``) is the index: write it once, bucketed or sorted by
-token, and pass it to the searches; a query reads the rows of its own tokens only.
+The tables of ``postings`` and ``inverted_index`` are the indexes: write them once, dealt by
+``by_token`` and in folders by bucket, and pass them to the searches; a query then reads the
+folders of its own tokens only. Without an index a search makes the rows it needs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 K1, B = 1.2, 0.75
+#: Folders of a stored index, and files that the rows of a folder are spread over at most.
+BUCKETS, SPREAD = 32, 4
 
 
 def tokens(text: str) -> list[str]:
@@ -38,7 +41,11 @@ def postings(notes: DataFrame) -> DataFrame:
 
 def posting_stats(notes: DataFrame) -> DataFrame:
     """Per field: documents, mean length, distinct tokens."""
-    return postings(notes).groupBy("field").agg(F.max("n_docs").alias("n_docs"), F.round(F.max("avg_length"), 6).alias("avg_length"), F.countDistinct("token").alias("n_tokens"))
+    return stats(postings(notes))
+
+
+def stats(index: DataFrame) -> DataFrame:
+    return index.groupBy("field").agg(F.max("n_docs").alias("n_docs"), F.round(F.max("avg_length"), 6).alias("avg_length"), F.countDistinct("token").alias("n_tokens"))
 
 
 def inverted_index(notes: DataFrame) -> DataFrame:
@@ -48,10 +55,27 @@ def inverted_index(notes: DataFrame) -> DataFrame:
     return rows.select("path", "field", F.explode("w").alias("token"))
 
 
+def _bucket(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+
+def by_token(rows: DataFrame) -> DataFrame:
+    """The rows with ``bucket``, dealt by it and sorted by token; a token of very many notes
+    is spread by path."""
+    dealt = rows.withColumn("bucket", _bucket(F.col("token")))
+    return dealt.repartition(F.col("bucket"), F.pmod(F.xxhash64("path"), F.lit(SPREAD))).sortWithinPartitions("bucket", "token")
+
+
+def of_tokens(index: DataFrame, wanted: list[str]) -> DataFrame:
+    """The rows of these tokens; of a stored index only their folders are read."""
+    if "bucket" in index.columns:
+        index = index.where(F.col("bucket").isin(*(_bucket(F.lit(t)) for t in wanted))).drop("bucket") if wanted else index
+    return index.where(F.col("token").isin(wanted))
+
+
 def bm25(index: DataFrame, query: str) -> DataFrame:
     """path and score of every note that has a query token; fields are added."""
-    wanted = tokens(query)
-    hits = index.where(F.col("token").isin(wanted))
+    hits = of_tokens(index, tokens(query))
     seen = hits.groupBy("token", "field").agg(F.count("*").alias("df"))  # a row for each query token and field
     hits = hits.join(F.broadcast(seen), ["token", "field"])
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -64,11 +88,11 @@ def bm25_search(notes: DataFrame, query: str, limit: int = 10, index: DataFrame
     return best.orderBy(F.desc("score"), "path").limit(limit)
 
 
-def search_filtered(notes: DataFrame, query: str, kept: DataFrame, limit: int = 10) -> DataFrame:
+def search_filtered(notes: DataFrame, query: str, kept: DataFrame, limit: int = 10, index: DataFrame | None = None) -> DataFrame:
     """Search with the notes that a filter kept; an empty query matches all of them."""
     if not tokens(query):
         return kept.select("path", F.lit(0.0).alias("score")).orderBy("path").limit(limit)
-    found = bm25(postings(notes), query).join(kept.select("path"), "path", "left_semi")
+    found = bm25(index if index is not None else postings(notes), query).join(kept.select("path"), "path", "left_semi")
     return found.select("path", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "path").limit(limit)
 
 
@@ -87,13 +111,15 @@ def search_bool(notes: DataFrame, must: list[str] = (), should: list[str] = (),
     return text.select("path")
 
 
-def search_page(notes: DataFrame, query: str, page: int = 1, per_page: int = 20, sort: str = "relevance") -> DataFrame:
-    """One page of results with total and total_pages on each row."""
+def search_page(notes: DataFrame, query: str, page: int = 1, per_page: int = 20, sort: str = "relevance", index: DataFrame | None = None) -> DataFrame:
+    """One page of results with total and total_pages on each row. Hits are scored once: the
+    count and the page read the same shuffle. Times are looked up for the best alone."""
     per_page, page = min(max(per_page, 1), 100), min(max(page, 1), 10_000)
     lo = (page - 1) * per_page
-    found = bm25(postings(notes), query).withColumn("score", F.round("score", 6)).join(notes.select("path", "mtime"), "path")
+    found = bm25(index if index is not None else postings(notes), query).withColumn("score", F.round("score", 6))
     total = found.agg(F.count("*").alias("total"))
     top = found.orderBy(F.desc("score"), "path").limit(max(lo + per_page, 5000) if sort == "modified" else lo + per_page)
+    top = top.join(notes.select("path", "mtime"), "path") if sort == "modified" else top
     order = [F.desc("mtime"), F.col("path")] if sort == "modified" else [F.desc("score"), F.col("path")]
     n = F.row_number().over(Window.orderBy(*order))  # over the limited rows alone
     paged = top.withColumn("n", n).where((F.col("n") > lo) & (F.col("n") <= lo + per_page))
@@ -101,14 +127,14 @@ def search_page(notes: DataFrame, query: str, page: int = 1, per_page: int = 20,
     return paged.join(F.broadcast(total), F.lit(True)).select("n", "path", "score", "total", "total_pages")
 
 
-def search_sorted_modified(notes: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    best = bm25_search(notes, query, limit)
+def search_sorted_modified(notes: DataFrame, query: str, limit: int = 10, index: DataFrame | None = None) -> DataFrame:
+    best = bm25_search(notes, query, limit, index)
     return best.join(notes.select("path", "mtime"), "path").orderBy(F.desc("mtime"), "path")
 
 
-def search_snippets(notes: DataFrame, query: str, limit: int = 10) -> DataFrame:
+def search_snippets(notes: DataFrame, query: str, limit: int = 10, index: DataFrame | None = None) -> DataFrame:
     """The best notes with snippets, cut only for those that are returned."""
-    best = bm25_search(notes, query, limit)
+    best = bm25_search(notes, query, limit, index)
     return best.join(notes.select("path", "body"), "path").select("path", "score", T.snippet(F.col("body"), query).alias("snippet"))
 
 
@@ -133,10 +159,10 @@ def suggest(notes: DataFrame, query: str, limit: int = 10) -> DataFrame:
     return titled.unionByName(near).groupBy("path", "title").agg(F.min("tier").alias("tier")).orderBy("tier", "title", "path").limit(min(limit, 20))
 
 
-def ngram_search(notes: DataFrame, query: str, limit: int = 10) -> DataFrame:
+def ngram_search(notes: DataFrame, query: str, limit: int = 10, index: DataFrame | None = None) -> DataFrame:
     """The eight rarest query tokens; title 10 (a pair of ideographs 15), tag 5, content 1."""
     wanted = ngram_tokens(query)
-    hits = inverted_index(notes).where(F.col("token").isin(wanted))
+    hits = of_tokens(index if index is not None else inverted_index(notes), wanted)
     rare = hits.groupBy("token").agg(F.count("*").alias("n")).orderBy("n", "token").limit(8)
     pair = F.col("token").rlike(f"^{T.CJK}{T.CJK}$")
     worth = F.when(F.col("field") == "title", F.when(pair, 15).otherwise(10)).when(F.col("field") == "tag", 5).otherwise(1)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import markdown as M
-from ..sources.vault import DERIVED, derived_vault
-from ..sources.vault import notes as extracted
+from ..sources.store import Corpus
+from ..sources.vault import DERIVED
 
 AS_OF = "2024-06-30 12:00:00"
 
@@ -38,7 +38,7 @@ def over_notes(sql: str, *ctes: str) -> str:
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extracted(derived_vault(spark, sf_dir))
+    return Corpus(spark, sf_dir).whole
 
 
 class Queries:
@@ -49,9 +49,17 @@ class Queries:
         self.oracles: dict[str, str] = {}
 
     def on_notes(self, name: str, run: Callable[[DataFrame], DataFrame], sql: str | None = None, *ctes: str) -> None:
-        """A query over the derived notes."""
+        """A query over the derived notes with their text."""
         self.plain(name, lambda spark, sf_dir: run(notes(spark, sf_dir)), sql and over_notes(sql, *ctes))
 
+    def on_stored(self, name: str, run: Callable[[DataFrame], DataFrame], sql: str | None = None, *ctes: str) -> None:
+        """A query over the extracted notes, which are written once."""
+        self.on_corpus(name, lambda c: run(c.notes), sql, *ctes)
+
+    def on_corpus(self, name: str, run: Callable[[Corpus], DataFrame], sql: str | None = None, *ctes: str) -> None:
+        """A query over any of the stored tables."""
+        self.plain(name, lambda spark, sf_dir: run(Corpus(spark, sf_dir)), sql and over_notes(sql, *ctes))
+
     def plain(self, name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
         self.queries[name] = run
         if sql:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import dates
@@ -100,20 +98,29 @@ Q.on_notes("note_as_of", _versions, f"select path, 'v' || max(age) as content, m
 
 def _scanned(n):
     """Writes all notes as files and reads them back."""
-    root = tempfile.mkdtemp(prefix="vault-") if n.sparkSession.sparkContext.master.startswith("local[") else sinks.shared_path(n.sparkSession)
+    root = sinks.shared_path(n.sparkSession)
     sinks.write_notes(n, root)
     return vault.scan_vault(n.sparkSession, root).select("path", "title", F.length("raw").alias("chars"))
 
 
-# the SQL tells one folder of what was scanned; the whole has its own query
-Q.on_notes("scan_vault", lambda n: _scanned(n).where("startswith(path, 'dup/')"), "select path, title, length(raw) as chars from notes where folder = 'dup'")
-Q.on_notes("scan_vault_whole", _scanned, "select path, title, length(raw) as chars from notes")
+Q.on_notes("scan_vault", _scanned, "select path, title, length(raw) as chars from notes")
 
 # sinks
 Q.on_notes("search_dump", sinks.search_dump, "select title, path, array_to_string(tags, '|') as tags, substr(trim(regexp_replace(replace(regexp_replace(body, '<[^>]*(>|\\z)', ' ', 'g'), '>', ' '), '\\s+', ' ', 'g')), 1, 300) as content, epoch(mtime)::bigint as mtime from notes")
-Q.on_notes("feed", lambda n: sinks.feed(n, tag="en", folder="src1"), "select title, path, strftime(mtime, '%Y-%m-%dT%H:%M:%SZ') as updated from notes where list_contains(tags, 'en') and (folder = 'src1' or starts_with(folder || '/', 'src1/')) order by mtime desc, path limit 50")
-Q.on_notes("export_site", sinks.export_pages, "select regexp_replace(path, '\\.md$', '.html') as html_path, length(raw) as chars from notes")
-Q.on_notes("title_catalog", sinks.title_catalog, "select 'title' as kind, title as name, path from notes union all select distinct 'tag', tag, '' from tag_rows")
+Q.on_stored("feed", lambda n: sinks.feed(n, tag="en", folder="src1"), "select title, path, strftime(mtime, '%Y-%m-%dT%H:%M:%SZ') as updated from notes where list_contains(tags, 'en') and (folder = 'src1' or starts_with(folder || '/', 'src1/')) order by mtime desc, path limit 50")
+Q.on_stored("feed_atom", lambda n: sinks.atom(sinks.feed(n, tag="en")), "select '<entry><title>' || title || '</title><id>' || path || '</id><updated>' || strftime(mtime, '%Y-%m-%dT%H:%M:%SZ') || '</updated></entry>' as entry from (select * from notes where list_contains(tags, 'en') order by mtime desc, path limit 50)")
+
+
+def _site(n):
+    """Writes the pages and reads them back, with their place in the index."""
+    path = sinks.shared_path(n.sparkSession)
+    sinks.export_site(n, path)
+    index = n.sparkSession.read.parquet(f"{path}/index").select(F.regexp_replace("path", r"\.md$", ".html").alias("html_path"), "title")
+    return n.sparkSession.read.parquet(f"{path}/pages").join(index, "html_path").select("html_path", "title", F.md5("html").alias("html"))
+
+
+Q.on_notes("export_site", _site, "select regexp_replace(path, '\\.md$', '.html') as html_path, title, md5('<h1>' || title || '</h1><pre>' || replace(replace(replace(replace(body, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || '</pre>') as html from notes")
+Q.on_stored("title_catalog", sinks.title_catalog, "select 'title' as kind, title as name, path from notes union all select distinct 'tag', tag, '' from tag_rows")
 
 # extraction
 Q.on_notes("split_frontmatter", lambda n: n.select("path", "frontmatter", F.length("body").alias("body_chars")), "select path, frontmatter, length(body) as body_chars from notes")
@@ -131,8 +138,8 @@ Q.on_notes("heading_id", lambda n: n.select("path", F.explode("toc").alias("h"))
 Q.on_notes("math_spans", lambda n: n.select("path", F.size(M.block_math(F.col("body"))).alias("n_block"), F.size(M.inline_math(F.col("body"))).alias("n_inline")), f"select path, len(regexp_extract_all(body, '{M.BLOCK_MATH}', 1))::int as n_block, len(regexp_extract_all(regexp_replace(body, '{M.BLOCK_MATH}', '', 'g'), '{M.INLINE_MATH}', 1))::int as n_inline from notes")
 Q.on_notes("highlight_spans", lambda n: n.select("path", F.explode(M.highlights(F.col("body"))).alias("span")), f"select path, unnest(regexp_extract_all(body, '{M.HIGHLIGHT}', 1)) as span from notes")
 Q.on_notes("code_block_census", lambda n: n.select(F.explode(M.code_languages(F.col("body"))).alias("language")).groupBy("language").agg(F.count("*").alias("n")), f"select trim(l) as language, count(*) as n from (select unnest(regexp_extract_all(body, '{M.FENCE}', 1)) as l from notes) group by 1")
-Q.on_notes("note_date", lambda n: n.select("path", dates.note_date(F.col("frontmatter"), F.col("mtime")).alias("day")), "select path, coalesce(case when length(d) >= 7 then replace(substr(d, 1, 10), '/', '-') end, strftime(mtime, '%Y-%m-%d')) as day from (select *, regexp_extract(frontmatter, '(?m)^date:[ \\t]*(.*)$', 1) as d from notes)")
-Q.on_notes("breadcrumbs", lambda n: n.select("path", F.concat_ws(" > ", F.lit("Home"), F.concat_ws(" > ", F.filter(F.split("folder", "/"), lambda x: x != "")), "title").alias("crumbs")), "select path, 'Home > ' || replace(folder, '/', ' > ') || ' > ' || title as crumbs from notes")
+Q.on_stored("note_date", lambda n: n.select("path", dates.note_date(F.col("frontmatter"), F.col("mtime")).alias("day")), "select path, coalesce(case when length(d) >= 7 then replace(substr(d, 1, 10), '/', '-') end, strftime(mtime, '%Y-%m-%d')) as day from (select *, regexp_extract(frontmatter, '(?m)^date:[ \\t]*(.*)$', 1) as d from notes)")
+Q.on_stored("breadcrumbs", lambda n: n.select("path", F.concat_ws(" > ", F.lit("Home"), F.concat_ws(" > ", F.filter(F.split("folder", "/"), lambda x: x != "")), "title").alias("crumbs")), "select path, 'Home > ' || replace(folder, '/', ' > ') || ' > ' || title as crumbs from notes")
 Q.on_notes("escape_html", lambda n: n.select("path", F.md5(T.escape_html(F.col("body"))).alias("escaped")), "select path, md5(replace(replace(replace(replace(body, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) as escaped from notes")
 Q.on_notes("percent_encode", lambda n: n.select("path", T.percent_encode(F.col("path")).alias("encoded"), T.percent_decode(T.percent_encode(F.col("path"))).alias("decoded")), "select path, replace(replace(replace(replace(url_encode(path), '.', '%2E'), '-', '%2D'), '_', '%5F'), '~', '%7E') as encoded, path as decoded from notes")
 Q.on_notes("rfc3339", lambda n: n.select("path", dates.rfc3339(F.col("mtime")).alias("stamp"), dates.ymd(F.col("mtime")).alias("ymd"), dates.year_month(F.col("mtime")).alias("ym")), "select path, strftime(mtime, '%Y-%m-%dT%H:%M:%SZ') as stamp, strftime(mtime, '%Y-%m-%d') as ymd, strftime(mtime, '%Y-%m') as ym from notes")

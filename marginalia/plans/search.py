@@ -34,46 +34,46 @@ Q.on_notes("tokenize_simple", lambda n: n.select("path", F.size(T.words(F.col("b
 Q.on_notes("tokenize_ngram", lambda n: n.select("path", F.md5(F.array_join(T.ngrams(F.col("body")), " ")).alias("tokens")), f"select path, md5(array_to_string(list_filter({WORDS.format(t='body')}, lambda x: strlen(x) >= 2), ' ')) as tokens from notes")
 NGRAMS = f"""grams as (select distinct path, 'title' as field, unnest(list_filter({WORDS.format(t='title')}, lambda x: strlen(x) >= 2)) as token from notes union all
   select distinct path, 'tag', lower(tag) from tag_rows union all select distinct path, 'content', unnest(list_filter({WORDS.format(t='body')}, lambda x: strlen(x) >= 2)) from notes)"""
-Q.on_notes("inverted_index", lambda n: search.inverted_index(n).groupBy("token", "field").agg(F.count("*").alias("n")), "select token, field, count(*) as n from grams group by all", NGRAMS)
-Q.on_notes("posting_stats", search.posting_stats, "select field, n_docs, round(avg_length, 6) as avg_length, (select count(distinct token) from postings p where p.field = means.field) as n_tokens from means", POSTINGS)
-Q.on_notes("bm25_search", lambda n: search.bm25_search(n, QUERY), "select path, score from best", BM25, BEST)
+Q.on_corpus("inverted_index", lambda c: c.grams.groupBy("token", "field").agg(F.count("*").alias("n")), "select token, field, count(*) as n from grams group by all", NGRAMS)
+Q.on_corpus("posting_stats", lambda c: search.stats(c.postings), "select field, n_docs, round(avg_length, 6) as avg_length, (select count(distinct token) from postings p where p.field = means.field) as n_tokens from means", POSTINGS)
+Q.on_corpus("bm25_search", lambda c: search.bm25_search(c.notes, QUERY, index=c.postings), "select path, score from best", BM25, BEST)
 FILTER = "list_has_any(tags, ['en']) and starts_with(folder, 'src') and mtime >= timestamp '2023-01-01'"
 
 
-def _filtered(n):
-    kept = filters.mtime_between(filters.any_tag(n, "en"), "2023-01-01 00:00:00").where(F.col("folder").startswith("src"))
-    return search.search_filtered(n, QUERY, kept)
+def _filtered(c):
+    kept = filters.mtime_between(filters.any_tag(c.notes, "en"), "2023-01-01 00:00:00").where(F.col("folder").startswith("src"))
+    return search.search_filtered(c.notes, QUERY, kept, index=c.postings)
 
 
-Q.on_notes("search_filtered", _filtered, f"select path, score from found where path in (select path from notes where {FILTER}) order by score desc, path limit 10", BM25)
+Q.on_corpus("search_filtered", _filtered, f"select path, score from found where path in (select path from notes where {FILTER}) order by score desc, path limit 10", BM25)
 Q.on_notes(
     "search_bool", lambda n: search.search_bool(n, must=["the"], should=["marked", "print"], must_not=["mit"], phrase="doc"),
     f"select path from (select path, {WORDS.format(t='(title || chr(32) || body)')} as w from notes) where list_contains(w, 'the') and list_has_any(w, ['marked', 'print']) and not list_contains(w, 'mit') and list_contains(w, 'doc')",
 )
 Q.on_notes("search_phrase", lambda n: search.search_bool(n, phrase="so marked and"), f"select path from (select path, ' ' || array_to_string({WORDS.format(t='(title || chr(32) || body)')}, ' ') || ' ' as w from notes) where contains(w, ' so marked and ')")
 PAGE = "select n::int as n, path, score, (select count(*) from found) as total, ceil((select count(*) from found) / 15)::bigint as total_pages from ({}) where n > 15 and n <= 30"
-Q.on_notes("search_page", lambda n: search.search_page(n, QUERY, 2, 15), PAGE.format("select *, row_number() over (order by score desc, path) as n from found"), BM25)
-Q.on_notes("search_page_modified", lambda n: search.search_page(n, QUERY, 2, 15, "modified"), PAGE.format("select path, score, row_number() over (order by mtime desc, path) as n from (select * from found order by score desc, path limit 5000) join (select path, mtime from notes) using (path)"), BM25)
-Q.on_notes("search_sorted_modified", lambda n: search.search_sorted_modified(n, QUERY), "select path, score, mtime from best join (select path, mtime from notes) using (path)", BM25, BEST)
+Q.on_corpus("search_page", lambda c: search.search_page(c.notes, QUERY, 2, 15, index=c.postings), PAGE.format("select *, row_number() over (order by score desc, path) as n from found"), BM25)
+Q.on_corpus("search_page_modified", lambda c: search.search_page(c.notes, QUERY, 2, 15, "modified", c.postings), PAGE.format("select path, score, row_number() over (order by mtime desc, path) as n from (select * from found order by score desc, path limit 5000) join (select path, mtime from notes) using (path)"), BM25)
+Q.on_corpus("search_sorted_modified", lambda c: search.search_sorted_modified(c.notes, QUERY, index=c.postings), "select path, score, mtime from best join (select path, mtime from notes) using (path)", BM25, BEST)
 FLAT = "trim(regexp_replace(body, '\\s+', ' ', 'g'))"
 SNIPPET = f"""select path, case when p > 0 then regexp_replace(case when s > 1 then '...' else '' end || substr(f, s, e - s + 1) || case when e < length(f) then '...' else '' end, '(?i)(so ==marked)', '<mark>\\1</mark>', 'g')
   else substr(f, 1, 150) || case when length(f) > 150 then '...' else '' end end as snippet
   from (select path, f, p, greatest(p - 50, 1) as s, least(p + 10 + 100, length(f)) as e from (select path, {FLAT} as f, strpos(lower({FLAT}), 'so ==marked') as p from notes))"""
 Q.on_notes("snippet", lambda n: n.select("path", T.snippet(F.col("body"), "so ==marked").alias("snippet")), SNIPPET)
-Q.on_notes("search_snippets", lambda n: search.search_snippets(n, "print"), f"select path, score, snippet from best join ({SNIPPET.replace('so ==marked', 'print').replace('p + 10 + 100', 'p + 4 + 100')}) using (path)", _bm25("print"), BEST)
+Q.on_corpus("search_snippets", lambda c: search.search_snippets(c.whole, "print", index=c.postings), f"select path, score, snippet from best join ({SNIPPET.replace('so ==marked', 'print').replace('p + 10 + 100', 'p + 4 + 100')}) using (path)", _bm25("print"), BEST)
 Q.on_notes("highlight", lambda n: n.select("path", F.md5(T.highlight(F.col("body"), "The")).alias("marked")), "select path, md5(regexp_replace(body, '(?i)(The)', '<mark>\\1</mark>', 'g')) as marked from notes")
 TITLE_TOKENS = f"tt as (select distinct path, title, unnest({WORDS.format(t='title')}) as token from notes)"
-Q.on_notes("fuzzy_suggest", lambda n: search.fuzzy_suggest(n, "dco 12"), "select path, title, sum(s)::bigint as score from (select path, title, case when token = 'dco' then 2 when damerau_levenshtein(token, 'dco') <= 1 then 1 else 0 end + case when token = '12' then 2 when damerau_levenshtein(token, '12') <= 1 then 1 else 0 end as s from tt) where s > 0 group by 1, 2 order by score desc, title, path limit 10", TITLE_TOKENS)
-Q.on_notes(
+Q.on_stored("fuzzy_suggest", lambda n: search.fuzzy_suggest(n, "dco 12"), "select path, title, sum(s)::bigint as score from (select path, title, case when token = 'dco' then 2 when damerau_levenshtein(token, 'dco') <= 1 then 1 else 0 end + case when token = '12' then 2 when damerau_levenshtein(token, '12') <= 1 then 1 else 0 end as s from tt) where s > 0 group by 1, 2 order by score desc, title, path limit 10", TITLE_TOKENS)
+Q.on_stored(
     "suggest", lambda n: search.suggest(n, "Doc 11"),
     "select path, title, min(tier)::int as tier from (select path, title, case when starts_with(lower(title), 'doc 11') then 1 else 2 end as tier from notes where contains(lower(title), 'doc 11') union all select path, title, 3 from (select path, title, sum(s) as score from (select path, title, case when token = 'doc' then 2 when damerau_levenshtein(token, 'doc') <= 1 then 1 else 0 end + case when token = '11' then 2 when damerau_levenshtein(token, '11') <= 1 then 1 else 0 end as s from tt) where s > 0 group by 1, 2 order by score desc, title, path limit 20)) group by 1, 2 order by tier, title, path limit 10",
     TITLE_TOKENS,
 )
 NQ = ", ".join(f"'{t}'" for t in search.ngram_tokens(QUERY + " en 12"))
-Q.on_notes(
-    "ngram_search", lambda n: search.ngram_search(n, QUERY + " en 12").select("path", "score"),
+Q.on_corpus(
+    "ngram_search", lambda c: search.ngram_search(c.notes, QUERY + " en 12", index=c.grams).select("path", "score"),
     f"select path, score from (select path, sum(case field when 'title' then 10 when 'tag' then 5 else 1 end)::bigint as score from grams where token in (select token from rare) group by path) join (select path, mtime from notes) using (path) order by score desc, mtime desc, path limit 10",
     NGRAMS, f"rare as (select token, count(*) as n from grams where token in ({NQ}) group by token order by n, token limit 8)",
 )
 Q.on_notes("ngram_snippet", lambda n: n.select("path", T.ngram_snippet(F.col("body"), ["part", "marked"]).alias("snippet")), "select path, case when s > 1 then '...' else '' end || substr(body, s, 150) || case when s + 149 < length(body) then '...' else '' end as snippet from (select path, body, greatest(coalesce(least(nullif(strpos(lower(body), 'part'), 0), nullif(strpos(lower(body), 'marked'), 0)), 1) - 30, 1) as s from notes)")
-Q.on_notes("complete", lambda n: search.complete(n, "#t1"), "select * from (select 'title' as kind, title as name from (select distinct title from notes) where contains(lower(title), 't1') order by case when starts_with(lower(title), 't1') then 0 else 1 end, title limit 5) union all select * from (select 'tag', tag from (select distinct tag from tag_rows) where contains(lower(tag), 't1') order by case when starts_with(lower(tag), 't1') then 0 else 1 end, tag limit 4)")
+Q.on_stored("complete", lambda n: search.complete(n, "#t1"), "select * from (select 'title' as kind, title as name from (select distinct title from notes) where contains(lower(title), 't1') order by case when starts_with(lower(title), 't1') then 0 else 1 end, title limit 5) union all select * from (select 'tag', tag from (select distinct tag from tag_rows) where contains(lower(tag), 't1') order by case when starts_with(lower(tag), 't1') then 0 else 1 end, tag limit 4)")

@@ -54,6 +54,7 @@ def on(name, run, sql=None):
 
 on("stream_visit_counts", lambda s: drained(S.visit_counts(s), "complete"), "select path, count(*) as visits from act group by path")
 on("stream_daily", lambda s: drained(S.per_period(s), "complete").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n"), "select strftime(ts, '%Y-%m-%d') as day, count(*) as n from act group by 1")
+on("stream_monthly", lambda s: drained(S.per_month(s), "complete").select(F.date_format("start", "yyyy-MM").alias("month"), "n"), "select strftime(ts, '%Y-%m') as month, count(*) as n from act group by 1")
 on("stream_progress", lambda s: drained(S.progress(s), "update", ["user", "path"]), 'select "user", path, percent, duration, percent >= 95 as completed from prog')
 on("stream_dedup", lambda s: drained(S.dedup(s, ["event_id"]), "append").agg(F.count("*").alias("n")), "select count(distinct event_id) as n from act")
 on("stream_keep_last_n", lambda s: merged(s, S.keep_last_n(p := sinks.shared_path(s.sparkSession), 5), p).select("event_id"), 'select event_id from act qualify row_number() over (partition by "user" order by ts desc, event_id desc) <= 5')
@@ -82,6 +83,4 @@ def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged(S.stream_notes(spark, root), S.merge_notes(path), path).select(below.alias("path"), F.length("raw").alias("chars"))
 
 
-# the SQL tells one folder of what was merged; the whole has its own query
-Q.plain("stream_notes", lambda spark, sf_dir: _notes(spark, sf_dir).where("startswith(path, 'dup/')"), over_notes("select path, length(raw) as chars from notes where folder = 'dup'"))
-Q.plain("stream_notes_whole", _notes, over_notes("select path, length(raw) as chars from notes"))
+Q.plain("stream_notes", _notes, over_notes("select path, length(raw) as chars from notes"))

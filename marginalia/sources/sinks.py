@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..functions import text as T
+from ..session import shared_folder
 
 
 def shared_path(spark: SparkSession) -> str:
     """A new path in the session's shared folder; the warehouse is shared too."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{folder.rstrip('/')}/marginalia-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/marginalia-{uuid.uuid4().hex}"
 
 
 def write_notes(notes: DataFrame, root: str) -> None:
@@ -49,14 +49,15 @@ def atom(entries: DataFrame) -> DataFrame:
     return entries.select(F.concat(F.lit("<entry><title>"), e(F.col("title")), F.lit("</title><id>"), e(F.col("path")), F.lit("</id><updated>"), "updated", F.lit("</updated></entry>")).alias("entry"))
 
 
-def export_pages(notes: DataFrame) -> DataFrame:
-    """The page path of each note and how long its source is."""
-    return notes.select(F.regexp_replace("path", r"\.md$", ".html").alias("html_path"), F.length("raw").alias("chars"))
+def pages(notes: DataFrame) -> DataFrame:
+    """folder, html_path and html: a page for each note, its title above its escaped source."""
+    html = F.concat(F.lit("<h1>"), T.escape_html(F.col("title")), F.lit("</h1><pre>"), T.escape_html(F.col("body")), F.lit("</pre>"))
+    return notes.select("folder", F.regexp_replace("path", r"\.md$", ".html").alias("html_path"), html.alias("html"))
 
 
 def export_site(notes: DataFrame, path: str) -> None:
-    """Pages as rows partitioned by folder, and an index sorted by path."""
-    notes.select("folder", F.regexp_replace("path", r"\.md$", ".html").alias("html_path"), T.escape_html(F.col("body")).alias("html")).write.partitionBy("folder").parquet(f"{path}/pages")
+    """Pages as rows in folders, and an index sorted by path."""
+    pages(notes).write.partitionBy("folder").parquet(f"{path}/pages")
     notes.select("path", "title").sort("path").write.parquet(f"{path}/index")
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markdown as M
 from ..functions import text as T
+from . import frontmatter
 
 #: The derived vault in SQL that both engines run; mt and nl are each engine's own.
 DERIVED = """
@@ -42,7 +44,7 @@ def notes(vault: DataFrame) -> DataFrame:
     told = vault.withColumn("frontmatter", M.frontmatter(raw)).withColumn("body", M.body(raw))
     text = F.col("body")
     return told.withColumns({
-        "links": M.links(text), "embeds": M.embeds(text), "tags": M.tags(F.col("frontmatter"), text), "toc": M.toc(text), "visible_chars": T.visible_chars(text),
+        "links": M.links(text), "embeds": M.embeds(text), "tags": F.array_distinct(F.concat(frontmatter.tags(F.col("frontmatter")), M.hashtags(text))), "toc": M.toc(text), "visible_chars": T.visible_chars(text),
     })
 
 
@@ -103,9 +105,11 @@ def apply_changes(current: DataFrame, changes: DataFrame, parsed: DataFrame) ->
 
 
 def save_snapshot(frame: DataFrame, path: str, fingerprint: dict[str, str]) -> None:
-    """The rows, then one row of metadata as the mark that they are whole."""
-    frame.write.mode("overwrite").parquet(f"{path}/rows")
-    frame.sparkSession.createDataFrame([fingerprint]).coalesce(1).write.mode("overwrite").parquet(f"{path}/mark")
+    """The rows as a new generation, then one row of metadata that names it. While a mark is
+    replaced there is none, so a mark never stands for rows that are not whole."""
+    rows = f"rows-{uuid.uuid4().hex}"
+    frame.write.parquet(f"{path}/{rows}")
+    frame.sparkSession.createDataFrame([fingerprint | {"generation": rows}]).coalesce(1).write.mode("overwrite").parquet(f"{path}/mark")
 
 
 def load_snapshot(spark: SparkSession, path: str, fingerprint: dict[str, str]) -> DataFrame | None:
@@ -116,7 +120,8 @@ def load_snapshot(spark: SparkSession, path: str, fingerprint: dict[str, str]) -
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return None
-    return spark.read.parquet(f"{path}/rows") if mark and mark.asDict() == fingerprint else None
+    rows = mark.asDict().pop("generation") if mark else ""
+    return spark.read.parquet(f"{path}/{rows}") if mark and mark.asDict() == fingerprint | {"generation": rows} else None
 
 
 def multi_vault_union(vaults: dict[str, DataFrame]) -> DataFrame:

@@ -38,6 +38,11 @@ def per_period(rows: DataFrame, period: str = "1 day", late: str = "2 days") ->
     return rows.withWatermark("ts", late).groupBy(F.window("ts", period)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "n")
 
 
+def per_month(rows: DataFrame) -> DataFrame:
+    """Rows by calendar month, whose length no window has; every month is kept."""
+    return rows.groupBy(F.date_trunc("month", "ts").alias("start")).agg(F.count("*").alias("n"))
+
+
 def dedup(rows: DataFrame, keys: list[str], late: str = "2 days") -> DataFrame:
     """Each key once within the watermark."""
     return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)

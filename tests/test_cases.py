@@ -86,10 +86,54 @@ def test_visible_chars(spark, html, n):
     assert one(spark, T.visible_chars, html) == n
 
 
-def test_tags(spark):
-    assert one(spark, lambda t: M.tags(F.lit(None).cast("string"), t), "## h\nand #tag #café") == ["tag", "café"]
-    assert one(spark, lambda t: M.tags(F.lit("tags: [duplicate]"), t), "#duplicate") == ["duplicate"]
-    assert one(spark, lambda t: M.tags(F.lit("tags:\n  - one\n  - two\ntag: three"), t), "") == ["one", "two", "three"]
+@pytest.mark.parametrize(
+    ("meta", "tags"),
+    [
+        (None, []), ("title: x", []), ("tags: [duplicate]", ["duplicate"]), ("tags:\n  - one\n  - two\ntag: three", ["one", "two", "three"]), ("tags: [a, b] # note", ["a", "b"]), ("tags: [a,\n  b]", ["a", "b"]), ('tags: ["x, y", z]', ["x, y", "z"]),
+        ("tags: one two\ntag: [three]", ["one two", "three"]), ("tags: [a, 12, 1.5, true, null, 2023-01-01, '7']", ["a", "2023-01-01", "7"]), ("tags: [a, 12, true]", ["a"]), ("tags: [a,, b]", []), ("title: a: b\ntags: [c]", []), ("tag: x\ntags: [y]", ["y", "x"]), ("tags: {a: b}", []), ("tags: [[a], b]", ["b"]), ("tags: []", []), ("- tags", []), ("tags:\r\n- a\r\n- b", ["a", "b"]), ("tags: 'quoted' ", ["quoted"]),
+    ],
+)
+def test_metadata_tags(spark, meta, tags):
+    assert one(spark, frontmatter.tags, meta) == tags
+
+
+def test_many_metadata_tags(spark):
+    assert len(one(spark, frontmatter.tags, "tags:\n" + "".join(f"- t{i}\n" for i in range(20_000)))) == 20_000
+    assert len(one(spark, frontmatter.tags, "tags: [" + ", ".join(f"t{i}" for i in range(20_000)) + "]")) == 20_000
+
+
+def test_hashtags(spark):
+    assert one(spark, M.hashtags, "## h\nand #tag #café") == ["tag", "café"]
+    n = vault.notes(spark.createDataFrame([("---\ntags: [duplicate, two]\n---\n#duplicate #x",)], "raw string"))
+    assert n.select("tags").first()["tags"] == ["duplicate", "two", "x"]
+
+
+def test_math_and_highlights_stay_on_a_line(spark):
+    assert one(spark, M.inline_math, "$a$ $ b$ $c\rd$ $x y$") == ["a", "x y"]
+    assert one(spark, M.highlights, "==a==\n==b\rc==\n====") == ["a"]
+    assert one(spark, M.block_math, "$$$$ $$a\nb$$") == ["", "a\nb"]
+
+
+def test_hot_keys_are_divided(spark):
+    n = notes(spark, {f"n{i:03}": ["H"] for i in range(300)} | {"H": ["n001"]})
+    rows = indexes.backlinks(n, 50).collect()
+    assert {r["part"] for r in rows if r["target"] == "H"} == set(range(6)) and max(len(r["sources"]) for r in rows) < 100
+    assert sorted(t for r in rows if r["target"] == "H" for t in r["sources"]) == [f"n{i:03}" for i in range(300)]
+    assert [(r["part"], r["sources"]) for r in rows if r["target"] == "n001"] == [(0, ["H"])]
+
+
+def test_tables_are_stored_once_for_a_state_of_the_input(spark, tmp_path):
+    from marginalia.sources.store import Corpus
+
+    docs = spark.range(20).selectExpr("id as doc_id", "concat('word', id) as text", "'en' as lang", "'s' as source", "5L as n_chars")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    first = Corpus(spark, str(tmp_path))
+    assert first.postings.where("token = 'word7'").count() == 1
+    assert Corpus(spark, str(tmp_path)).postings.inputFiles() == first.postings.inputFiles()
+    plan = search.of_tokens(first.postings, ["word7"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan.split("PartitionFilters:")[1].split("]")[0]
+    docs.limit(3).write.mode("append").parquet(str(tmp_path / "documents.parquet"))
+    assert Corpus(spark, str(tmp_path)).notes.count() == 23
 
 
 def test_frontmatter(spark):
@@ -176,17 +220,11 @@ def test_kmeans_against_plain_python(spark):
 
 
 @pytest.mark.parametrize("name", ["scan_vault", "stream_notes"])
-def test_every_note_is_written_and_read_back(spark, data, name, monkeypatch):
+def test_every_note_is_written_and_read_back(spark, data, name):
     from marginalia import catalog
-    from marginalia.sources import sinks
-
-    wrote, write = [], sinks.write_notes
-    monkeypatch.setattr(sinks, "write_notes", lambda n, root: (wrote.append(n.count()), write(n, root)))
-    n = vault.derived_vault(spark, data)
-    assert catalog.QUERIES[name](spark, data).count() == n.where("folder = 'dup'").count()
-    assert wrote == [n.count()]
-    told = {tuple(r) for r in catalog.QUERIES[f"{name}_whole"](spark, data).select("path", "chars").collect()}
-    assert told == {(r["path"], len(r["raw"])) for r in n.collect()}
+
+    told = {tuple(r) for r in catalog.QUERIES[name](spark, data).select("path", "chars").collect()}
+    assert told == {(r["path"], len(r["raw"])) for r in vault.derived_vault(spark, data).collect()}
 
 
 def _shares(spark):
