@@ -15,7 +15,8 @@ missed.
 
 The tables of items grow with the benchmark, not with the documents. They are broadcast up
 to ``BROADCAST_ROWS`` rows; beyond, hashes are shuffled, and adaptive execution splits a
-shingle that very many documents hold.
+shingle that very many documents hold. The keys of candidate and of contaminated texts are
+counted and broadcast up to ``BROADCAST_KEYS`` rows; beyond, texts are shuffled once by key.
 
 Words are lower-cased runs of digits, letters and characters beyond ASCII; what has none
 contains nothing and is contained nowhere. Null texts count as empty; extra columns are
@@ -34,6 +35,7 @@ from .common import NON_WORD, split_words, table, word_hashes, written
 WORDS = 5
 CONTAINMENT = 0.8
 BROADCAST_ROWS = 1_000_000
+BROADCAST_KEYS = 300_000
 
 
 def _words(text: str) -> Column:
@@ -77,13 +79,18 @@ def candidates(docs: DataFrame, lookup: DataFrame, sizes: list[int], small: bool
     return hashes.join(F.broadcast(sketched) if small else sketched, "h").select("doc_id", "key", "item_id", "item_key").distinct()
 
 
+def _sent(keys: DataFrame) -> DataFrame:
+    """Written keys, broadcast if they are few."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, key (of the text), item_id, n_shared and n_item shingles, containment: the verified pairs."""
     lookup = written(sketches(item_shingles(items), containment))
     sizes = sorted(r["size"] for r in lookup.select("size").distinct().collect()) or [WORDS]  # at most WORDS
     small = lookup.count() <= BROADCAST_ROWS
     pairs = written(candidates(docs, lookup, sizes, small))
-    words = docs.withColumn("key", _key("text")).join(pairs.select("key").distinct(), "key", "left_semi").select("doc_id", "key", _words("text").alias("w"))
+    words = docs.withColumn("key", _key("text")).join(_sent(pairs.select("key").distinct()), "key", "left_semi").select("doc_id", "key", _words("text").alias("w"))
     spelled = words.select("doc_id", "key", F.explode(F.concat(*(_spelled(F.col("w"), n) for n in sizes))).alias("s")).select("doc_id", "key", "s.h", "s.g")
     wanted = lookup.drop("sketch", "size")
     met = spelled.join(F.broadcast(wanted) if small else wanted, ["h", "g"]).select("doc_id", "key", "item_id", "item_key", "n_item", "g").distinct()
@@ -97,7 +104,7 @@ def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONT
 def decontaminate(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """The documents that contain no item."""
     found = written(contained_items(docs.select("doc_id", "text"), items, containment).select("key").distinct())
-    return docs.join(found, _key("text") == found["key"], "left_anti")
+    return docs.join(_sent(found), _key("text") == found["key"], "left_anti")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

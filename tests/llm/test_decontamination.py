@@ -53,6 +53,7 @@ def test_pairs_are_those_of_brute_force(spark):
 
 def test_beyond_the_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontamination, "BROADCAST_KEYS", 0)
     told = decontamination.contained_items(docs_of(spark, [(*r, 1, "g", "k") for r in DOCS]), items_of(spark, ITEMS)).collect()
     assert Counter((r["doc_id"], r["item_id"], r["n_shared"], r["n_item"]) for r in told) == brute(DOCS, ITEMS)
 
