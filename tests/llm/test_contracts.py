@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -63,6 +64,19 @@ def test_repeated_windows(spark):
     assert {r["doc_id"]: r["n_repeat_words"] for r in rows} == {i: brute(t) for i, t in enumerate(texts)}
 
 
+def test_verdicts_need_a_reference_of_the_language(spark):
+    rng = random.Random(3)
+    english = lambda: " ".join(rng.choice("the a of river and to house in was it that is for stone with on garden not people".split()) for _ in range(90))
+    noise = " ".join("".join(rng.choice("XQZ0123456789") for _ in range(6)) for _ in range(90))
+    rows = [(k, english(), "en") for k in range(30)] + [(30, english().title(), "en"), (31, english().upper(), "en"), (40, noise, "en"), (41, noise, "it"), (42, noise, None), (43, "short", "en")]
+    told = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(told[k]["kept"] for k in range(30)) and not told[40]["kept"] and not told[40]["base_failed"]
+    assert abs(told[30]["word_distance"] - told[29]["word_distance"]) < 0.1
+    assert all(told[k]["kept"] and told[k]["word_distance"] is None for k in (41, 42)) and not told[43]["kept"]
+    alone = quality_rules.quality_rules(spark.createDataFrame([(1, english(), "en"), (2, noise, "fr")], "doc_id long, text string, lang string")).collect()
+    assert all(r["kept"] and r["word_distance"] is None for r in alone)
+
+
 # 2
 def test_license_blocks_across_windows(spark):
     text = "filler " * 61 + "all rights reserved " + "filler " * 200
