@@ -78,6 +78,15 @@ def test_verdicts_need_a_reference_of_the_language(spark):
 
 
 # 2
+def test_words_in_another_order_are_no_license(spark):
+    texts = ["all seats are taken and rights of way reserved for guests", "the mit press book was released last week under the old license plate", "Released under the old MIT License.", "x all rights reserved y", None]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "all rights reserved"), (None, "nothing"), (3, "another text of that id")], "doc_id long, text string")
+    told = {(r["doc_id"], r["n_words"]): r["labels"] for r in licenses.license_scan(docs).collect()}
+    told.pop((3, 5))
+    assert told == {(0, 11): "", (1, 13): "", (2, 6): "mit", (4, 0): "", (None, 3): "proprietary", (None, 1): ""}
+    assert sorted(r["labels"] for r in licenses.license_scan(docs.where("doc_id = 3")).collect()) == ["", "proprietary"]
+
+
 def test_license_blocks_across_windows(spark):
     text = "filler " * 61 + "all rights reserved " + "filler " * 200
     row = licenses.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
