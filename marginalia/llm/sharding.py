@@ -5,9 +5,15 @@ ranges between them; ranges that turn out overfull are sampled again and divided
 Exact byte and row counts per range then place every record on a line of bytes
 that is cut into shards of equal length, so a shard boundary may lie inside a range.
 
-The key is (md5 of the text, doc_id): equal texts stand next to each other and share
-a shard unless a boundary has to cut their group; a group that holds a third of all
-rows is divided by doc_id. No window is larger than one range.
+The key is (md5 of the text, doc_id): equal texts stand next to each other. A group of them
+shares a shard unless a boundary falls inside it; then its records up to the boundary, in the
+order of doc_id, are in one shard and the rest in the next, so a group that holds a third of
+all rows takes a third of the shards. That is the law: bytes are near equal whatever the groups.
+
+There is a range for every ``RANGE_BYTES`` of text, ``ranges_per_shard`` for each shard at
+least and ``MAX_RANGES`` in all at most: a window holds one range, of records without their
+texts, and spills. Ranges are divided again until none is overfull, or what is overfull is
+one record or equal keys; ranges decide where the work is done, and not what it gives.
 
 Null or empty text counts as one byte. Null doc_ids sort first. Rows that repeat
 entirely are all kept. An empty table gives an empty result. Other columns are ignored.
@@ -20,6 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import durable, table
 
+RANGE_BYTES, MAX_RANGES = 64 << 20, 4096
+#: Splitters that are looked at one by one.
+STRIDE = 64
 SCHEMA = "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int"
 
 
@@ -27,8 +36,12 @@ def _range_of(splitters: list[tuple[str, int | None]], key: Column) -> Column:
     """How many splitters are at or below the key."""
     if not splitters:
         return F.lit(0)
-    bounds = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(i).cast("long").alias("i")) for k, i in splitters))
-    return F.size(F.filter(bounds, lambda s: s <= key))
+    bounds = lambda these: F.array(*(F.struct(F.lit(k).alias("k"), F.lit(i).cast("long").alias("i")) for k, i in these))
+    below = lambda these: F.size(F.filter(these, lambda s: s <= key))
+    if len(splitters) <= STRIDE:
+        return below(bounds(splitters))
+    coarse = below(bounds(splitters[STRIDE::STRIDE])) * STRIDE
+    return coarse + below(F.slice(bounds(splitters), coarse + 1, F.lit(STRIDE)))
 
 
 def _sample(records: DataFrame, rate: float, seed: int) -> list[tuple[str, int | None]]:
@@ -38,11 +51,11 @@ def _sample(records: DataFrame, rate: float, seed: int) -> list[tuple[str, int |
     return sorted(((r["key"], r["doc_id"]) for r in rows), key=lambda x: (x[0], x[1] is not None, x[1] or 0))
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 12, samples_per_range: int = 24, divisions: int = 4) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 12, samples_per_range: int = 24, divisions: int = 8) -> DataFrame:
     """One row per document: its shard of near equal bytes and its gapless slot there.
 
-    What reaches the driver is bounded by parameters: ``shards * ranges_per_shard *
-    samples_per_range`` expected sample keys and the counts of each range.
+    What reaches the driver is bounded by parameters: ``samples_per_range`` expected sample
+    keys and one row of counts for each range.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -57,7 +70,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 12
     total, n = records.agg(F.sum("size"), F.count("*")).first()
     if not n:
         return spark.createDataFrame([], SCHEMA)
-    wanted = shards * ranges_per_shard
+    wanted = min(max(shards * ranges_per_shard, -(-total // RANGE_BYTES)), max(MAX_RANGES, shards * ranges_per_shard))
     drawn = _sample(records, wanted * samples_per_range / total, 0)
     splitters = sorted(set(drawn[samples_per_range::samples_per_range]), key=lambda x: (x[0], x[1] is not None, x[1] or 0))
     key = F.struct(F.col("key").alias("k"), F.col("doc_id").alias("i"))

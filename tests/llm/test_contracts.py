@@ -189,6 +189,14 @@ def test_shards_are_even_and_gapless(spark, documents, awkward):
         assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(b) + 1, zlib.crc32(b), "bytes", None)
 
 
+def test_ranges_do_not_change_the_shards(spark, documents, monkeypatch):
+    want = {tuple(r) for r in sharding.shard_by_bytes(documents).collect()}
+    monkeypatch.setattr(sharding, "RANGE_BYTES", 1000)
+    monkeypatch.setattr(sharding, "STRIDE", 8)
+    assert {tuple(r) for r in sharding.shard_by_bytes(documents).collect()} == want
+    assert {tuple(r) for r in sharding.shard_by_bytes(documents, ranges_per_shard=1, samples_per_range=2).collect()} == want
+
+
 def test_a_hot_text_is_divided(spark):
     docs = spark.createDataFrame([(i, "same text") for i in range(400)] + [(i, f"text {i}") for i in range(400, 800)], "doc_id long, text string")
     counts = Counter(r["shard"] for r in sharding.shard_by_bytes(docs).collect())
