@@ -55,8 +55,10 @@ def train(docs: DataFrame, ids: DataFrame, per_label: int = 1200, per_doc: int =
     return ByteCNN(labels).fit([bytes(r["window"]) for r in rows], [labels.index(r["label"]) for r in rows])
 
 
-def score(docs: DataFrame, model: ByteCNN, kinds: str, name: str = "probabilities") -> DataFrame:
-    """The same rows (``kinds`` is their schema) with the label probabilities of the whole text."""
+def score(docs: DataFrame, model: ByteCNN, name: str = "probabilities") -> DataFrame:
+    """The same rows with the label probabilities of the whole text, in place of a column of that name."""
+    docs = docs.drop(name)
+    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

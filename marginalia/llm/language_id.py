@@ -24,7 +24,7 @@ def identify(docs: DataFrame, learn_from: DataFrame, per_label: int = 1200) -> D
     if model is None:
         return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     lettered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"), "text")
-    told = score(lettered, model, "doc_id long, lettered boolean, text string")
+    told = score(lettered, model)
     best = F.array_max("probabilities")
     names = F.array(*(F.lit(x) for x in model.labels))
     return told.select(

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytecnn import ByteCNN
-from .common import table
+from .common import spare, table
 from .labelled import id_remainder, score, train
 
 THRESHOLD = 0.3
@@ -38,8 +38,8 @@ def scored(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
     docs = docs.drop("score")
     if model is None:
         return docs.withColumn("score", F.lit(1.0))
-    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return score(docs, model, kinds).withColumn("score", F.least(F.col("probabilities")[model.labels.index("1")], F.lit(1.0))).drop("probabilities")
+    told = spare(docs, "told")
+    return score(docs, model, told).withColumn("score", F.least(F.col(told)[model.labels.index("1")], F.lit(1.0))).drop(told)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
