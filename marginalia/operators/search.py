@@ -30,13 +30,26 @@ def ngram_tokens(text: str) -> list[str]:
     return list(dict.fromkeys([*words, *(c for r in runs for c in r), *(r[i : i + 2] for r in runs for i in range(len(r) - 1))]))
 
 
+def posting_rows(notes: DataFrame) -> DataFrame:
+    """token, path, field, tf, length: one row a token, note and field, counted within the
+    note: its words are sorted, and a token ends where the next differs."""
+    field = lambda name, column: F.struct(F.lit(name).alias("field"), F.sort_array(T.words(F.col(column))).alias("w"))
+    fields = notes.select("path", F.inline(F.array(field("title", "title"), field("body", "body")))).where(F.size("w") > 0)
+    w, ends = F.col("w"), F.col("ends")
+    fields = fields.withColumn("ends", F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.coalesce(F.get(w, i) != F.get(w, i + 1), F.lit(True))))
+    counted = F.transform(ends, lambda i, k: F.struct(F.get(w, i).alias("token"), (i - F.coalesce(F.get(ends, k - 1), F.lit(-1))).cast("long").alias("tf")))
+    return fields.select("path", "field", F.size(w).cast("long").alias("length"), F.inline(counted)).select("token", "path", "field", "tf", "length")
+
+
+def field_means(rows: DataFrame, n_docs: int) -> DataFrame:
+    """field, avg_length, n_docs: a row a field."""
+    return rows.groupBy("field").agg((F.sum("tf") / F.lit(max(n_docs, 1))).alias("avg_length"), F.lit(n_docs).cast("long").alias("n_docs"))
+
+
 def postings(notes: DataFrame) -> DataFrame:
-    """token, path, field, tf, length, avg_length: one row a token, note and field."""
-    fields = notes.select("path", F.explode(F.array(F.struct(F.lit("title").alias("field"), T.words(F.col("title")).alias("w")), F.struct(F.lit("body").alias("field"), T.words(F.col("body")).alias("w")))).alias("f"))
-    fields = fields.select("path", "f.field", "f.w", F.size("f.w").cast("long").alias("length"))
-    mean = fields.groupBy("field").agg(F.avg("length").alias("avg_length"), F.count("*").alias("n_docs"))  # two rows
-    rows = fields.select("path", "field", "length", F.explode("w").alias("token")).groupBy("token", "path", "field", "length").agg(F.count("*").alias("tf"))
-    return rows.join(F.broadcast(mean), "field")
+    """The rows of ``posting_rows`` with avg_length and n_docs of their field."""
+    rows = posting_rows(notes)
+    return rows.join(F.broadcast(field_means(rows, notes.count())), "field")
 
 
 def posting_stats(notes: DataFrame) -> DataFrame:

@@ -58,7 +58,9 @@ class Corpus:
     @property
     def postings(self) -> DataFrame:
         """Words of titles and bodies by token, so that a search reads the folders of its own tokens only."""
-        return self.stored("postings", lambda: search.by_token(search.postings(self.whole)), "bucket")
+        rows = self.stored("postings", lambda: search.by_token(search.posting_rows(self.whole)), "bucket")
+        means = self.stored("means", lambda: search.field_means(rows, self.notes.count()))
+        return rows.join(F.broadcast(means), "field")
 
     @property
     def grams(self) -> DataFrame:
