@@ -23,8 +23,10 @@ d2 as (select distinct dst as path from edges where src in (select path from d1)
 reached as (select path, 0 as depth from centre union all select path, 1 from d1 union all select path, 2 from d2)"""
 Q.on_stored("local_graph", lambda n: graph.local_graph(n, "Doc 10", 2), "select path, depth from reached union all select path, 1 from (select distinct path from link_rows where target = 'Doc 10') where path not in (select path from reached)", REACH)
 Q.on_stored(
-    "shortest_path", lambda n: graph.shortest_path(n, "Doc 1", "Doc 400").agg(F.max("hop").cast("int").alias("hops")),
-    "select min(hops)::int as hops from (with recursive w(node, hops) as (select path, 0 from link_index where title = 'Doc 1' union select dst, hops + 1 from w join edges on src = node where hops < 6) select hops from w join link_index on path = node where title = 'Doc 400')",
+    "shortest_path", lambda n: graph.shortest_path(n, "Doc 1", "Doc 400").select("hop", "path"),
+    """select (unnest(generate_series(1, len(way))) - 1)::int as hop, unnest(way) as path from (select way from (with recursive w(node, way, turn) as (select path, [path], []::int[] from link_index where title = 'Doc 1'
+    union all select dst, list_append(way, dst), list_append(turn, place) from w join turns on src = node where len(turn) < 6 and not list_contains(way, dst)) select way, turn from w join link_index on path = node where title = 'Doc 400') order by len(way), turn limit 1)""",
+    "turns as (select src, dst, min(place)::int as place from edges group by src, dst)",
 )
 Q.on_stored("degrees", graph.degrees, "select n.path, coalesce(i, 0) as in_degree, len(links) as out_degree, 10 + least(3 * coalesce(i, 0), 25) as display_size from notes n left join (select target, count(*) as i from link_rows group by 1) on target = title")
 EMBEDDED = """note_embeds as (select path as holder, split_part(t, '#', 1) as target from (select path, unnest(list_transform(regexp_extract_all(body, '!\\[\\[(.*?)(?:\\|(.*?))?\\]\\]', 1), lambda x: trim(x))) as t from notes) where not contains(t, '.')),
@@ -48,4 +50,16 @@ Q.on_stored(
 TOP = "top12 as (select tag, row_number() over (order by n desc, tag) - 1 as cluster from tag_counts order by n desc, tag limit 12)"
 Q.on_stored("tag_clusters", graph.tag_clusters, "select path, coalesce(cluster, -1)::int as cluster from notes left join (select path, arg_min(cluster, i) as cluster from (select path, unnest(tags) as tag, unnest(generate_series(1, len(tags))) as i from notes) join top12 using (tag) group by path) using (path)", TOP)
 Q.on_stored("knowledge_map_rows", lambda n: graph.knowledge_map_rows(n, graph.pagerank(n)), f"select path, title, array_to_string(tags, ',') as tags, rank from notes join ({RANKED}) using (path)", *RANKS)
-Q.plain("kmeans", lambda spark, sf_dir: graph.kmeans(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features")), 8, 5).groupBy("cluster").agg(F.count("*").alias("n")))
+K, ROUNDS = 8, 5
+MEANS = [
+    "pts as materialized (select vec_id as id, embedding::double[] as f from embeddings)",
+    f"c0 as materialized (select (row_number() over (order by place) - 1)::int as i, f from (select f, row_number() over (order by id) - 1 as place from pts) where place in (select i * (select count(*) from pts) // {K} from range({K}) r(i)))",
+]
+for _k in range(1, ROUNDS + 1):
+    MEANS.append(f"a{_k} as materialized (select id, pts.f as f, arg_min(i, (list_distance(pts.f, c.f), i)) as i from pts, c{_k - 1} c group by all)")
+    MEANS.append(f"m{_k} as (select i, list(v order by j) as f from (select i, j, avg(x) as v from (select i, unnest(f) as x, unnest(generate_series(1, len(f))) as j from a{_k}) group by i, j) group by i)")
+    MEANS.append(f"c{_k} as materialized (select i, coalesce(m.f, c.f) as f from c{_k - 1} c left join m{_k} m using (i))")
+Q.plain(
+    "kmeans", lambda spark, sf_dir: graph.kmeans(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features")), K, ROUNDS).select("id", "cluster"),
+    f"with {', '.join(MEANS)} select id, arg_min(i, (list_distance(pts.f, c.f), i))::int as cluster from pts, c{ROUNDS} c group by id",
+)
