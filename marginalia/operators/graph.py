@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -193,7 +195,8 @@ def kmeans(points: DataFrame, k: int, rounds: int = 30) -> DataFrame:
     centres = evenly_spaced(points, k, n)
 
     def nearest() -> F.Column:
-        far = F.array(*(F.struct(F.aggregate(F.zip_with("f", F.array(*map(F.lit, c)), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)))
+        held = F.from_json(F.lit(json.dumps(centres)), "array<array<double>>")  # one literal, however many centres
+        far = F.transform(held, lambda c, i: F.struct(F.aggregate(F.zip_with("f", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x).alias("d"), i.alias("i")))
         return F.array_min(far)["i"]
 
     for _ in range(rounds):
