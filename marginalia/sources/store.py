@@ -7,6 +7,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,12 +39,20 @@ class Corpus:
 
     def stored(self, name: str, make: Callable[[], DataFrame], *folders: str) -> DataFrame:
         """The table of that name; it is made and written, in folders by columns, if it is not there yet."""
-        if (*self.key, name) not in _built:
-            df, path = make(), f"{sinks.shared_path(self.spark)}/{name}"
-            df.write.option("compression", "zstd").partitionBy(*folders).parquet(path)
-            _built[(*self.key, name)] = path, df.schema
-        path, schema = _built[(*self.key, name)]
-        return self.spark.read.schema(schema).parquet(path)
+        at = (*self.key, name)
+        for _ in range(2):
+            if at not in _built:
+                df, path = make(), f"{sinks.shared_path(self.spark)}/{name}"
+                df.write.option("compression", "zstd").partitionBy(*folders).parquet(path)
+                _built[at] = path, df.schema
+            path, schema = _built[at]
+            try:
+                return self.spark.read.schema(schema).parquet(path)
+            except AnalysisException as e:  # the folder was cleared since
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+                del _built[at]
+        raise FileNotFoundError(path)
 
     @cached_property
     def whole(self) -> DataFrame:

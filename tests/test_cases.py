@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +134,8 @@ def test_tables_are_stored_once_for_a_state_of_the_input(spark, tmp_path):
     assert Corpus(spark, str(tmp_path)).postings.inputFiles() == first.postings.inputFiles()
     plan = search.of_tokens(first.postings, ["word7"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan.split("PartitionFilters:")[1].split("]")[0]
+    shutil.rmtree(Corpus(spark, str(tmp_path)).notes.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0])
+    assert Corpus(spark, str(tmp_path)).notes.count() == 20
     docs.limit(3).write.mode("append").parquet(str(tmp_path / "documents.parquet"))
     assert Corpus(spark, str(tmp_path)).notes.count() == 23
 
