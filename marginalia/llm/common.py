@@ -54,6 +54,11 @@ def ascii_lower(text: Column) -> Column:
     return F.lower(F.replace(F.replace(text, F.lit("K"), F.lit("ĸ")), F.lit("İ"), F.lit("ı")))
 
 
+def only_a_z_lower(text: Column) -> Column:
+    """Lower-case A-Z and nothing else."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def split_words(text: Column, separators: str) -> Column:
     """Non-empty pieces of text between runs of separators; null text gives none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), separators), lambda w: w != "")

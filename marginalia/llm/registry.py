@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, quality_rules, sharding
+from . import decontamination, licenses, quality_rules, resampling, sharding
 from .byte_bpe import op6_byte_bpe
 from .decontamination import op3_decontamination
 from .language_id import op7_language_id
@@ -10,6 +10,7 @@ from .licenses import op2_license_scan
 from .pii import op4_pii
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import op1_quality_rules
+from .resampling import op11_resampling
 from .sharding import op8_sharding
 from .simhash import op9_simhash
 from .substring_dedup import op5_substring_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_simhash": op9_simhash,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_resampling": op11_resampling,
 }
 
 ORACLE_SQL = {
@@ -32,4 +34,5 @@ ORACLE_SQL = {
     "op2_license_scan": licenses.oracle(),
     "op3_decontamination": decontamination.oracle(),
     "op8_sharding": sharding.oracle(),
+    "op11_resampling": resampling.oracle(),
 }
