@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, quality_rules, resampling, sharding
+from . import chat, decontamination, licenses, quality_rules, resampling, sharding
 from .byte_bpe import op6_byte_bpe
+from .chat import op12_chat_format
 from .decontamination import op3_decontamination
 from .language_id import op7_language_id
 from .licenses import op2_license_scan
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_resampling": op11_resampling,
+    "op12_chat_format": op12_chat_format,
 }
 
 ORACLE_SQL = {
@@ -35,4 +37,5 @@ ORACLE_SQL = {
     "op3_decontamination": decontamination.oracle(),
     "op8_sharding": sharding.oracle(),
     "op11_resampling": resampling.oracle(),
+    "op12_chat_format": chat.oracle(),
 }
