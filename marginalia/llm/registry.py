@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, licenses, quality_rules, resampling, sharding
+from . import chat, decontamination, divergence, licenses, quality_rules, resampling, sharding
 from .byte_bpe import op6_byte_bpe
 from .chat import op12_chat_format
 from .decontamination import op3_decontamination
+from .divergence import op13_source_divergence
 from .language_id import op7_language_id
 from .licenses import op2_license_scan
 from .pii import op4_pii
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_resampling": op11_resampling,
     "op12_chat_format": op12_chat_format,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE_SQL = {
@@ -38,4 +40,5 @@ ORACLE_SQL = {
     "op8_sharding": sharding.oracle(),
     "op11_resampling": resampling.oracle(),
     "op12_chat_format": chat.oracle(),
+    "op13_source_divergence": divergence.oracle(),
 }
