@@ -43,8 +43,8 @@ def words_of(text: Column) -> Column:
 def runs(words: Column, longest: int) -> Column:
     """All runs of 1 to ``longest`` consecutive words, joined by one space. ``words`` must be a
     plain column."""
-    each = [F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - F.lit(k - 1), F.lit(0))), lambda w, i, k=k: F.concat_ws(" ", w, *(words[i + j] for j in range(1, k)))) for k in range(2, longest + 1)]
-    return F.concat(words, *each) if each else words
+    long = lambda k: F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - F.lit(k - 1), F.lit(0))), lambda w, i: F.concat_ws(" ", w, *(words[i + j] for j in range(1, k))))
+    return F.concat(words, *(long(k) for k in range(2, longest + 1))) if longest > 1 else words
 
 
 def bucket(feature: Column, buckets: int) -> Column:
