@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 
 def link_index(notes: DataFrame) -> DataFrame:
     """title and path; the greatest path stands for a title that occurs twice."""
@@ -71,13 +73,14 @@ def folder_tree(notes: DataFrame) -> DataFrame:
 
 
 def ordered_tree(notes: DataFrame) -> DataFrame:
-    """The folder tree with its order within each top folder."""
-    top = F.split("node", "/")[0]
-    return folder_tree(notes).withColumn("top", top).select("top", "node", "name", "depth", "is_note", F.row_number().over(Window.partitionBy("top").orderBy("sort_key")).alias("n"))
+    """The folder tree with its order over everything, numbered by range."""
+    tree = folder_tree(notes)
+    return numbered(tree, F.col("sort_key.first"), F.col("sort_key.depth")).select("node", "name", "depth", "is_note", F.col("n").cast("int").alias("n"))
 
 
 def merged_index(notes: DataFrame, changes: DataFrame, parsed: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Backlinks after a change set: contributions of changed notes are replaced."""
+    """Backlinks after a change set: contributions of changed notes are replaced. ``sources.index``
+    keeps link rows on disk and replaces only what changed there."""
     kept = link_rows(notes).join(changes.select("path").distinct(), "path", "left_anti")
     rows = kept.unionByName(link_rows(parsed))
     return listed(rows, "target", "title", "sources", chunk)

@@ -1,8 +1,8 @@
 """Ranked text search over notes (path, title, folder, mtime, tags, body).
 
-The tables of ``postings`` and ``inverted_index`` are the indexes: write them once, dealt by
-``by_token`` and in folders by bucket, and pass them to the searches; a query then reads the
-folders of its own tokens only. Without an index a search makes the rows it needs.
+An index (``sources.index``) stores the rows of ``postings`` and ``inverted_index``; its tables are
+passed to the searches, and a query reads the folders of its own tokens only. Without an index
+a search makes the rows it needs.
 """
 
 from __future__ import annotations
@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 K1, B = 1.2, 0.75
-#: Folders of a stored index, and files that the rows of a folder are spread over at most.
-BUCKETS, SPREAD = 32, 4
 
 
 def tokens(text: str) -> list[str]:
@@ -31,14 +29,19 @@ def ngram_tokens(text: str) -> list[str]:
 
 
 def posting_rows(notes: DataFrame) -> DataFrame:
-    """token, path, field, tf, length: one row a token, note and field, counted within the
-    note: its words are sorted, and a token ends where the next differs."""
-    field = lambda name, column: F.struct(F.lit(name).alias("field"), F.sort_array(T.words(F.col(column))).alias("w"))
-    fields = notes.select("path", F.inline(F.array(field("title", "title"), field("body", "body")))).where(F.size("w") > 0)
+    """token, path, field, tf, length, positions: one row a token, note and field. Positions count
+    from 0 over the words of the title and then the body. All within the note: its words are sorted
+    with their positions, and a token ends where the next differs."""
+    title, body = T.words(F.col("title")), T.words(F.col("body"))
+    placed = lambda w, first: F.array_sort(F.transform(w, lambda t, i: F.struct(t.alias("t"), (first + i).cast("int").alias("i"))))
+    both = notes.select("path", title.alias("title"), body.alias("body"))
+    field = lambda name, w: F.struct(F.lit(name).alias("field"), w.alias("w"))
+    fields = both.select("path", F.inline(F.array(field("title", placed(F.col("title"), F.lit(0))), field("body", placed(F.col("body"), F.size("title")))))).where(F.size("w") > 0)
     w, ends = F.col("w"), F.col("ends")
-    fields = fields.withColumn("ends", F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.coalesce(F.get(w, i) != F.get(w, i + 1), F.lit(True))))
-    counted = F.transform(ends, lambda i, k: F.struct(F.get(w, i).alias("token"), (i - F.coalesce(F.get(ends, k - 1), F.lit(-1))).cast("long").alias("tf")))
-    return fields.select("path", "field", F.size(w).cast("long").alias("length"), F.inline(counted)).select("token", "path", "field", "tf", "length")
+    fields = fields.withColumn("ends", F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.coalesce(F.get(w, i)["t"] != F.get(w, i + 1)["t"], F.lit(True))))
+    before = lambda k: F.coalesce(F.get(ends, k - 1), F.lit(-1))
+    runs = F.transform(ends, lambda i, k: F.struct(F.get(w, i)["t"].alias("token"), (i - before(k)).cast("long").alias("tf"), F.transform(F.slice(w, before(k) + 2, i - before(k)), lambda x: x["i"]).alias("positions")))
+    return fields.select("path", "field", F.size(w).cast("long").alias("length"), F.inline(runs)).select("token", "path", "field", "tf", "length", "positions")
 
 
 def field_means(rows: DataFrame, n_docs: int) -> DataFrame:
@@ -68,22 +71,9 @@ def inverted_index(notes: DataFrame) -> DataFrame:
     return rows.select("path", "field", F.explode("w").alias("token"))
 
 
-def _bucket(token: Column) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
-
-
-def by_token(rows: DataFrame) -> DataFrame:
-    """The rows with ``bucket``, dealt by it and sorted by token; a token of very many notes
-    is spread by path."""
-    dealt = rows.withColumn("bucket", _bucket(F.col("token")))
-    return dealt.repartition(F.col("bucket"), F.pmod(F.xxhash64("path"), F.lit(SPREAD))).sortWithinPartitions("bucket", "token")
-
-
-def of_tokens(index: DataFrame, wanted: list[str]) -> DataFrame:
+def of_tokens(index, wanted: list[str]) -> DataFrame:
     """The rows of these tokens; of a stored index only their folders are read."""
-    if "bucket" in index.columns:
-        index = index.where(F.col("bucket").isin(*(_bucket(F.lit(t)) for t in wanted))).drop("bucket") if wanted else index
-    return index.where(F.col("token").isin(wanted))
+    return index.of(wanted) if hasattr(index, "of") else index.where(F.col("token").isin(wanted))
 
 
 def bm25(index: DataFrame, query: str) -> DataFrame:
@@ -109,19 +99,47 @@ def search_filtered(notes: DataFrame, query: str, kept: DataFrame, limit: int =
     return found.select("path", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "path").limit(limit)
 
 
-def search_bool(notes: DataFrame, must: list[str] = (), should: list[str] = (), must_not: list[str] = (), phrase: str = "") -> DataFrame:
-    """Paths that satisfy token conditions on title and body; ``phrase`` stands in order."""
-    text = notes.select("path", T.words(F.concat_ws(" ", "title", "body")).alias("w"))
-    for t in must:
-        text = text.where(F.array_contains("w", t.lower()))
+def phrase_words(text: str) -> list[str]:
+    """All words in order, repeats kept."""
+    return "".join(c.lower() if c.isalnum() else " " for c in text).split()
+
+
+def search_bool(notes: DataFrame, must: list[str] = (), should: list[str] = (), must_not: list[str] = (), phrase: str = "", index=None) -> DataFrame:
+    """Paths that satisfy token conditions on title and body; ``phrase`` stands in order.
+
+    Read from postings alone. Clauses are sets of paths: a note's postings of the query's tokens meet
+    in one row. A phrase stands where the positions of its words, each moved back by its place
+    in the phrase, have one in common. Only where every clause is a negative one, notes are
+    read, for their paths."""
+    must, should, must_not = ([t.lower() for t in ts] for ts in (must, should, must_not))
+    words = phrase_words(phrase)
+    wanted = list(dict.fromkeys([*must, *should, *must_not, *words]))
+    if not wanted:
+        return notes.select("path")
+    rows = of_tokens(index if index is not None else posting_rows(notes), wanted)
+    has = {t: F.col(f"t{i}") for i, t in enumerate(wanted)}
+    held = {t: F.col(f"p{i}") for i, t in enumerate(dict.fromkeys(words))}
+    flags = [F.bool_or(F.col("token") == t).alias(f"t{i}") for i, t in enumerate(wanted)]
+    lists = [F.flatten(F.collect_list(F.when(F.col("token") == t, F.col("positions")))).alias(f"p{i}") for i, t in enumerate(held)]
+    found = rows.groupBy("path").agg(*flags, *lists)
+    for t in [*must, *words]:
+        found = found.where(has[t])
     for t in must_not:
-        text = text.where(~F.array_contains("w", t.lower()))
+        found = found.where(~has[t])
     if should:
-        text = text.where(F.arrays_overlap("w", F.array(*(F.lit(t.lower()) for t in should))))
-    if phrase:
-        p = tokens(phrase)
-        text = text.where(F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).contains(" " + " ".join(p) + " "))
-    return text.select("path")
+        any_of = F.lit(False)
+        for t in should:
+            any_of = any_of | has[t]
+        found = found.where(any_of)
+    if len(words) > 1:
+        moved = lambda positions, k: F.transform(positions, lambda p: p - k)
+        starts = held[words[0]]
+        for k, t in enumerate(words[1:], 1):
+            starts = F.array_intersect(starts, moved(held[t], k))
+        found = found.where(F.size(starts) > 0)
+    if must or should or words:
+        return found.select("path")
+    return notes.select("path").join(rows.select("path"), "path", "left_anti")
 
 
 def search_page(notes: DataFrame, query: str, page: int = 1, per_page: int = 20, sort: str = "relevance", index: DataFrame | None = None) -> DataFrame:

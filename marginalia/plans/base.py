@@ -33,8 +33,10 @@ edges as (select l.path as src, x.path as dst, place from link_rows l join link_
 """
 
 
-def over_notes(sql: str, *ctes: str) -> str:
-    return f"with recursive {', '.join([NOTES.strip(), *ctes])}\n{sql.strip()}"
+def over_notes(sql: str, *ctes: str, vault: str = "") -> str:
+    """SQL over the derived notes; ``vault`` changes them first, from the vault as it was."""
+    told = NOTES.replace("vault as (", "was as (", 1).replace("parts as (", f"vault as ({vault}), parts as (", 1) if vault else NOTES
+    return f"with recursive {', '.join([told.strip(), *ctes])}\n{sql.strip()}"
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import filters, indexes, insights
@@ -38,7 +40,7 @@ def _filtered(n):
 
 ONE = "one as (select distinct src, dst from edges), weighted as (select a.src, a.dst, case when b.src is null then 1 else 2 end as weight from one a left join one b on a.src = b.dst and a.dst = b.src)"
 Q.on_stored("graph_filter", _filtered, "select src, dst, weight from weighted where src in (select path from kept) and dst in (select path from kept)", ONE, "kept as (select path from notes where contains(lower(path), 'src1') and len(list_filter(tags, lambda x: contains(lower(x), 't1'))) > 0)")
-Q.on_stored("adjacent_notes", filters.adjacent_notes, "select folder, path, lag(path) over w as previous, lead(path) over w as next from notes window w as (partition by folder order by path)")
+Q.on_stored("adjacent_notes", filters.adjacent_notes, "select folder, path, lag(path) over w as previous, lead(path) over w as next from notes window w as (order by path)")
 
 # indexes; parts of about a hundred titles, so that small tables have some
 PARTED = """select {key}, part, {names} from (select {key}, title, case when n > 100 then ('0x' || substr(md5(title), 1, 8))::bigint % ceil(n / 100)::bigint else 0 end::int as part
@@ -51,16 +53,18 @@ Q.on_stored("tag_counts", indexes.tag_counts, "select tag, n from tag_counts ord
 Q.on_stored("notes_for_tag", lambda n: indexes.notes_for_tag(n, "t5"), "select distinct t.title, x.path from tag_rows t join link_index x using (title) where tag = 't5' order by 1")
 TREE = """parts_of as (select path, title, string_split(path, '/') as p from notes), levels as (select *, unnest(generate_series(1, len(p))) as k from parts_of),
 nodes as (select array_to_string(p[1 : k], '/') as node, k - 1 as depth, k = len(p) as is_note, min(path) as first, max(title) as title from levels group by 1, 2, 3)"""
-Q.on_stored("folder_tree", lambda n: indexes.ordered_tree(n), "select split_part(node, '/', 1) as top, node, case when is_note then title else regexp_extract(node, '([^/]+)$', 1) end as name, depth::int as depth, is_note, row_number() over (partition by split_part(node, '/', 1) order by first, depth)::int as n from nodes", TREE)
+Q.on_stored("folder_tree", lambda n: indexes.ordered_tree(n), "select node, case when is_note then title else regexp_extract(node, '([^/]+)$', 1) end as name, depth::int as depth, is_note, row_number() over (order by first, depth)::int as n from nodes", TREE)
 
 
-def _merged(n):
-    changes = n.where(F.length("raw") % 10 == 0).select("path")
-    parsed = n.where(F.length("raw") % 20 == 0).withColumn("links", F.array(F.lit("New")))
-    return indexes.merged_index(n, changes, parsed, 100).select("target", "part", F.array_join("sources", "|").alias("sources"))
+def _merged(c):
+    """The stored index takes the change set as a segment; its link rows are then listed."""
+    changed = c.whole.where(F.length("raw") % 10 == 0)
+    parsed = changed.where(F.length("raw") % 20 == 0).withColumn("links", F.array(F.lit("New")))
+    index = c.index.forked(f"{c.root}-{uuid.uuid4().hex}").commit(parsed, changed.select("path"))
+    return indexes.listed(index.links.all(), "target", "title", "sources", 100).select("target", "part", F.array_join("sources", "|").alias("sources"))
 
 
-Q.on_notes("incremental_index_merge", _merged, PARTED.format(key="target", rows="(select l.target, l.title from link_rows l join notes n using (path) where length(raw) % 10 <> 0 union all select 'New', title from notes where length(raw) % 20 = 0)", names="string_agg(title, '|' order by title) as sources"))
+Q.on_corpus("incremental_index_merge", _merged, PARTED.format(key="target", rows="(select l.target, l.title from link_rows l join notes n using (path) where length(raw) % 10 <> 0 union all select 'New', title from notes where length(raw) % 20 = 0)", names="string_agg(title, '|' order by title) as sources"))
 
 # joins by kind
 Q.on_stored("join_inner_links", lambda n: indexes.link_rows(n).select("path", "target").join(indexes.link_index(n).select(F.col("title").alias("target"), F.col("path").alias("to")), "target").groupBy("to").agg(F.count("*").alias("n")), 'select dst as "to", count(*) as n from edges group by dst')

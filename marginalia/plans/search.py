@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import filters, search
-from .base import Queries
+from ..sources.vault import derived_vault, notes
+from .base import Queries, over_notes
 
 Q = Queries()
 QUERY = "the print doc part"
@@ -30,12 +33,39 @@ found as (select path, round(raw, 6) as score from scored)"""
 BM25 = _bm25(QUERY)
 BEST = "best as (select * from found order by score desc, path limit 10)"
 
+# the stored index after change sets: some notes get words, some go
+CHANGED = "select * exclude (raw), case when length(raw) % 50 < 3 then raw || ' fresh zebra text' else raw end as raw from was where length(raw) % 50 <> 3"
+
+
+def _changed(c):
+    """The index of the corpus after three small change sets."""
+    index, length = c.index.forked(f"{c.root}-{uuid.uuid4().hex}"), F.length("raw") % 50
+    vault = derived_vault(c.spark, c.sf_dir)
+    for k in range(3):
+        grown = vault.where(length == k).withColumn("raw", F.concat("raw", F.lit(" fresh zebra text")))
+        index = index.commit(notes(grown), vault.where(length == 3).select("path") if k == 1 else None)
+    return index
+
+
+def _counts(index):
+    told = index.postings.all().groupBy("field").agg(F.max("n_docs").alias("n_docs"), F.round(F.max("avg_length"), 6).alias("avg_length"), F.countDistinct("token").alias("n_tokens"), F.count("*").alias("n"), F.sum("tf").alias("words"), F.sum(F.aggregate("positions", F.lit(0).cast("long"), lambda s, x: s + x)).alias("places"))
+    return told
+
+
+Q.on_corpus("index_search_after_changes", lambda c: search.bm25_search(c.notes, "fresh zebra doc", index=_changed(c).postings))
+Q.oracles["index_search_after_changes"] = over_notes("select path, score from best", _bm25("fresh zebra doc"), BEST, vault=CHANGED)
+Q.on_corpus("index_merge", lambda c: _counts(_changed(c).merged(2)))
+Q.oracles["index_merge"] = over_notes(
+    f"""select field, max(n_docs) as n_docs, round(max(avg_length), 6) as avg_length, count(distinct token) as n_tokens, count(*) as n, sum(tf)::bigint as words, max(places)::bigint as places from postings join means using (field)
+    join (select field, sum(len(w) * (len(w) - 1) // 2 + case field when 'body' then n * len(w) else 0 end) as places from (select *, len({WORDS.format(t='title')}) as n from (select path, title, field, w from field_words join notes using (path))) group by field) using (field) group by field""",
+    POSTINGS, vault=CHANGED,
+)
 Q.on_notes("tokenize_simple", lambda n: n.select("path", F.size(T.words(F.col("body"))).alias("n"), F.md5(F.array_join(T.words(F.col("body")), " ")).alias("tokens")), f"select path, len(w)::int as n, md5(array_to_string(w, ' ')) as tokens from (select path, {WORDS.format(t='body')} as w from notes)")
 Q.on_notes("tokenize_ngram", lambda n: n.select("path", F.md5(F.array_join(T.ngrams(F.col("body")), " ")).alias("tokens")), f"select path, md5(array_to_string(list_filter({WORDS.format(t='body')}, lambda x: strlen(x) >= 2), ' ')) as tokens from notes")
 NGRAMS = f"""grams as (select distinct path, 'title' as field, unnest(list_filter({WORDS.format(t='title')}, lambda x: strlen(x) >= 2)) as token from notes union all
   select distinct path, 'tag', lower(tag) from tag_rows union all select distinct path, 'content', unnest(list_filter({WORDS.format(t='body')}, lambda x: strlen(x) >= 2)) from notes)"""
-Q.on_corpus("inverted_index", lambda c: c.grams.groupBy("token", "field").agg(F.count("*").alias("n")), "select token, field, count(*) as n from grams group by all", NGRAMS)
-Q.on_corpus("posting_stats", lambda c: search.stats(c.postings), "select field, n_docs, round(avg_length, 6) as avg_length, (select count(distinct token) from postings p where p.field = means.field) as n_tokens from means", POSTINGS)
+Q.on_corpus("inverted_index", lambda c: c.grams.all().groupBy("token", "field").agg(F.count("*").alias("n")), "select token, field, count(*) as n from grams group by all", NGRAMS)
+Q.on_corpus("posting_stats", lambda c: search.stats(c.postings.all()), "select field, n_docs, round(avg_length, 6) as avg_length, (select count(distinct token) from postings p where p.field = means.field) as n_tokens from means", POSTINGS)
 Q.on_corpus("bm25_search", lambda c: search.bm25_search(c.notes, QUERY, index=c.postings), "select path, score from best", BM25, BEST)
 FILTER = "list_has_any(tags, ['en']) and starts_with(folder, 'src') and mtime >= timestamp '2023-01-01'"
 
@@ -46,11 +76,15 @@ def _filtered(c):
 
 
 Q.on_corpus("search_filtered", _filtered, f"select path, score from found where path in (select path from notes where {FILTER}) order by score desc, path limit 10", BM25)
-Q.on_notes(
-    "search_bool", lambda n: search.search_bool(n, must=["the"], should=["marked", "print"], must_not=["mit"], phrase="doc"),
-    f"select path from (select path, {WORDS.format(t='(title || chr(32) || body)')} as w from notes) where list_contains(w, 'the') and list_has_any(w, ['marked', 'print']) and not list_contains(w, 'mit') and list_contains(w, 'doc')",
+TEXT = f"(select path, {WORDS.format(t='(title || chr(32) || body)')} as w from notes)"
+SPOKEN = f"(select path, ' ' || array_to_string(w, ' ') || ' ' as w from {TEXT})"
+Q.on_corpus(
+    "search_bool", lambda c: search.search_bool(c.notes, must=["the"], should=["marked", "print"], must_not=["mit"], phrase="doc", index=c.postings),
+    f"select path from {TEXT} where list_contains(w, 'the') and list_has_any(w, ['marked', 'print']) and not list_contains(w, 'mit') and list_contains(w, 'doc')",
 )
-Q.on_notes("search_phrase", lambda n: search.search_bool(n, phrase="so marked and"), f"select path from (select path, ' ' || array_to_string({WORDS.format(t='(title || chr(32) || body)')}, ' ') || ' ' as w from notes) where contains(w, ' so marked and ')")
+Q.on_corpus("search_bool_not", lambda c: search.search_bool(c.notes, must_not=["the", "der"], index=c.postings), f"select path from {TEXT} where not list_has_any(w, ['the', 'der'])")
+Q.on_corpus("search_phrase", lambda c: search.search_bool(c.notes, phrase="so marked and", index=c.postings), f"select path from {SPOKEN} where contains(w, ' so marked and ')")
+Q.on_corpus("search_phrase_repeats", lambda c: search.search_bool(c.notes, must_not=["t3"], phrase="doc 12 doc 12", index=c.postings), f"select path from {SPOKEN} where contains(w, ' doc 12 doc 12 ') and not contains(w, ' t3 ')")
 PAGE = "select n::int as n, path, score, (select count(*) from found) as total, ceil((select count(*) from found) / 15)::bigint as total_pages from ({}) where n > 15 and n <= 30"
 Q.on_corpus("search_page", lambda c: search.search_page(c.notes, QUERY, 2, 15, index=c.postings), PAGE.format("select *, row_number() over (order by score desc, path) as n from found"), BM25)
 Q.on_corpus("search_page_modified", lambda c: search.search_page(c.notes, QUERY, 2, 15, "modified", c.postings), PAGE.format("select path, score, row_number() over (order by mtime desc, path) as n from (select * from found order by score desc, path limit 5000) join (select path, mtime from notes) using (path)"), BM25)

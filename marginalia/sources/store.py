@@ -1,58 +1,55 @@
-"""Tables that are built once from an input and read by every query after: extracted notes,
-search postings. They stand in the session's shared folder, by the state of their input's
-files, so a changed input is built anew."""
+"""The stored index of an input: built once, opened by every session after, and brought up to date
+where the input's files have changed. It stands in the session's shared folder."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import threading
 from functools import cached_property
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import search
-from . import sinks
+from ..session import shared_folder
+from .index import FORMAT, Index, Table
 from .vault import derived_vault, notes
 
-#: Columns of extracted notes; text stays where it came from.
-COLUMNS = ["path", "title", "folder", "mtime", "frontmatter", "links", "embeds", "tags", "toc", "visible_chars"]
-_built: dict[tuple, tuple[str, object]] = {}
+_writing = threading.RLock()
 
 
-def state(df: DataFrame) -> tuple:
-    """What tells one state of the files of ``df`` from another."""
-    meta = df.select("_metadata.file_path", "_metadata.file_size", F.unix_micros("_metadata.file_modification_time").alias("at")).distinct()
-    return tuple(meta.agg(F.count("*"), F.sum("file_size"), F.max("at"), F.sum(F.xxhash64("file_path", "file_size", "at").cast("decimal(38,0)"))).first())
+def state(spark: SparkSession, path: str) -> str:
+    """What tells one state of the files at ``path`` from another, by their listing alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.unix_micros("modificationTime").alias("at"))
+    return "|".join(map(str, files.agg(F.count("*"), F.sum("length"), F.max("at"), F.bit_xor(F.xxhash64("path", "length", "at"))).first()))
 
 
 class Corpus:
-    """The notes of an input, and the stored tables over them."""
+    """The notes of an input, and the stored index over them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    @property
+    def root(self) -> str:
+        """One folder for each input."""
+        return f"{shared_folder(self.spark)}/marginalia-index-{FORMAT}-{hashlib.md5(self.sf_dir.encode()).hexdigest()}"
+
     @cached_property
-    def key(self) -> tuple:
-        docs = self.spark.read.parquet(f"{self.sf_dir}/documents.parquet")
-        return (self.spark.sparkContext.applicationId, self.sf_dir, *state(docs))
-
-    def stored(self, name: str, make: Callable[[], DataFrame], *folders: str) -> DataFrame:
-        """The table of that name; it is made and written, in folders by columns, if it is not there yet."""
-        at = (*self.key, name)
-        for _ in range(2):
-            if at not in _built:
-                df, path = make(), f"{sinks.shared_path(self.spark)}/{name}"
-                df.write.option("compression", "zstd").partitionBy(*folders).parquet(path)
-                _built[at] = path, df.schema
-            path, schema = _built[at]
+    def index(self) -> Index:
+        now = state(self.spark, f"{self.sf_dir}/documents.parquet")
+        with _writing:
+            index = Index.open(self.spark, self.root)
             try:
-                return self.spark.read.schema(schema).parquet(path)
-            except AnalysisException as e:  # the folder was cleared since
+                if index.mark["segments"]:
+                    _ = index.notes  # raises where a segment's folder was cleared since
+                return index.synced(derived_vault(self.spark, self.sf_dir), notes, now)
+            except AnalysisException as e:
                 if "PATH_NOT_FOUND" not in str(e):
                     raise
-                del _built[at]
-        raise FileNotFoundError(path)
+            fresh = Index(self.spark, self.root)
+            fresh.mark["commit"] = index.mark["commit"]
+            return fresh.commit(self.whole, state=now)
 
     @cached_property
     def whole(self) -> DataFrame:
@@ -62,16 +59,14 @@ class Corpus:
     @property
     def notes(self) -> DataFrame:
         """Extracted notes, without text."""
-        return self.stored("notes", lambda: self.whole.select(*COLUMNS))
+        return self.index.notes
 
     @property
-    def postings(self) -> DataFrame:
-        """Words of titles and bodies by token, so that a search reads the folders of its own tokens only."""
-        rows = self.stored("postings", lambda: search.by_token(search.posting_rows(self.whole)), "bucket")
-        means = self.stored("means", lambda: search.field_means(rows, self.notes.count()))
-        return rows.join(F.broadcast(means), "field")
+    def postings(self) -> Table:
+        """Words of titles and bodies, with their positions."""
+        return self.index.postings
 
     @property
-    def grams(self) -> DataFrame:
-        """n-gram tokens of titles, tags and bodies by token."""
-        return self.stored("grams", lambda: search.by_token(search.inverted_index(self.whole)), "bucket")
+    def grams(self) -> Table:
+        """n-gram tokens of titles, tags and bodies."""
+        return self.index.grams

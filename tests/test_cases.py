@@ -130,14 +130,40 @@ def test_tables_are_stored_once_for_a_state_of_the_input(spark, tmp_path):
     docs = spark.range(20).selectExpr("id as doc_id", "concat('word', id) as text", "'en' as lang", "'s' as source", "5L as n_chars")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     first = Corpus(spark, str(tmp_path))
-    assert first.postings.where("token = 'word7'").count() == 1
-    assert Corpus(spark, str(tmp_path)).postings.inputFiles() == first.postings.inputFiles()
-    plan = search.of_tokens(first.postings, ["word7"])._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan.split("PartitionFilters:")[1].split("]")[0]
-    shutil.rmtree(Corpus(spark, str(tmp_path)).notes.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0])
+    assert first.postings.of(["word7"]).count() == 1
+    assert Corpus(spark, str(tmp_path)).notes.inputFiles() == first.notes.inputFiles()
+    shutil.rmtree(first.notes.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0])
     assert Corpus(spark, str(tmp_path)).notes.count() == 20
-    docs.limit(3).write.mode("append").parquet(str(tmp_path / "documents.parquet"))
-    assert Corpus(spark, str(tmp_path)).notes.count() == 23
+    # two notes more: the input grew, so links of the others changed too, but not the first segment
+    docs.limit(3).selectExpr("doc_id + 100 as doc_id", "text", "lang", "source", "n_chars").write.mode("append").parquet(str(tmp_path / "documents.parquet"))
+    grown = Corpus(spark, str(tmp_path))
+    assert grown.notes.count() == 23 and len(grown.index.mark["segments"]) == 2
+
+
+def test_home_names_in_order(spark):
+    names = ["README.md", "Readme.md", "readme.md", "index.md", "Index.md", "A.md"]
+    for k in range(len(names)):
+        n = spark.createDataFrame([(p,) for p in reversed(names[k:])], "path string")
+        assert filters.home_note(n).first()["path"] == names[k]
+
+
+@pytest.fixture
+def uncoalesced(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_order_across_folders_and_ranges(spark, uncoalesced):
+    from marginalia.operators import ordering
+
+    rows = spark.range(500).selectExpr("concat(id * 7919 % 13, '/', lpad(id * 31 % 500, 3, '0')) as path", "concat('f', id % 13) as folder").repartition(7)
+    want = sorted(r["path"] for r in rows.collect())
+    told = {r["path"]: (r["previous"], r["next"]) for r in filters.adjacent_notes(rows).collect()}
+    assert told == {p: (want[k - 1] if k else None, want[k + 1] if k + 1 < len(want) else None) for k, p in enumerate(want)}
+    assert [r["n"] for r in ordering.numbered(rows, F.col("path")).orderBy("path").collect()] == list(range(1, 501))
+    assert ordering.ranged(rows, F.col("path")).select(ordering.RANGE).distinct().count() > 1
+    assert filters.adjacent_notes(rows.limit(0)).count() == 0
 
 
 def test_frontmatter(spark):
