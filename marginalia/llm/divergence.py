@@ -1,7 +1,7 @@
 """Operator 13: audit of how the sources of a language differ in their terms.
 
-Terms are counted under a 64-bit digest, not under their text. The text is read once for the counts:
-within a document its digests are sorted and run-length counted, and rows of (lang, source, digest,
+Terms are shuffled under a 64-bit digest, not under their text. The text is read once for the counts:
+a task counts its own terms in a bounded table, and rows of (lang, source, digest,
 count, documents), all of fixed width but the two names, are summed over the corpus, then
 gathered by (lang, digest), a list of sources for each; those in ``min_docs`` documents of a language or more may be kept. It is read
 again for the texts of these digests alone: each digest's smallest and greatest term. Where they
@@ -23,8 +23,12 @@ ignored. Shares are exact: what could pass 64 bits is computed as decimals or Py
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,27 +40,91 @@ BLOCK_TERMS = 1000
 #: Digests that are broadcast to the second reading; more are joined by a shuffle.
 BROADCAST_DIGESTS = 2_000_000
 NOT_LETTERS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same on bytes: letters in lower case, bytes of other characters as they are, blanks for the rest.
+TO_TERMS = bytes(ord(chr(b).lower()) if chr(b).isalpha() and b < 128 else b if b >= 128 else 32 for b in range(256))
+#: Terms that a task holds before it tells their counts.
+HELD = 400_000
 RESULT = "lang string, source string, part string, item string, value long, rank int"
 
 
-def terms(docs: DataFrame) -> DataFrame:
-    """lang, source and w, the terms of each document in order."""
-    blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    return docs.select(blank("lang"), blank("source"), split_words(only_a_z_lower(F.col("text")), NOT_LETTERS).alias("w"))
+def named(docs: DataFrame) -> DataFrame:
+    """lang, source and text, none of them null."""
+    return docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")))
 
 
 def digest(term: Column, bits: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(term), 64 - bits) if bits < 64 else F.xxhash64(term)
 
 
-def counted(rows: DataFrame, values: str, name: str) -> DataFrame:
-    """lang, source, ``name``, n and df from rows with an array of values: run-length counted within
-    the row, then summed."""
-    v, ends = F.col("__v"), F.col("__ends")
-    rows = rows.select("lang", "source", F.sort_array(values).alias("__v")).where(F.size("__v") > 0)
-    rows = rows.withColumn("__ends", F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda i: F.coalesce(F.get(v, i) != F.get(v, i + 1), F.lit(True))))
-    runs = F.transform(ends, lambda i, k: F.struct(F.get(v, i).alias(name), (i - F.coalesce(F.get(ends, k - 1), F.lit(-1))).cast("long").alias("n")))
-    return rows.select("lang", "source", F.inline(runs)).groupBy("lang", "source", name).agg(F.sum("n").alias("n"), F.count("*").alias("df"))
+def _digests(words: list[bytes], bits: int) -> pa.Array:
+    """What ``digest`` gives."""
+    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
+    return pa.array((h >> np.uint64(64 - bits) if bits < 64 else h).view(np.int64))
+
+
+def _words(text: str | None) -> list[bytes]:
+    """The terms of a text, in order."""
+    return (text or "").encode().translate(TO_TERMS).split()
+
+
+def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, str]]:
+    """lang, source and text, a few at a time."""
+    for batch in batches:
+        for k in range(0, len(batch), 64):
+            part = batch.slice(k, 64)
+            yield from zip(*(part[c].to_pylist() for c in ("lang", "source", "text")), strict=True)
+
+
+def counted(docs: DataFrame, bits: int) -> DataFrame:
+    """lang, source, key, n and df: a task counts its texts in a table of ``HELD`` terms at most, told
+    and emptied when it is full; then the counts are summed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], dict[bytes, int]] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for (lang, source), found in held.items():
+                n = np.array([v >> 32 for v in found.values()], np.int64)
+                df = np.array([v & 0xFFFFFFFF for v in found.values()], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(n)), pa.repeat(source, len(n)), _digests(list(found), bits), pa.array(n), pa.array(df)], ["lang", "source", "key", "n", "df"])
+            held.clear()
+
+        size = 0
+        for lang, source, text in _text_rows(batches):
+            found = held.setdefault((lang, source), {})
+            size -= len(found)
+            get = found.get
+            for word, n in Counter(_words(text)).items():
+                found[word] = get(word, 0) + (n << 32) + 1
+            size += len(found)
+            if size > HELD:
+                yield from told()
+                size = 0
+        yield from told()
+
+    return docs.mapInArrow(run, "lang string, source string, key long, n long, df long").groupBy("lang", "source", "key").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+
+
+def spoken(docs: DataFrame, bits: int) -> DataFrame:
+    """key and t: the digest and text of every term, once for every ``HELD`` that a task meets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: set[bytes] = set()
+
+        def told() -> Iterator[pa.RecordBatch]:
+            words = list(held)
+            for k in range(0, len(words), 20_000):
+                part = words[k : k + 20_000]
+                yield pa.RecordBatch.from_arrays([_digests(part, bits), pa.array(part, pa.binary()).cast(pa.string())], ["key", "t"])
+            held.clear()
+
+        for _, _, text in _text_rows(batches):
+            held.update(_words(text))
+            if len(held) > HELD:
+                yield from told()
+        yield from told()
+
+    return docs.mapInArrow(run, "key long, t string")
 
 
 def gathered(counts: DataFrame, name: str, min_docs: int) -> DataFrame:
@@ -68,16 +136,15 @@ def gathered(counts: DataFrame, name: str, min_docs: int) -> DataFrame:
 def vocabulary(docs: DataFrame, min_docs: int = MIN_DOCS, bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """The kept terms, (lang, key, term, n, by), where term is null if the digest ``key`` alone tells it;
     and the texts of those, (key, text)."""
-    said = terms(docs)
-    hashed = said.select("lang", "source", F.transform("w", lambda w: digest(w, bits)).alias("h"))
-    kept = written(gathered(counted(hashed, "h", "key"), "key", min_docs))
+    docs = named(docs)
+    kept = written(gathered(counted(docs, bits), "key", min_docs))
     wanted = kept.select("key").distinct()
     wanted = F.broadcast(wanted) if kept.count() <= BROADCAST_DIGESTS else wanted
-    spoken = said.select(F.explode(F.array_distinct("w")).alias("t")).select(digest(F.col("t"), bits).alias("key"), "t").join(wanted, "key", "left_semi")
-    texts = written(spoken.groupBy("key").agg(F.min("t").alias("text"), F.max("t").alias("other")))
+    texts = written(spoken(docs, bits).join(wanted, "key", "left_semi").groupBy("key").agg(F.min("t").alias("text"), F.max("t").alias("other")))
     shared = texts.where("text != other").select("key")
     alone = kept.join(shared, "key", "left_anti").select("lang", "key", F.lit(None).cast("string").alias("term"), "n", "by")
     if not shared.isEmpty():
+        said = docs.select("lang", "source", split_words(only_a_z_lower(F.col("text")), NOT_LETTERS).alias("w"))
         again = said.select("lang", "source", F.explode("w").alias("term")).withColumn("key", digest(F.col("term"), bits)).join(shared, "key", "left_semi")
         again = gathered(again.groupBy("lang", "source", "term").agg(F.count("*").alias("n")).withColumn("df", F.lit(0).cast("long")), "term", 0)
         found = said.select("lang", F.explode(F.array_distinct("w")).alias("term")).withColumn("key", digest(F.col("term"), bits)).join(shared, "key", "left_semi")
@@ -138,7 +205,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, bits: int =
     """lang, source, part, item, value, rank: ``pair`` rows tell how far every other source of the
     language is, ``term`` rows the source's ``top`` terms above the language's share."""
     kept, texts = vocabulary(docs, min_docs, bits)
-    groups = terms(docs).select("lang", "source").distinct()
+    groups = named(docs).select("lang", "source").distinct()
     each = kept.select("lang", "key", "term", F.col("n").alias("in_lang"), F.inline("by"))
     sizes = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("lang_total"))
     totals = each.groupBy("lang", "source").agg(F.sum("n").alias("total"))
@@ -155,9 +222,9 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, bits: int =
     scored = scored.select("lang", "source", "key", "term", F.call_function("div", (F.col("p") - F.col("q")) * (F.col("p") - F.col("q")), F.col("p") + F.col("q")).alias("value"))
     some = Window.partitionBy("lang", "source").orderBy(F.desc("value"))
     cut = scored.withColumn("at", F.row_number().over(some)).where(F.col("at") <= top).groupBy("lang", "source").agg(F.min("value").alias("least"))
-    named = scored.join(cut, ["lang", "source"]).where("value >= least").join(texts, "key", "left").withColumn("item", F.coalesce("term", "text"))
-    named = named.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
-    return pairs.unionByName(named)
+    told = scored.join(cut, ["lang", "source"]).where("value >= least").join(texts, "key", "left").withColumn("item", F.coalesce("term", "text"))
+    told = told.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
+    return pairs.unionByName(told)
 
 
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
