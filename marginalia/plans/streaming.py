@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,34 +9,41 @@ from ..operators import activity as A
 from ..sources import sinks
 from ..sources.vault import derived_vault
 from ..streaming import activity as S
+from ..streaming.tables import StateTable
 from .activity import ROWS
 from .base import Queries, over_notes
 
 Q = Queries()
 
 
+def ran(stream: DataFrame, put, mode: str) -> None:
+    """Everything that the stream gives now, batch by batch."""
+    path = sinks.shared_path(stream.sparkSession)
+    stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", path).trigger(availableNow=True).start().awaitTermination()
+
+
 def drained(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
     """Everything that the stream gives now, as a table in the shared folder: the rows that were
     appended, the last complete table, or the last row of each key."""
     spark, path, done = stream.sparkSession, sinks.shared_path(stream.sparkSession), []
-    put = S.upserted(f"{path}/rows", keys) if mode == "update" else S.appended(f"{path}/rows")
+    if mode == "update":
+        return merged(stream, S.upserted(spark, path, keys), mode)
+    put = S.appended(path)
 
     def batch(rows: DataFrame, epoch: int) -> None:
         put(rows, epoch)
         done.append(epoch)
 
-    stream.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    ran(stream, batch, mode)
     kept = done if mode == "append" else done[-1:]
-    read = spark.read.schema(stream.schema)
-    return read.parquet(*(f"{path}/rows/{epoch}" for epoch in kept)) if kept else spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*(f"{path}/{epoch}" for epoch in kept)) if kept else spark.createDataFrame([], stream.schema)
 
 
-def merged(stream: DataFrame, merge, path: str) -> DataFrame:
-    """The last generation of a table that batches are merged into."""
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    epoch = query.lastProgress["batchId"] if query.lastProgress else 0
-    return S.latest(stream.sparkSession, path, epoch)
+def merged(stream: DataFrame, table: StateTable, mode: str = "append") -> DataFrame:
+    """The table that all batches are merged into."""
+    ran(stream, table.add, mode)
+    rows = table.rows()
+    return rows if rows is not None else stream.sparkSession.createDataFrame([], stream.schema)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +62,7 @@ on("stream_daily", lambda s: drained(S.per_period(s), "complete").select(F.date_
 on("stream_monthly", lambda s: drained(S.per_month(s), "complete").select(F.date_format("start", "yyyy-MM").alias("month"), "n"), "select strftime(ts, '%Y-%m') as month, count(*) as n from act group by 1")
 on("stream_progress", lambda s: drained(S.progress(s), "update", ["user", "path"]), 'select "user", path, percent, duration, percent >= 95 as completed from prog')
 on("stream_dedup", lambda s: drained(S.dedup(s, ["event_id"]), "append").agg(F.count("*").alias("n")), "select count(distinct event_id) as n from act")
-on("stream_keep_last_n", lambda s: merged(s, S.keep_last_n(p := sinks.shared_path(s.sparkSession), 5), p).select("event_id"), 'select event_id from act qualify row_number() over (partition by "user" order by ts desc, event_id desc) <= 5')
+on("stream_keep_last_n", lambda s: merged(s, S.keep_last_n(s.sparkSession, sinks.shared_path(s.sparkSession), 5)).select("event_id"), 'select event_id from act qualify row_number() over (partition by "user" order by ts desc, event_id desc) <= 5')
 
 
 def _budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +85,7 @@ def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, path = sinks.shared_path(spark), sinks.shared_path(spark)
     sinks.write_notes(derived_vault(spark, sf_dir), root)
     below = F.substring_index("path", f"/{root.rsplit('/', 1)[-1]}/", -1)
-    return merged(S.stream_notes(spark, root), S.merge_notes(path), path).select(below.alias("path"), F.length("raw").alias("chars"))
+    return merged(S.stream_notes(spark, root), S.merge_notes(spark, path)).select(below.alias("path"), F.length("raw").alias("chars"))
 
 
 Q.plain("stream_notes", _notes, over_notes("select path, length(raw) as chars from notes"))

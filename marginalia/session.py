@@ -26,3 +26,10 @@ def settled(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(f"{shared_folder(df.sparkSession)}/checkpoints")
     return df.checkpoint()
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Removes folders, wherever Spark's file systems keep them; what is not there is none."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -1,7 +1,7 @@
 """Streaming forms of the activity and note operators.
 
 Sources are given; each function returns a streaming DataFrame or, where rows must be
-merged into a table, a function for ``foreachBatch``.
+merged into a table, the table, whose ``add`` is for ``foreachBatch``.
 """
 
 from __future__ import annotations
@@ -9,10 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .tables import StateTable, last, newest
+
 
 def stream_activity(spark: SparkSession, path: str) -> DataFrame:
     """The activity rows of event files as they arrive below ``path``."""
@@ -65,82 +68,69 @@ def progress(rows: DataFrame) -> DataFrame:
     return rows.groupBy("user", "path").applyInPandasWithState(fold, "user string, path string, percent double, duration double, completed boolean", "last long, event long, percent double, total double", "update", GroupStateTimeout.NoTimeout)
 
 
-def share_budget(accesses: DataFrame) -> DataFrame:
-    """token and visits of accesses (token, ts, n, expires_at, max_visits), n of them at once:
-    counted while the link is valid; state goes when the watermark passes the expiry, and
-    later accesses, which are not valid, tell nothing."""
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        (visits,) = state.get if state.exists else (0,)
-        expiry = None
-        for df in frames:
-            for t, n, e, m in zip(df["ts"], df["n"], df["expires_at"], df["max_visits"], strict=True):
-                expiry = e if pd.notna(e) else expiry
-                if pd.isna(e) or t <= e:
+
+class _Visits(StatefulProcessor):
+    """Counts a link's visits until a timer of its own ends it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.visits = handle.getValueState("visits", "visits long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now, held = timerValues.getCurrentWatermarkInMs(), self.visits.exists()
+        visits, before, timer = self.visits.get()[0] if held else 0, 0, None
+        before = visits
+        for df in rows:
+            for t, n, e, m in zip(df["at"], df["n"], df["expires_at"], df["max_visits"], strict=True):
+                timer = int(pd.Timestamp(e).timestamp() * 1000) if pd.notna(e) else None
+                over = timer is not None and timer <= now and not held
+                if not over and (timer is None or t <= e):
                     visits = visits + int(n) if pd.isna(m) else max(visits, min(visits + int(n), int(m)))
-        if not visits:
+        if visits == before:
             return
-        state.update((visits,))
-        if expiry is not None and pd.notna(expiry):
-            at = int(pd.Timestamp(expiry).timestamp() * 1000)
-            if at > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(at)
+        self.visits.update((visits,))
+        if timer is not None:
+            self.handle.registerTimer(max(timer, now + 1))
         yield pd.DataFrame({"token": [key[0]], "visits": [visits]})
 
-    return accesses.withWatermark("ts", "1 day").groupBy("token").applyInPandasWithState(fold, "token string, visits long", "visits long", "update", GroupStateTimeout.EventTimeTimeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.visits.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
 
 
-def keep_last_n(path: str, n: int) -> Callable[[DataFrame, int], None]:
-    """A batch function that keeps each user's newest n rows in a table at ``path``; two
-    generations alternate, so a batch that runs again reads what it read before."""
+def share_budget(accesses: DataFrame, late: str = "1 day") -> DataFrame:
+    """token and visits of accesses (token, ts, n, expires_at, max_visits), n of them at once: those
+    up to the expiry are counted up to the budget, however late they come, until the watermark
+    (``late`` behind the greatest ts) has passed the expiry. Then a timer of the link removes its
+    state, and what comes after tells nothing. A link without expiry keeps its one number.
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        rows = batch if epoch == 0 else batch.unionByName(spark.read.parquet(f"{path}/{epoch - 1}"))
-        w = Window.partitionBy("user").orderBy(F.desc("ts"), F.desc("event_id"))
-        rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= n).drop("n").write.mode("overwrite").parquet(f"{path}/{epoch}")
+    The watermark moves the timers and drops no rows: the function sees a copy of ts. State stands in
+    RocksDB, which timers need; the session is set to it."""
+    accesses.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    rows = accesses.withWatermark("ts", late).withColumn("at", F.expr("ts + interval 0 seconds")).drop("ts")
+    return rows.groupBy("token").transformWithStateInPandas(_Visits(), "token string, visits long", "update", "eventTime")
 
-    return merge
 
+def keep_last_n(spark: SparkSession, path: str, n: int) -> StateTable:
+    """Each user's newest n rows; its ``add`` is for ``foreachBatch``."""
+    return StateTable(spark, path, ["user"], newest(["user"], n, F.desc("ts"), F.desc("event_id")))
 
-def merge_notes(path: str) -> Callable[[DataFrame, int], None]:
-    """A batch function that upserts notes by path into a table of generations."""
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.groupBy("path").agg(F.max_by(F.struct("mtime", "raw"), "mtime").alias("x")).select("path", "x.*")
-        if epoch:
-            fresh = fresh.unionByName(spark.read.parquet(f"{path}/{epoch - 1}").join(fresh.select("path"), "path", "left_anti"))
-        fresh.write.mode("overwrite").parquet(f"{path}/{epoch}")
+def merge_notes(spark: SparkSession, path: str) -> StateTable:
+    """Notes by path; those of a later batch stand for earlier ones."""
+    return StateTable(spark, path, ["path"], last(["path"], "mtime", "raw"))
 
-    return merge
+
+def upserted(spark: SparkSession, path: str, keys: list[str]) -> StateTable:
+    """Rows by keys; those of a later batch stand for earlier ones."""
+    return StateTable(spark, path, keys, last(keys))
 
 
 def appended(path: str) -> Callable[[DataFrame, int], None]:
     """A batch function that adds each batch to a table."""
     return lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/{epoch}")
-
-
-def upserted(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A batch function that upserts rows by keys into a table of generations. A batch with
-    keyed state must be computed once only, so it is written before it is merged."""
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch
-        if epoch:
-            batch.write.mode("overwrite").parquet(f"{path}/batch-{epoch}")
-            fresh = spark.read.schema(batch.schema).parquet(f"{path}/batch-{epoch}")
-            now = fresh.select(*(F.col(k).alias(f"__{k}") for k in keys))
-            same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-            fresh = fresh.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/{epoch - 1}").join(now, same, "left_anti"))
-        fresh.write.mode("overwrite").parquet(f"{path}/{epoch}")
-
-    return merge
-
-
-def latest(spark: SparkSession, path: str, epoch: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/{epoch}")
