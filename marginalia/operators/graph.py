@@ -33,17 +33,22 @@ def global_graph(notes: DataFrame, hide_isolated: bool = False, most: int = 500)
     return notes.select("path", "title"), linked
 
 
-def pagerank(notes: DataFrame, rounds: int = 20, damping: float = 0.85, every: int = 5) -> DataFrame:
-    """path and rank, divided by the largest; parallel edges count, dangling rank is lost."""
+def pagerank(notes: DataFrame, rounds: int = 20, damping: float = 0.85, every: int = 10) -> DataFrame:
+    """path and rank, divided by the largest; parallel edges count, dangling rank is lost.
+
+    Links are dealt by source and nodes by path, once. A round's ranks come out of the sum by target
+    dealt as the next round needs them, so a round has one exchange: that of partial sums."""
+    spark = notes.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = edges(notes).select("src", "dst")
-    links = settled(links.join(links.groupBy("src").agg(F.count("*").alias("out")), "src"))
-    nodes = notes.select(F.col("path").alias("node")).distinct()
+    links = settled(links.join(links.groupBy("src").agg(F.count("*").alias("out")), "src").repartition(parts, "src"))
+    nodes = settled(notes.select(F.col("path").alias("node")).distinct().repartition(parts, "node"))
     n = nodes.count()
     ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for k in range(1, rounds + 1):
-        given = links.join(ranks, links["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        ranks = nodes.join(given, nodes["node"] == given["dst"], "left").select("node", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        ranks = settled(ranks) if k % every == 0 else ranks
+        given = links.join(ranks.hint("shuffle_hash"), links["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
+        ranks = nodes.join(given.hint("shuffle_hash"), nodes["node"] == given["dst"], "left").select("node", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        ranks = settled(ranks) if k % every == 0 or k == rounds else ranks
     top = ranks.agg(F.max("rank").alias("top"))
     return ranks.join(F.broadcast(top), F.lit(True)).select(F.col("node").alias("path"), F.round(F.col("rank") / F.col("top"), 6).alias("rank"))
 
@@ -133,25 +138,75 @@ def tag_classes(notes: DataFrame) -> DataFrame:
     return notes.select("path", F.array_sort("tags").alias("tags")).where(F.size("tags") > 0).groupBy("tags").agg(F.min("path").alias("class"), F.count("*").alias("n"))
 
 
-def tag_jaccard(notes: DataFrame) -> DataFrame:
-    """a, b, n_a, n_b, shared, jaccard for tag sets that share a tag.
+def ranked_classes(notes: DataFrame) -> DataFrame:
+    """Tag classes with ``ranked``, their tags from the rarest to the most frequent."""
+    classes = tag_classes(notes)
+    rows = classes.select("class", F.explode("tags").alias("tag"))
+    often = rows.groupBy("tag").agg(F.count("*").alias("often"))
+    ranked = rows.join(often, "tag").groupBy("class").agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "tag"))), lambda x: x["tag"]).alias("ranked"))
+    return settled(classes.join(ranked, "class"))
+
+
+def near_pairs(probes: DataFrame, classes: DataFrame, least: float, overlap: int = 1) -> DataFrame:
+    """a, b: classes that may reach ``least`` and share ``overlap`` tags or more. Two such sets share
+    one of their rarest tags, so many of each that fewer than needed are left out, and neither is
+    too large for the other."""
+
+    def prefix(df: DataFrame, name: str) -> DataFrame:
+        n = F.size("ranked")
+        needed = F.greatest(F.lit(overlap), F.ceil(n * F.lit(least) - 1e-9)).cast("int")
+        return df.where(n >= needed).select(F.col("class").alias(name), n.alias(f"size_{name}"), F.explode(F.slice("ranked", F.lit(1), n - needed + 1)).alias("tag"))
+
+    met = prefix(probes, "a").join(prefix(classes, "b"), "tag").where("a <> b")
+    return met.where((F.col("size_a") * F.lit(least) <= F.col("size_b") + 1e-9) & (F.col("size_b") * F.lit(least) <= F.col("size_a") + 1e-9)).select("a", "b").distinct()
+
+
+def _compared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs with both numbers of notes, shared tags and their exact similarity."""
+    a, b = (classes.select(F.col("class").alias(x), F.col("tags").alias(f"t{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    shared = F.size(F.array_intersect("ta", "tb"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", shared.cast("long").alias("shared"), F.round(shared / F.size(F.array_union("ta", "tb")), 6).alias("jaccard"))
+
+
+def tag_jaccard(notes: DataFrame, least: float = 0.0) -> DataFrame:
+    """a, b, n_a, n_b, shared, jaccard for tag sets that share a tag and reach ``least``. With 0
+    that is every pair that shares a tag; above, sets meet by their rarest tags only.
 
     Notes with equal tags are one class, named by its smallest path; a class of two or
     more is also paired with itself. Notes are not expanded into pairs."""
-    classes = tag_classes(notes)
-    rows = classes.select("class", "tags", "n", F.explode("tags").alias("tag"))
-    a, b = (rows.select("tag", F.col("class").alias(x), F.col("tags").alias(f"t{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    pairs = a.join(b, "tag").where("a < b or (a = b and n_a > 1)").groupBy("a", "b").agg(F.first("ta").alias("ta"), F.first("tb").alias("tb"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    shared = F.size(F.array_intersect("ta", "tb"))
-    return pairs.select("a", "b", "n_a", "n_b", shared.cast("long").alias("shared"), F.round(shared / F.size(F.array_union("ta", "tb")), 6).alias("jaccard"))
+    classes = ranked_classes(notes)
+    pairs = near_pairs(classes, classes, least).where("a < b").union(classes.where("n > 1").select("class", "class"))
+    return _compared(pairs, classes).where(F.col("jaccard") >= least)
+
+
+def candidate_pairs(classes: DataFrame, k: int, levels: tuple[float, ...] = (0.5, 0.0)) -> DataFrame:
+    """a, b, n_a, n_b, shared, jaccard: pairs that hold every class's nearest, enough for the k nearest of its notes.
+
+    Pairs that share one tag only: the fewer tags the other has, the nearer it is, so a tag's
+    k + 2 classes of fewest tags (then smallest paths) stand before all its others. Pairs that
+    share more meet by their rarest tags, never by the last one of both. This is done for similarities from
+    each level up; a class that has found k notes there needs no more, as all that is nearer is found too."""
+    size = F.size("ranked")
+    postings = classes.select(F.explode("ranked").alias("tag"), "class", size.alias("size"))
+    first = Window.partitionBy("tag").orderBy("size", "class")
+    heads = postings.withColumn("at", F.row_number().over(first)).where(F.col("at") <= k + 2)
+    found = postings.select("tag", F.col("class").alias("a")).join(heads.select("tag", F.col("class").alias("b")), "tag").where("a <> b").select("a", "b").distinct()
+    found = settled(_compared(found, classes))
+    left = classes
+    for level in levels:
+        found = settled(found.union(_compared(near_pairs(left, classes, level, 2), classes)).distinct())
+        mates = F.least(F.col("n") - 1, F.lit(k))
+        near = found.where(F.col("jaccard") >= level).groupBy(F.col("a").alias("class")).agg(F.sum("n_b").alias("near"))
+        left = settled(left.join(near, "class", "left").where(F.coalesce("near", F.lit(0)) + mates < k).select(classes.columns))
+    return found
 
 
 def top_similar(notes: DataFrame, k: int = 3) -> DataFrame:
     """Undirected pairs of notes in which one is among the other's k nearest by tags
     (ties by path). A class offers its k + 1 smallest paths, which is all that any note needs."""
-    pairs = tag_jaccard(notes)
-    both = pairs.select("a", "b", "jaccard").union(pairs.where("a <> b").select("b", "a", "jaccard"))
-    member = notes.select("path", F.array_sort("tags").alias("tags")).join(tag_classes(notes), "tags").select("class", "path")
+    classes = ranked_classes(notes)
+    both = candidate_pairs(classes, k).select("a", "b", "jaccard").union(classes.where("n > 1").select("class", "class", F.lit(1.0)))
+    member = notes.select("path", F.array_sort("tags").alias("tags")).join(classes, "tags").select("class", "path")
     offered = member.withColumn("n", F.row_number().over(Window.partitionBy("class").orderBy("path"))).where(F.col("n") <= k + 1).select("class", F.col("path").alias("near"))
     order = Window.partitionBy("a").orderBy(F.desc("jaccard"), "near")
     lists = both.join(offered, F.col("b") == F.col("class")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).select("a", "near", "jaccard")

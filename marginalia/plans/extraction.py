@@ -112,14 +112,18 @@ Q.on_stored("feed_atom", lambda n: sinks.atom(sinks.feed(n, tag="en")), "select
 
 
 def _site(n):
-    """Writes the pages and reads them back, with their place in the index."""
-    path = sinks.shared_path(n.sparkSession)
-    sinks.export_site(n, path)
-    index = n.sparkSession.read.parquet(f"{path}/index").select(F.regexp_replace("path", r"\.md$", ".html").alias("html_path"), "title")
-    return n.sparkSession.read.parquet(f"{path}/pages").join(index, "html_path").select("html_path", "title", F.md5("html").alias("html"))
+    """Writes the page files and reads them back, with their places in the index pages."""
+    root = sinks.shared_path(n.sparkSession)
+    sinks.export_site(n, root)
+    files = lambda kind: n.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/{kind}").select(F.regexp_extract("path", f"/{root.rsplit('/', 1)[-1]}/{kind}/(.*)$", 1).alias("at"), F.decode("content", "utf-8").alias("html"))
+    link = r'<li><a href="/([^"]*)">([^<]*)</a></li>'
+    found = lambda k: F.regexp_extract_all("html", F.lit(link), F.lit(k))
+    index = files("index").select(F.regexp_extract("at", r"^\d+", 0).cast("long").alias("part"), F.posexplode(F.arrays_zip(found(1).alias("at"), found(2).alias("title"))).alias("k", "x"))
+    index = index.select("x.at", "x.title", (F.col("part") * sinks.INDEX_LINKS + F.col("k") + 1).alias("n"))
+    return files("pages").join(index, "at").select(F.col("at").alias("html_path"), "title", "n", F.md5("html").alias("html"))
 
 
-Q.on_notes("export_site", _site, "select regexp_replace(path, '\\.md$', '.html') as html_path, title, md5('<h1>' || title || '</h1><pre>' || replace(replace(replace(replace(body, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || '</pre>') as html from notes")
+Q.on_notes("export_site", _site, "select regexp_replace(path, '\\.md$', '.html') as html_path, title, row_number() over (order by path) as n, md5('<h1>' || title || '</h1><pre>' || replace(replace(replace(replace(body, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || '</pre>') as html from notes")
 Q.on_stored("title_catalog", sinks.title_catalog, "select 'title' as kind, title as name, path from notes union all select distinct 'tag', tag, '' from tag_rows")
 
 # extraction

@@ -2,33 +2,51 @@
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow.fs import FileSystem
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..functions import text as T
+from ..operators.ordering import numbered
 from ..session import shared_folder
 
+#: Links on a page of the site's index.
+INDEX_LINKS = 1000
+
 
 def shared_path(spark: SparkSession) -> str:
     """A new path in the session's shared folder; the warehouse is shared too."""
     return f"{shared_folder(spark)}/marginalia-{uuid.uuid4().hex}"
 
 
-def write_notes(notes: DataFrame, root: str) -> None:
-    """Each note as a text file at its path below ``root``, on a file system that all tasks see."""
-    import os
+def write_files(rows: DataFrame, root: str, path: str = "path", content: str = "content") -> None:
+    """Each row's content as a file of its own at its path below ``root``. The tasks write through the file system
+    that ``root`` names; one that they cannot reach is an error, never a local folder in its place."""
+
+    def write(batch: Iterator[Row]) -> None:
+        fs, base = FileSystem.from_uri(re.sub("^s3a:", "s3:", root if re.match("[a-z0-9]+:", root) else f"file://{os.path.abspath(root)}"))
+        made: set[str] = set()
+        for r in batch:
+            at = f"{base.rstrip('/')}/{r[path]}"
+            folder = at.rsplit("/", 1)[0]
+            if folder not in made:
+                fs.create_dir(folder)
+                made.add(folder)
+            with fs.open_output_stream(at) as f:
+                f.write(r[content].encode())
 
-    def write(rows) -> None:
-        for r in rows:
-            at = os.path.join(root.removeprefix("file://").removeprefix("file:"), r["path"])
-            os.makedirs(os.path.dirname(at), exist_ok=True)
-            with open(at, "w", newline="") as f:
-                f.write(r["raw"])
+    rows.select(path, content).foreachPartition(write)
 
-    notes.select("path", "raw").foreachPartition(write)
+
+def write_notes(notes: DataFrame, root: str) -> None:
+    """Each note as a text file at its path below ``root``."""
+    write_files(notes, root, content="raw")
 
 
 def search_dump(notes: DataFrame) -> DataFrame:
@@ -55,10 +73,15 @@ def pages(notes: DataFrame) -> DataFrame:
     return notes.select("folder", F.regexp_replace("path", r"\.md$", ".html").alias("html_path"), html.alias("html"))
 
 
-def export_site(notes: DataFrame, path: str) -> None:
-    """Pages as rows in folders, and an index sorted by path."""
-    pages(notes).write.partitionBy("folder").parquet(f"{path}/pages")
-    notes.select("path", "title").sort("path").write.parquet(f"{path}/index")
+def export_site(notes: DataFrame, root: str) -> None:
+    """A page file for each note, and an index of pages sorted by path: a page for every range of
+    paths, with links, below ``index``."""
+    write_files(pages(notes), f"{root}/pages", "html_path", "html")
+    rows = numbered(notes.select("path", "title"), F.col("path")).withColumn("part", F.floor((F.col("n") - 1) / INDEX_LINKS))
+    link = F.concat(F.lit('<li><a href="/'), T.escape_html(F.regexp_replace("path", r"\.md$", ".html")), F.lit('">'), T.escape_html(F.col("title")), F.lit("</a></li>"))
+    parts = rows.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("n", link.alias("link")))).alias("links"))
+    html = F.concat(F.lit("<ul>"), F.array_join(F.transform("links", lambda x: x["link"]), ""), F.lit("</ul>"))
+    write_files(parts.select(F.concat("part", F.lit(".html")).alias("path"), html.alias("content")), f"{root}/index")
 
 
 def title_catalog(notes: DataFrame) -> DataFrame:

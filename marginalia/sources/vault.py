@@ -14,15 +14,15 @@ from . import frontmatter
 
 #: The derived vault in SQL that both engines run; mt and nl are each engine's own.
 DERIVED = """
-select case when doc_id % 50 = 49 then 'Doc ' || (doc_id - 1) else 'Doc ' || doc_id end as title,
+select case when doc_id % 50 = 49 then 'Doc ' || (doc_id - 1) when doc_id % 50 = 24 then 'Solo ' || doc_id else 'Doc ' || doc_id end as title,
   case when doc_id % 50 = 49 then 'dup' else source || '/' || lang end as folder,
-  case when doc_id % 50 = 49 then 'dup/Doc ' || (doc_id - 1) || '.md' else source || '/' || lang || '/Doc ' || doc_id || '.md' end as path,
+  case when doc_id % 50 = 49 then 'dup/Doc ' || (doc_id - 1) || '.md' else source || '/' || lang || case when doc_id % 50 = 24 then '/Solo ' else '/Doc ' end || doc_id || '.md' end as path,
   {mt} as mtime,
   case when doc_id % 9 = 0 then '' else '---' || {nl} || 'title: Doc ' || doc_id || {nl} || 'tags: [' || lang || ', ' || source || ']' || {nl}
     || case when doc_id % 6 = 1 then 'date: 2023/0' || (doc_id % 9 + 1) || '/1' || (doc_id % 10) || {nl} else '' end || '---' || {nl} end
    || '# Doc ' || doc_id || {nl} || text || {nl}
-   || case when doc_id % 5 <> 0 then '[[Doc ' || ((doc_id * 7 + 1) % n) || ']] and [[Doc ' || ((doc_id * 13 + 5) % n) || '|alias]] ' else '' end
-   || case when doc_id % 11 = 0 then '[[Missing ' || (doc_id % 23) || ']] ' else '' end
+   || case when doc_id % 5 <> 0 and doc_id % 50 <> 24 then '[[Doc ' || ((doc_id * 7 + 1) % n) || ']] and [[Doc ' || ((doc_id * 13 + 5) % n) || '|alias]] ' else '' end
+   || case when doc_id % 11 = 0 and doc_id % 50 <> 24 then '[[Missing ' || (doc_id % 23) || ']] ' else '' end
    || case when doc_id % 7 = 3 then '![[pic' || (doc_id % 5) || '.png|Picture]] ![[Doc ' || ((doc_id * 3 + 2) % n) || '#Part]] ![[plan' || (doc_id % 3) || '.pdf]] ' else '' end
    || case when doc_id % 8 = 1 then {nl} || '```python' || {nl} || 'print(1)' || {nl} || '```' || {nl} else '' end
    || case when doc_id % 10 = 2 then {nl} || '## Part ' || (doc_id % 4) || {nl} || 'so ==marked== and $x+y$ and $$a=b$$ ![one](img/p' || (doc_id % 6) || '.png) see [two](files/f' || (doc_id % 4) || '.pdf)' || {nl} else '' end
@@ -49,12 +49,13 @@ def notes(vault: DataFrame) -> DataFrame:
 
 
 def scan_vault(spark: SparkSession, root: str, patterns: list[str] | None = None) -> DataFrame:
-    """Notes read from Markdown files below ``root``; files without extension pass too."""
+    """Notes read from Markdown files below ``root``; files without extension pass too. Files are chosen
+    by their paths in the listing, so nothing of an asset or of an ignored file is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    at = F.regexp_replace(F.col("path"), "^.*?" + re.escape(re.sub("^[a-z]+:/+", "/", root).rstrip("/")) + "/", "")
-    named = files.select(at.alias("path"), F.col("modificationTime").cast("timestamp_ntz").alias("mtime"), "content")
-    kept = named.where(F.col("path").rlike(r"\.md$|(^|/)[^./]+$"))
-    kept = kept.where(~ignored(F.col("path"), patterns or []))
+    below = "^.*?" + re.escape(re.sub("^[a-z0-9]+:/+", "/", root).rstrip("/")) + "/"
+    listed = F.regexp_replace(T.percent_decode(F.col("_metadata.file_path")), below, "")
+    files = files.where(listed.rlike(r"\.md$|(^|/)[^./]+$") & ~ignored(listed, patterns or []))
+    kept = files.select(F.regexp_replace("path", below, "").alias("path"), F.col("modificationTime").cast("timestamp_ntz").alias("mtime"), "content")
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.md$", "")
     return kept.select(stem.alias("title"), F.regexp_replace("path", r"/?[^/]+$", "").alias("folder"), "path", "mtime", F.decode("content", "utf-8").alias("raw"))
 

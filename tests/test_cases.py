@@ -257,6 +257,29 @@ def test_every_note_is_written_and_read_back(spark, data, name):
     assert told == {(r["path"], len(r["raw"])) for r in vault.derived_vault(spark, data).collect()}
 
 
+def test_only_notes_are_read(spark, tmp_path):
+    """Assets and ignored files are left out by their paths, whatever characters these have."""
+    for name in ("a b/x+1%.md", "a b/pic.png", "README", "drafts/y.md", ".git/z.md", "é/ü#?.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    notes = vault.scan_vault(spark, str(tmp_path), ["drafts"])
+    assert {(r["path"], r["title"], r["folder"], r["raw"]) for r in notes.collect()} == {("a b/x+1%.md", "x+1%", "a b", "a b/x+1%.md"), ("README", "README", "", "README"), ("é/ü#?.md", "ü#?", "é", "é/ü#?.md")}
+    plan = notes._jdf.queryExecution().executedPlan()
+    while plan.children().size():
+        plan = plan.children().apply(0)
+    assert plan.metrics().get("numFiles").get().value() == 3
+
+
+def test_files_go_where_their_root_says(spark, tmp_path):
+    from marginalia.sources import sinks
+
+    rows = spark.createDataFrame([("a/b.html", "é"), ("c.html", "")], "path string, content string")
+    sinks.write_files(rows, f"file:{tmp_path}/x")
+    assert (tmp_path / "x/a/b.html").read_text() == "é" and (tmp_path / "x/c.html").read_text() == ""
+    with pytest.raises(Exception, match="scheme|filesystem"):
+        sinks.write_files(rows, "nowhere://x/y")
+
+
 def _shares(spark):
     """Two hot notes, many accesses at one moment, links of every kind; and what all pairs say."""
     import random
