@@ -12,15 +12,19 @@ each block, so no word makes a bucket large.
 A block is what a task holds at once. The bytes of all texts are counted first, and there
 are as many blocks as make one ``BLOCK_BYTES`` on average, whatever the number of shuffle
 partitions; a longer text makes its block larger by its own length. There is a bucket for
-every ``BLOCKS_PER_BUCKET`` blocks, so that a bucket holds the words of about so many.
+every ``BLOCKS_PER_BUCKET`` blocks, so that a bucket holds the words of about so many. Beyond
+``REGION`` blocks (some 50 GB of text) words meet within regions of so many blocks and are encoded once
+in each: a bucket gets ``REGION`` rows at most, and rows grow with the blocks, not with their square.
+
+Rows that are equal entirely would share a block. Where one occurs more than ``REPEATS`` times, its
+copies are first counted within the tasks that read them; one is encoded, and its result repeated.
 
 Decoding looks ids up in the token-byte table, whose size is the vocabulary's: what a
 broadcast join with it would give, by array index.
 
 The vocabulary is a rank file named by the caller; it is read once and broadcast (tens
 of thousands of entries). Null text counts as empty and gives no ids. Columns other
-than doc_id and text are ignored; repeated rows give repeated results, and rows that repeat
-entirely share a block. An input column named ``decoded`` is replaced by decoding.
+than doc_id and text are ignored; repeated rows give repeated results. An input column named ``decoded`` is replaced by decoding.
 """
 
 from __future__ import annotations
@@ -38,11 +42,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import durable, table
 
 #: Bytes of text in a block: smaller ones take less memory, and send more words in all.
 BLOCK_BYTES = 12 << 20
 BLOCKS_PER_BUCKET = 4
+REGION = 4096
+#: Copies of a row from which on they are counted first, and rows of that kind that are broadcast.
+REPEATS, BROADCAST_REPEATS = 64, 200_000
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -72,7 +79,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         z = [_zip(bytes(data[ends[lo] : ends[hi]])) for lo, hi in zip(at[:-1], at[1:], strict=True)]
         lens = [_zip(sizes[lo:hi]) for lo, hi in zip(at[:-1], at[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["block"], pa.array(z, pa.binary()), pa.array(lens, pa.binary())], ["doc_id", "block", "z", "lens"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["block"], batch["n"], pa.array(z, pa.binary()), pa.array(lens, pa.binary())], ["doc_id", "block", "n", "z", "lens"])
 
 
 def _block(docs: pa.Table) -> tuple[list[int], pa.DictionaryArray]:
@@ -92,16 +99,31 @@ def _by_bucket(words: list[bytes], buckets: int) -> dict[int, list[int]]:
     return out
 
 
+def _counted(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """doc_id, text and n: rows that occur very often once with their number, all others as they are with
+    n = 1; and whether there are any such."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    often = durable(docs.groupBy("doc_id", F.xxhash64("text").alias("h")).count().where(F.col("count") > REPEATS).select(F.col("doc_id").alias("__id"), "h"))
+    kinds = often.count()
+    if not kinds:
+        return docs.withColumn("n", F.lit(1).cast("long")), False
+    often = F.broadcast(often) if kinds <= BROADCAST_REPEATS else often
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("h"))
+    rest = docs.join(often, same, "left_anti").withColumn("n", F.lit(1).cast("long"))
+    return rest.unionByName(docs.join(often, same, "left_semi").groupBy("doc_id", "text").agg(F.count("*").alias("n"))), True
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """doc_id and ids, array<int>."""
     spark = docs.sparkSession
+    docs, repeated = _counted(docs)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // BLOCK_BYTES) or 1
-    n = -(-blocks // BLOCKS_PER_BUCKET)
+    n = -(-min(blocks, REGION) // BLOCKS_PER_BUCKET)
     shared = spark.sparkContext.broadcast(ranks)
-    tokens = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
-    block = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), block.alias("block"), tokens.alias("tokens")).mapInArrow(_pack, "doc_id long, block int, z binary, lens binary")
+    tokens = F.regexp_extract_all("text", F.lit("(?U)" + pattern), F.lit(0))
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
+    base = docs.select("doc_id", block.alias("block"), "n", tokens.alias("tokens")).mapInArrow(_pack, "doc_id long, block int, n long, z binary, lens binary")
 
     def spoken(block: pa.Table) -> pa.Table:
         words = _block(block)[1].dictionary.to_pylist()
@@ -109,7 +131,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str = public_token
         rows = [_zip(b"".join(words[k] for k in at)) for at in buckets.values()]
         lens = [_zip(np.array([len(words[k]) for k in at], np.uint32)) for at in buckets.values()]
         home = block["block"][0].as_py() if len(block) else 0
-        return pa.table({"bucket": pa.array(list(buckets), pa.int32()), "block": pa.array([home] * len(rows), pa.int32()), "words": pa.array(rows, pa.binary()), "lens": pa.array(lens, pa.binary())})
+        first = home // REGION * n  # of the region's buckets
+        return pa.table({"bucket": pa.array([first + b for b in buckets], pa.int32()), "block": pa.array([home] * len(rows), pa.int32()), "words": pa.array(rows, pa.binary()), "lens": pa.array(lens, pa.binary())})
 
     def encoded(bucket: pa.Table) -> pa.Table:
         bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=shared.value, special_tokens={})._core_bpe
@@ -137,14 +160,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str = public_token
         flat, total = [], 0
         for bucket, ids, counts in zip(told["bucket"].to_pylist(), told["ids"].to_pylist(), told["counts"].to_pylist(), strict=True):
             c = _unzip(counts, np.uint32).astype(np.int64)
-            at = buckets[bucket]
+            at = buckets[bucket % n]
             count[at] = c
             start[at] = total + np.cumsum(c) - c
             flat.append(_unzip(ids, np.uint32).astype(np.int32))
             total += len(flat[-1])
         flat = np.concatenate([*flat, np.zeros(0, np.int32)])
         place = np.asarray(words.indices)
-        doc_ids, k = block["doc_id"], 0
+        doc_ids, copies, k = block["doc_id"], block["n"], 0
         for lo in range(0, len(sizes), 256):
             part = sizes[lo : lo + 256]
             word = place[k : k + sum(part)]
@@ -153,14 +176,19 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str = public_token
             ends = np.concatenate([[0], np.cumsum(c)])
             ids = flat[np.repeat(start[word] - ends[:-1], c) + np.arange(ends[-1])]
             offsets = ends[np.concatenate([[0], np.cumsum(part)])].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([doc_ids.slice(lo, len(part)).combine_chunks(), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
+            told = [doc_ids.slice(lo, len(part)).combine_chunks(), copies.slice(lo, len(part)).combine_chunks(), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))]
+            yield pa.RecordBatch.from_arrays(told, ["doc_id", "n", "ids"])
 
     def reassembled(block: pa.Table, told: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(placed(block, told), pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
+        return pa.Table.from_batches(placed(block, told), pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.list_(pa.int32()))]))
 
     words = base.groupBy("block").applyInArrow(spoken, "bucket int, block int, words binary, lens binary")
     ids = words.groupBy("bucket").applyInArrow(encoded, "block int, bucket int, ids binary, counts binary")
-    return base.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(reassembled, "doc_id long, ids array<int>")
+    told = base.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(reassembled, "doc_id long, n long, ids array<int>")
+    if repeated:  # copies in portions over all tasks
+        portions = told.withColumn("from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"), F.lit(REPEATS).cast("long")))).repartition(F.col("doc_id"), F.col("from"))
+        told = portions.withColumn("copy", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + REPEATS - 1, F.col("n")))))
+    return told.select("doc_id", "ids")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
