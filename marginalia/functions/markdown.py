@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import headings
+
 #: The notation of notes.
 FRONTMATTER = r"(?s)^---\s*\r?\n(.*?)\r?\n---\s*\r?\n(.*)$"
 EMBED = r"!\[\[(.*?)(?:\|(.*?))?\]\]"
@@ -83,7 +85,8 @@ def heading_id(text: Column, n: Column) -> Column:
 
 
 def toc(text: Column) -> Column:
-    """array<struct<level, text, id>> of hash headings outside fenced code."""
+    """array<struct<level, text, id>> of headings. Plain hash headings outside fenced code are read in
+    place; bodies with underlined headings, boxes, HTML or inline marks go through the block parser."""
     clean = F.regexp_replace(text, r"(?s)(?:^|\n)```.*?\n```", "\n")
     lines = all_of(clean, HEADING, 0)
 
@@ -92,7 +95,9 @@ def toc(text: Column) -> Column:
         words = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(line, r"^#+\s+", ""), r"\s+#+\s*$", ""), "`[^`]*`", ""))
         return F.struct(level.alias("level"), words.alias("text"), heading_id(words, i + 1).alias("id"))
 
-    return F.transform(lines, told)
+    odd = headings.odd(text)
+    read = F.transform(headings.parsed(F.when(odd, text)), lambda h, i: F.struct(h["level"].alias("level"), h["text"].alias("text"), heading_id(h["text"], i + 1).alias("id")))
+    return F.when(odd, read).otherwise(F.transform(lines, told))
 
 
 def code_languages(text: Column) -> Column:
