@@ -5,12 +5,14 @@ compared with the same histograms summed over each language's documents by Jense
 distance (base 2, 0 to 1). A document's own counts are taken out of its language's
 reference first, so none is measured against itself. A document passes if the nearest
 reference is within both thresholds; documents under ``min_words`` words are not compared
-(the base rules reject them). References are those of the ``MAX_LANGUAGES`` languages with
-the most documents, two at least. Where a document's language has no reference (it is null,
-rare, or held by no other document), only the base rules count, whatever other languages are
-near. One
-pass reads the text; its counts, a few hundred bytes a row, are checkpointed, so that
-the references cover all documents.
+(the base rules reject them). Every language of two such documents or more has a reference. Where
+a document's language has none (it is null, or held by no other document), only the base rules
+count, whatever other languages are near. One pass reads the text; its counts, a few hundred bytes
+a row, are checkpointed, so that the references cover all documents.
+
+A document holds the counts of the common words that it has, by place in the list, and meets the
+references in arrays of ``BLOCK`` at most: one row for up to so many languages, and as many comparisons
+as there are languages beyond, of which the nearest is kept. The plan is the same for any number.
 
 Everything stays within the row but the sum by language. Repeated windows are found
 by sorting the row's own window hashes with their positions in the low bits; windows
@@ -47,7 +49,8 @@ MIN_WORDS = 50
 #: is not 0) of the sf0.1 tables.
 MAX_CHAR_DISTANCE = 0.24
 MAX_WORD_DISTANCE = 0.31
-MAX_LANGUAGES = 64
+#: References in a row, and those that are broadcast; more are joined without.
+BLOCK, BROADCAST_REFERENCES = 64, 4096
 
 POSITION_BITS = 28
 
@@ -95,51 +98,72 @@ def features(docs: DataFrame) -> DataFrame:
     rest = F.greatest(F.col("n_chars") - sum(known[1:], known[0]), F.lit(0))
     c, ends = F.col("__common"), F.col("__ends")
     df = df.withColumn("__ends", F.filter(F.sequence(F.lit(0), F.size(c)), lambda i: F.coalesce(F.get(c, i) != F.coalesce(F.get(c, i + 1), F.lit("")), F.lit(False))))
-    df = df.withColumn("__counts", F.map_from_entries(F.transform(ends, lambda i, k: F.struct(F.get(c, i), (i - F.coalesce(F.get(ends, k - 1), F.lit(-1))).cast("long")))))
-    common = F.transform(F.array(*map(F.lit, COMMON_WORDS)), lambda x: F.coalesce(F.try_element_at("__counts", x), F.lit(0).cast("long")))
-    other = F.col("n_words") - F.size(c)
+    place = lambda w: F.array_position(F.array(*map(F.lit, COMMON_WORDS)), w).cast("int")
+    common = F.transform("__ends", lambda i, k: F.struct(place(F.get(c, i)).alias("at"), (i - F.coalesce(F.get(ends, k - 1), F.lit(-1))).cast("long").alias("n")))
+    other = F.array(F.struct(F.lit(len(COMMON_WORDS) + 1).alias("at"), (F.col("n_words") - F.size(c)).alias("n")))
     return df.select(
         "doc_id", "lang", "n_words", "word_chars", "n_symbols", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
-        F.array(*(c.cast("long") for c in [*known, rest])).alias("chars"), F.concat(common, F.array(other)).alias("words"),
+        F.array(*(c.cast("long") for c in [*known, rest])).alias("chars"), F.concat(common, other).alias("words"), F.monotonically_increasing_id().alias("row"),
     )
 
 
-def _distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two histograms of shares."""
-    part = lambda a, m: F.when(a > 0, a * F.log2(a / m)).otherwise(0.0)
-    terms = F.zip_with(p, q, lambda a, b: part(a, (a + b) / 2) + part(b, (a + b) / 2))
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
+def references(counts: DataFrame, min_words: int) -> DataFrame:
+    """lang, chars and words (counts by place), and their totals, of every language of two documents or more."""
+    held = counts.where(F.col("lang").isNotNull() & (F.col("n_words") >= min_words))
+    chars = held.groupBy("lang").agg(F.count("*").alias("n"), F.array(*(F.sum(F.col("chars")[k]) for k in range(8))).alias("chars")).where("n > 1")
+    words = held.select("lang", F.inline("words")).groupBy("lang", "at").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("found"))
+    dense = F.transform(F.sequence(F.lit(1), F.lit(len(COMMON_WORDS) + 1)), lambda k: F.coalesce(F.try_element_at("found", k), F.lit(0).cast("long")))
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v)
+    told = chars.join(words, "lang").select("lang", "chars", dense.alias("words"))
+    return told.select("lang", "chars", "words", total("chars").alias("all_chars"), total("words").alias("all_words"))
+
+
+def _part(a: Column, b: Column) -> Column:
+    """What shares a and b at one place add to twice the squared distance."""
+    one = lambda x: F.when(x > 0, x * F.log2(x / ((a + b) / 2))).otherwise(0.0)
+    return one(a) + one(b)
+
+
+def _root(total: Column) -> Column:
+    return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
+
+
+def distances(r: Column) -> Column:
+    """The row's distances from one reference, without the row's own counts if it is of that language."""
+    own = F.coalesce(F.col("lang") == r["lang"], F.lit(False)).cast("long")
+    rest = lambda whole, mine: F.greatest(whole - own * mine, F.lit(1))
+    zero = F.lit(0.0)
+    n_chars, n_words = F.col("__chars"), F.col("__words")
+    all_chars, all_words = rest(r["all_chars"], n_chars), rest(r["all_words"], n_words)
+    by_char = F.aggregate(F.zip_with("chars", r["chars"], lambda v, a: _part(v / F.greatest(n_chars, F.lit(1)), (a - own * v) / all_chars)), zero, lambda s, x: s + x)
+    share = lambda w: (F.get(r["words"], w["at"] - 1) - own * w["n"]) / all_words
+    by_word = F.aggregate("words", zero, lambda s, w: s + _part(w["n"] / F.greatest(n_words, F.lit(1)), share(w)))
+    # at places that the row lacks, the reference's share counts whole
+    seen = F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s + F.get(r["words"], w["at"] - 1) - own * w["n"])
+    lacking = (r["all_words"] - own * n_words - seen) / all_words
+    return F.struct(_root(by_char).alias("chars"), _root(by_word + lacking).alias("words"))
 
 
 def judge(counts: DataFrame, min_words: int, max_chars: float, max_words: float) -> DataFrame:
     """Adds the nearest reference's distances and the verdicts to checkpointed features."""
-    n_chars, n_words = 8, len(COMMON_WORDS) + 1
-    sums = [F.array(*(F.sum(F.col(x)[k]) for k in range(n))).alias(x) for x, n in (("chars", n_chars), ("words", n_words))]
-    summed = counts.where(F.col("lang").isNotNull() & (F.col("n_words") >= min_words)).groupBy("lang").agg(F.count("*").alias("n"), *sums).where("n > 1")
-    told = summed.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    total = {x: F.col(f"__{x}_total") for x in ("chars", "words")}
-    counts = counts.withColumns({f"__{x}_total": F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v) for x in total})
-    share = lambda x: F.transform(x, lambda v: v / F.greatest(total[x], F.lit(1)))
-    counts = counts.withColumns({f"__{x}_share": share(x) for x in total})
-    pairs, known = [], F.lit(False)
-    for r in told:
-        own = F.coalesce(F.col("lang") == r["lang"], F.lit(False))
-
-        def rest(x: str, r=r, own=own) -> Column:
-            """The reference's shares, without the row's own counts if it is of that language."""
-            whole = sum(r[x])
-            left = F.zip_with(F.array(*(F.lit(v).cast("long") for v in r[x])), x, lambda a, v: (a - v) / F.greatest(F.lit(whole) - total[x], F.lit(1)))
-            return F.when(own, left).otherwise(F.array(*(F.lit(v / max(whole, 1)) for v in r[x])))
-
-        pair = F.struct(_distance(F.col("__chars_share"), rest("chars")).alias("chars"), _distance(F.col("__words_share"), rest("words")).alias("words"))
-        pairs.append(pair)
-        known = known | own
+    told = durable(references(counts, min_words))
+    n = told.count()
+    blocks = -(-n // BLOCK)
+    block = F.pmod(F.xxhash64("lang"), F.lit(max(blocks, 1)))
+    held = told.groupBy(block.alias("block")).agg(F.collect_list(F.struct("lang", "chars", "words", "all_chars", "all_words")).alias("references")).select("references")
+    counts = counts.withColumns({"__chars": F.aggregate("chars", F.lit(0).cast("long"), lambda s, v: s + v), "__words": F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s + w["n"])})
+    met = counts.join(F.broadcast(held) if n <= BROADCAST_REFERENCES else held, F.lit(True), "left")
     summed = lambda p: F.struct((p["chars"] + p["words"]).alias("sum"), p["chars"].alias("chars"), p["words"].alias("words"))
-    near = F.when(known & (F.col("n_words") >= min_words), F.array_min(F.transform(F.array(*pairs), summed))) if pairs else F.lit(None).cast("struct<sum: double, chars: double, words: double>")
-    counts = counts.withColumn("__near", near)
+    long = F.col("n_words") >= min_words
+    met = met.withColumn("__known", F.exists("references", lambda r: F.coalesce(r["lang"] == F.col("lang"), F.lit(False))))
+    met = met.withColumn("__near", F.when(long, F.array_min(F.transform(F.transform("references", distances), summed)))).drop("references")
+    if blocks > 1:
+        others = [c for c in met.columns if c not in ("row", "__known", "__near")]
+        met = met.groupBy("row").agg(*(F.first(c).alias(c) for c in others), F.bool_or("__known").alias("__known"), F.min("__near").alias("__near"))
+    met = met.withColumn("__near", F.when(F.col("__known"), F.col("__near")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     close = (F.coalesce("__near.chars", F.lit(0.0)) <= max_chars) & (F.coalesce("__near.words", F.lit(0.0)) <= max_words)
-    return counts.select(
+    return met.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & close).alias("kept"),
         F.round("__near.chars", 6).alias("char_distance"), F.round("__near.words", 6).alias("word_distance"),
     )
@@ -172,7 +196,7 @@ def oracle() -> str:
     h as (select *, [n_chars - word_chars, n_symbols, up, digits, marks, stops, beyond, greatest(n_chars - (n_chars - word_chars) - n_symbols - up - digits - marks - stops - beyond, 0)] as ch,
         list_concat(cw, [n_words - coalesce(list_sum(cw), 0)::bigint]) as wh from f),
     s as (select lang, k, sum(ch[k])::bigint as c, sum(wh[k])::bigint as w, count(*) as n from (select lang, ch, wh, unnest(generate_series(1, len(wh))) as k from h where lang is not null and n_words >= {MIN_WORDS}) group by all),
-    r as (select lang as rl, max(n) as rn, list(coalesce(c, 0) order by k) filter (where k <= 8) as rc, list(w order by k) as rw from s group by lang having max(n) > 1 order by max(n) desc, lang limit {MAX_LANGUAGES}),
+    r as (select lang as rl, max(n) as rn, list(coalesce(c, 0) order by k) filter (where k <= 8) as rc, list(w order by k) as rw from s group by lang having max(n) > 1),
     o as (select doc_id, ch, wh, case when lang = rl then list_transform(generate_series(1, len(rc)), lambda k: rc[k] - ch[k]) else rc end as rc, case when lang = rl then list_transform(generate_series(1, len(rw)), lambda k: rw[k] - wh[k]) else rw end as rw
         from h, r where n_words >= {MIN_WORDS} and lang in (select rl from r)),
     d as (select doc_id, {js('pc', 'qc')} as cd, {js('pw', 'qw')} as wd from (select doc_id, {share('ch')} as pc, {share('wh')} as pw, {share('rc')} as qc, {share('rw')} as qw from o)),
