@@ -141,6 +141,19 @@ def test_ids_are_those_of_the_library(spark, awkward, documents, monkeypatch):
     assert Counter(tuple(r) for r in byte_bpe.digests(docs).collect()) == want
     monkeypatch.setattr(byte_bpe, "BLOCK_BYTES", 4000)  # many blocks and buckets
     assert Counter(tuple(r) for r in byte_bpe.digests(docs).collect()) == want
+    monkeypatch.setattr(byte_bpe, "REGION", 3)  # of many regions
+    assert Counter(tuple(r) for r in byte_bpe.digests(docs).collect()) == want
+
+
+def test_equal_rows_are_encoded_once_and_told_each_time(spark, monkeypatch):
+    ranks = byte_bpe.read_ranks(public_tokenizers.path(byte_bpe.VOCABULARY))
+    text, sizes = "the same words in every row " * 40, []
+    docs = spark.range(100_000).selectExpr("cast(null as long) as doc_id", f"'{text}' as text").union(spark.range(70).selectExpr("5L as doc_id", "null as text")).union(spark.createDataFrame([(6, "a b"), (6, "a b"), (5, "a b")], "doc_id long, text string"))
+    counted = byte_bpe._counted
+    monkeypatch.setattr(byte_bpe, "_counted", lambda d: (sizes.append(counted(d)[0].count()), counted(d))[1])
+    told = Counter((r["doc_id"], r["n_tokens"]) for r in byte_bpe.digests(docs).groupBy("doc_id", "n_tokens", "ids_sha256").count().collect() for _ in range(r["count"]))
+    bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert told == {(None, len(bpe.encode_ordinary(text))): 100_000, (5, 0): 70, (6, 2): 2, (5, 2): 1} and sizes == [5]
 
 
 # 7 and 10

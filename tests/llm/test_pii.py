@@ -106,6 +106,14 @@ def test_secrets_in_any_case(spark):
     assert re.fullmatch(r"Api_Key: [0-9a-f]{13}[0-9A-F]{13} end", c)
 
 
+def test_secrets_of_any_length(spark):
+    hexes = [("0123456789abcdef" * 4000)[:n] for n in (12, 64, 65, 128, 129, 40_000)]
+    rows = pii.pseudonymise(spark.createDataFrame([(k, f"secret = {h} end") for k, h in enumerate([*hexes, hexes[3]])], "doc_id long, text string"), KEY).orderBy("doc_id").collect()
+    told = [re.fullmatch("secret = ([0-9a-f]+) end", r["text"])[1] for r in rows]
+    assert all(r["pii_found"] == 1 for r in rows) and told[3] == told[6]
+    assert all(len(a) == len(b) and a != b for a, b in zip(hexes, told, strict=False))
+
+
 def test_cards_beside_other_digits(spark):
     card, bare = "4111 1111 1111 1111", "4111111111111111"
     texts = [f"{bare} 123", f"{card} 12/27", f"{card} 2027", f"{card}-123", f"12 {card}", f"2024 {card}", f"{bare} 078-05-1120", f"{card} 444 555-4984", f"{card} 5500 0000 0000 0004", "3782 822463 10005 1234", "6304 0000 0000 0001 107", "4111 1111 1111 1112 123"]
