@@ -12,8 +12,10 @@ all rows takes a third of the shards. That is the law: bytes are near equal what
 
 There is a range for every ``RANGE_BYTES`` of text, ``ranges_per_shard`` for each shard at
 least and ``MAX_RANGES`` in all at most: a window holds one range, of records without their
-texts, and spills. Ranges are divided again until none is overfull, or what is overfull is
-one record or equal keys; ranges decide where the work is done, and not what it gives.
+texts, and spills. A range that holds over twice its share is sampled again, more densely each time, and
+divided, until no range is overfull but those of one key (equal text and doc_id). Splitters decide where
+the work is done; the exact counts of the ranges decide what it gives, so that shards are even to a
+record and not only as even as a sample.
 
 Null or empty text counts as one byte. Null doc_ids sort first. Rows that repeat
 entirely are all kept. An empty table gives an empty result. Other columns are ignored.
@@ -44,14 +46,19 @@ def _range_of(splitters: list[tuple[str, int | None]], key: Column) -> Column:
     return coarse + below(F.slice(bounds(splitters), coarse + 1, F.lit(STRIDE)))
 
 
+def _place(key: tuple) -> tuple:
+    """The order of keys: null doc_ids first."""
+    return key[0], key[1] is not None, key[1] or 0
+
+
 def _sample(records: DataFrame, rate: float, seed: int) -> list[tuple[str, int | None]]:
     """Keys drawn with chance size * rate, in order; its expected number is fixed by the caller."""
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "key"), 11).cast("double") / F.lit(float(1 << 53))
     rows = records.where(u < F.col("size") * F.lit(rate)).select("key", "doc_id").distinct().collect()
-    return sorted(((r["key"], r["doc_id"]) for r in rows), key=lambda x: (x[0], x[1] is not None, x[1] or 0))
+    return sorted(((r["key"], r["doc_id"]) for r in rows), key=_place)
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 12, samples_per_range: int = 24, divisions: int = 8) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 12, samples_per_range: int = 24) -> DataFrame:
     """One row per document: its shard of near equal bytes and its gapless slot there.
 
     What reaches the driver is bounded by parameters: ``samples_per_range`` expected sample
@@ -72,22 +79,23 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 12
         return spark.createDataFrame([], SCHEMA)
     wanted = min(max(shards * ranges_per_shard, -(-total // RANGE_BYTES)), max(MAX_RANGES, shards * ranges_per_shard))
     drawn = _sample(records, wanted * samples_per_range / total, 0)
-    splitters = sorted(set(drawn[samples_per_range::samples_per_range]), key=lambda x: (x[0], x[1] is not None, x[1] or 0))
+    splitters = sorted(set(drawn[samples_per_range::samples_per_range]), key=_place)
     key = F.struct(F.col("key").alias("k"), F.col("doc_id").alias("i"))
     limit = 2 * total / wanted
-    for again in range(1, divisions + 1):
+    again = 0
+    while True:
         placed = records.withColumn("range", _range_of(splitters, key))
-        counts = {r["range"]: r for r in placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()}
-        over = [r for r in counts.values() if r["bytes"] > limit and r["rows"] > 1]
-        if not over or again == divisions:
-            break
-        inner = placed.where(F.col("range").isin([r["range"] for r in over]))
-        more = _sample(inner, wanted * samples_per_range * again / total, again)
-        step = max(1, samples_per_range * again // 2)
-        fresh = sorted(set(splitters) | set(more[step::step]), key=lambda x: (x[0], x[1] is not None, x[1] or 0))
-        if len(fresh) == len(splitters):
+        each = placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), F.min(key).alias("least"), F.max(key).alias("most"))
+        counts = {r["range"]: r for r in each.collect()}  # a row a range
+        over = [r for r in counts.values() if r["bytes"] > limit and r["least"] != r["most"]]
+        if not over:
             break
-        splitters = fresh
+        again += 1
+        more = _sample(placed.where(F.col("range").isin([r["range"] for r in over])), wanted * samples_per_range * again / total, again)
+        for r in over:  # its sampled keys but the least, some apart; or the greatest, so that every division divides
+            inner = [x for x in more if _place(r["least"]) < _place(x) <= _place(r["most"])]
+            splitters = splitters + (inner[samples_per_range::samples_per_range] or inner[len(inner) // 2 :][:1] or [tuple(r["most"])])
+        splitters = sorted(set(splitters), key=_place)
 
     line, before, rank = [], 0, 0
     for r in sorted(counts):
