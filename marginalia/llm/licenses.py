@@ -12,7 +12,8 @@ documents, rarest first. A template's prefix is its first
   must still be enough;
 - then the overlap is counted exactly;
 - last, the block must hold at least ``ADJACENT`` of the template's pairs of neighbouring
-  words as neighbours, so that its words do not match in any other order.
+  words as neighbours, so that its words do not match in any other order; of an identifier
+  (``SPDX-License-Identifier: MIT``), all of them.
 
 The template list is fixed, so its tables are bounded and broadcast. A word is a run
 of digits, letters a-z after A-Z are lower-cased, and characters beyond ASCII.
@@ -34,8 +35,17 @@ BLOCK, STEP = 64, 32
 CONTAINMENT = 0.9
 ADJACENT = 0.7
 
-#: Sentences that well-known licenses are declared by.
+#: Identifiers of licenses in file heads, by the label they get.
+IDENTIFIERS = {
+    "agpl": ["AGPL-3.0"], "apache": ["Apache-2.0"], "bsd": ["BSD-2-Clause", "BSD-3-Clause"], "bsl": ["BSL-1.0"], "cc-by": ["CC-BY-4.0"], "cc-by-nc": ["CC-BY-NC-4.0"], "cc-by-sa": ["CC-BY-SA-4.0"], "cc0": ["CC0-1.0"], "epl": ["EPL-2.0"],
+    "gfdl": ["GFDL-1.3"], "gpl": ["GPL-2.0", "GPL-3.0"], "isc": ["ISC"], "lgpl": ["LGPL-2.1", "LGPL-3.0"], "mit": ["MIT"], "mpl": ["MPL-2.0"], "unlicense": ["Unlicense"], "zlib": ["Zlib"],
+}
+#: Sentences and names that well-known licenses are declared by.
 TEMPLATES = [
+    *((label, "spdx license identifier " + " ".join(name.lower().replace("-", " ").replace(".", " ").split())) for label, names in IDENTIFIERS.items() for name in names),
+    ("cc-by", "creative commons attribution 4 0"),
+    ("lgpl", "gnu lesser general public license"),
+    ("mit", "the mit licence"),
     ("agpl", "licensed under the gnu affero general public license"),
     ("agpl", "you should have received a copy of the gnu affero general public license along with this program"),
     ("apache", "licensed under the apache license version 2 0"),
@@ -114,8 +124,9 @@ def license_scan(docs: DataFrame) -> DataFrame:
             prefix_tokens.add(t)
             if n - p >= need:  # the positional filter of the first shared token
                 said = text.split()
-                rows.append((t, k, label, tokens, p, n, need, sorted({f"{a} {b}" for a, b in zip(said, said[1:])})))
-    prefixes = spark.createDataFrame(rows, "token string, template int, label string, tokens array<string>, place int, n int, need int, pairs array<string>")
+                pairs = sorted({f"{a} {b}" for a, b in zip(said, said[1:])})
+                rows.append((t, k, label, tokens, p, n, need, pairs, len(pairs) if said[0] == "spdx" else math.ceil(ADJACENT * len(pairs) - 1e-9)))
+    prefixes = spark.createDataFrame(rows, "token string, template int, label string, tokens array<string>, place int, n int, need int, pairs array<string>, ordered int")
 
     w = F.col("w")
     wanted = sorted(prefix_tokens | {p[-1] for p in PHRASES.values()})
@@ -142,7 +153,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     earlier = F.size(F.array_intersect(F.slice("tokens", F.lit(1), F.col("place")), F.col("b")))
     firsts = pairs.where(earlier == 0)  # each pair once, from its first shared token
     overlap = F.size(F.array_intersect("tokens", "b"))
-    ordered = F.size(F.array_intersect("pairs", _pairs(F.col("said")))) >= F.ceil(F.size("pairs") * F.lit(ADJACENT) - F.lit(1e-9))
+    ordered = F.size(F.array_intersect("pairs", _pairs(F.col("said")))) >= F.col("ordered")
     matched = firsts.withColumn("share", overlap / F.col("n")).where(overlap >= F.col("need")).where(ordered)
     best = matched.groupBy("doc_id", "key").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
     return (
@@ -170,7 +181,7 @@ def oracle() -> str:
     blocks as (select doc_id, list_distinct(s) as b, list_transform(generate_series(1, len(s) - 1), lambda i: s[i] || ' ' || s[i + 1]) as p
       from (select doc_id, w[k * {STEP} + 1 : k * {STEP} + {BLOCK}] as s from (select doc_id, w, unnest(generate_series(0, greatest(ceil((len(w) - {BLOCK}) / {STEP}), 0)::bigint)) as k from t))),
     tpl as (select k, label, list_distinct(w) as tok, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) as pairs from (values {values}) v(k, label, w)),
-    hit as (select doc_id, label, len(list_intersect(tok, b)) / len(tok) as share from blocks, tpl where len(list_intersect(tok, b)) >= ceil({CONTAINMENT} * len(tok) - 1e-9) and len(list_intersect(pairs, p)) >= ceil({ADJACENT} * len(pairs) - 1e-9)),
+    hit as (select doc_id, label, len(list_intersect(tok, b)) / len(tok) as share from blocks, tpl where len(list_intersect(tok, b)) >= ceil({CONTAINMENT} * len(tok) - 1e-9) and len(list_intersect(pairs, p)) >= case when list_contains(tok, 'spdx') then len(pairs) else ceil({ADJACENT} * len(pairs) - 1e-9) end),
     m as (select doc_id, list(distinct label) as more, max(share) as share from hit group by doc_id)
     select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_base, lo::bigint as first_word, hi::bigint as last_word, coalesce(array_to_string(list_sort(base), ','), '') as base_labels,
         coalesce(array_to_string(list_sort(list_distinct(list_concat(base, more))), ','), '') as labels, round(greatest(coalesce(share, 0.0), case when n > 0 then 1.0 else 0.0 end)::double, 6) as score

@@ -87,6 +87,12 @@ def test_words_in_another_order_are_no_license(spark):
     assert sorted(r["labels"] for r in licenses.license_scan(docs.where("doc_id = 3")).collect()) == ["", "proprietary"]
 
 
+def test_identifiers_and_names(spark):
+    texts = {"// SPDX-License-Identifier: MIT\nint x;": "mit", "# SPDX-License-Identifier: BSD-3-Clause": "bsd", "SPDX-License-Identifier: CC-BY-NC-4.0": "cc-by-nc", "under Creative Commons Attribution 4.0": "cc-by", "GNU Lesser General Public License v2.1": "gpl,lgpl", "by the MIT Licence": "mit", "an identifier of the license": "", "SPDX-License-Identifier: none": ""}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["labels"] for r in licenses.license_scan(docs).orderBy("doc_id").collect()] == list(texts.values())
+
+
 def test_license_blocks_across_windows(spark):
     text = "filler " * 61 + "all rights reserved " + "filler " * 200
     row = licenses.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
