@@ -169,9 +169,41 @@ def search_snippets(notes: DataFrame, query: str, limit: int = 10, index: DataFr
     return best.join(notes.select("path", "body"), "path").select("path", "score", T.snippet(F.col("body"), query).alias("snippet"))
 
 
-def fuzzy_suggest(notes: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """Titles with a token within one edit (a swap of neighbours counts as one) of a query word."""
-    rows = notes.select("path", "title", F.explode(F.array_distinct(T.words(F.col("title")))).alias("token"))
+#: Characters of a title's parts that are stored.
+PART = 32
+
+
+def _without_one(word: str) -> list[str]:
+    """A word and what is left of it without one character."""
+    return list(dict.fromkeys([word, *(word[:i] + word[i + 1 :] for i in range(len(word)))]))
+
+
+def title_rows(notes: DataFrame) -> DataFrame:
+    """key, value, place, path, title: what titles are found by. Under ``n:`` stand a token and its shorter
+    forms by one character (words within one edit share one), under ``p:`` and its first character
+    every end of the title, so that a part of a title is the beginning of an end."""
+    title = F.lower("title")
+    shorter = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+    near = lambda t: F.transform(F.array_union(F.array(t), shorter(t)), lambda k: F.struct(F.concat(F.lit("n:"), k).alias("key"), t.alias("value"), F.lit(-1).alias("place")))
+    ends = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(title), F.lit(1))), lambda i: i <= F.length(title)), lambda i: F.struct(F.concat(F.lit("p:"), F.substring(title, i, F.lit(1))).alias("key"), F.substring(title, i, F.lit(PART)).alias("value"), (i - 1).alias("place")))
+    return notes.select("path", "title", F.inline(F.concat(F.flatten(F.transform(F.array_distinct(T.words(F.col("title"))), near)), ends))).select("key", "value", "place", "path", "title")
+
+
+def _of_keys(index, notes: DataFrame, keys: list[str]) -> DataFrame:
+    return index.of(keys) if index is not None else title_rows(notes).where(F.col("key").isin(keys))
+
+
+def _containing(notes: DataFrame, query: str, index) -> DataFrame:
+    """path, title and place of the query, in lower case, in titles that have it."""
+    found = _of_keys(index, notes, [f"p:{query[0]}"]).where(F.col("value").startswith(query[:PART]) & F.lower("title").contains(query))
+    return found.groupBy("path", "title").agg(F.min("place").alias("place"))
+
+
+def fuzzy_suggest(notes: DataFrame, query: str, limit: int = 10, index=None) -> DataFrame:
+    """Titles with a token within one edit (a swap of neighbours counts as one) of a query word. The
+    tokens that share a form with a query word are read, and verified by distance."""
+    keys = [f"n:{k}" for w in tokens(query) for k in _without_one(w)]
+    rows = _of_keys(index, notes, keys).select("path", "title", F.col("value").alias("token")).distinct()
     near = F.lit(0)
     for w in tokens(query):
         swaps = sorted({w[:i] + w[i + 1] + w[i] + w[i + 2 :] for i in range(len(w) - 1)} - {w})
@@ -182,11 +214,12 @@ def fuzzy_suggest(notes: DataFrame, query: str, limit: int = 10) -> DataFrame:
     return found.orderBy(F.desc("score"), "title", "path").limit(limit)
 
 
-def suggest(notes: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """Title prefix, then title part, then fuzzy; one row a path."""
+def suggest(notes: DataFrame, query: str, limit: int = 10, index=None) -> DataFrame:
+    """Title prefix, then title part, then fuzzy; one row a path. An empty query begins every title."""
     q = query.lower()
-    titled = notes.select("path", "title", F.when(F.lower("title").startswith(q), 1).when(F.lower("title").contains(q), 2).alias("tier")).where("tier is not null")
-    near = fuzzy_suggest(notes, query, 20).select("path", "title", F.lit(3).alias("tier"))
+    titled = _containing(notes, q, index) if q else notes.select("path", "title", F.lit(0).alias("place"))
+    titled = titled.select("path", "title", F.when(F.col("place") == 0, 1).otherwise(2).alias("tier"))
+    near = fuzzy_suggest(notes, query, 20, index).select("path", "title", F.lit(3).alias("tier"))
     return titled.unionByName(near).groupBy("path", "title").agg(F.min("tier").alias("tier")).orderBy("tier", "title", "path").limit(min(limit, 20))
 
 
@@ -201,10 +234,11 @@ def ngram_search(notes: DataFrame, query: str, limit: int = 10, index: DataFrame
     return found.join(notes.select("path", "mtime"), "path").orderBy(F.desc("score"), F.desc("mtime"), "path").limit(limit)
 
 
-def complete(notes: DataFrame, query: str) -> DataFrame:
-    """Titles and tags that contain the query; prefix hits first."""
+def complete(notes: DataFrame, query: str, index=None) -> DataFrame:
+    """Titles and tags that contain the query; prefix hits first. Tags are read from the notes."""
     q = query.lower().lstrip("#")
     by = lambda c: [F.when(F.lower(c).startswith(q), 0).otherwise(1), F.col(c)]
-    titles = notes.select("title").distinct().where(F.lower("title").contains(q)).orderBy(*by("title")).limit(5)
+    titles = _containing(notes, q, index).select("title") if q else notes.select("title")
+    titles = titles.distinct().orderBy(*by("title")).limit(5)
     tags = notes.select(F.explode("tags").alias("tag")).distinct().where(F.lower("tag").contains(q)).orderBy(*by("tag")).limit(4 if query.startswith("#") else 3)
     return titles.select(F.lit("title").alias("kind"), F.col("title").alias("name")).union(tags.select(F.lit("tag"), "tag"))

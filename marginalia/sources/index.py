@@ -1,7 +1,7 @@
 """A search index on disk that takes changes: immutable segments, delete sets and commit marks.
 
 A segment holds what one change set brought: its extracted notes and, in folders by the hash of
-their key, the postings of its words with their positions, its n-grams and its links. A note that is changed or
+their key, the postings of its words with their positions, its n-grams, its links and what titles are found by. A note that is changed or
 deleted is named in the delete set of that commit, which hides it in the segments before. A commit is
 one file that names segments and delete sets; a reader opens the greatest, in whatever session, and
 what is not named is not there. So a change set costs what it brings: nothing else is read but
@@ -36,8 +36,8 @@ FAN = 8
 #: Deleted paths that are broadcast; more are joined by a shuffle.
 BROADCAST_PATHS = 500_000
 #: The key of each table in folders.
-KEYS = {"postings": "token", "grams": "token", "links": "target"}
-FORMAT = 1
+KEYS = {"postings": "token", "grams": "token", "links": "target", "titles": "key"}
+FORMAT = 2
 
 
 def bucket_of(key: Column, buckets: int) -> Column:
@@ -99,6 +99,10 @@ class Index:
     def links(self) -> Table:
         return Table(self, "links")
 
+    @property
+    def titles(self) -> Table:
+        return Table(self, "titles")
+
     @property
     def notes(self) -> DataFrame:
         return self.rows("notes").drop("words", "bytes", "version")
@@ -241,6 +245,7 @@ def tables(notes: DataFrame) -> dict[str, DataFrame]:
         "postings": search.posting_rows(notes),
         "grams": search.inverted_index(notes),
         "links": indexes.link_rows(notes),
+        "titles": search.title_rows(notes),
     }
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder
 from .index import FORMAT, Index, Table
-from .vault import derived_vault, notes
+from .vault import DERIVED, derived_vault, notes
 
 _writing = threading.RLock()
 
@@ -32,8 +32,8 @@ class Corpus:
 
     @property
     def root(self) -> str:
-        """One folder for each input."""
-        return f"{shared_folder(self.spark)}/marginalia-index-{FORMAT}-{hashlib.md5(self.sf_dir.encode()).hexdigest()}"
+        """One folder for each input and way of making notes of it."""
+        return f"{shared_folder(self.spark)}/marginalia-index-{FORMAT}-{hashlib.md5((self.sf_dir + DERIVED).encode()).hexdigest()}"
 
     @cached_property
     def index(self) -> Index:

@@ -117,3 +117,31 @@ def test_clauses_and_phrases_against_plain_python(spark, tmp_path, query, stored
 def test_positions_count_over_title_and_body(spark):
     told = search.posting_rows(vault.notes(rows(spark, {"The end": "end of the end"})).withColumn("title", F.lit("The end"))).collect()
     assert {(r["field"], r["token"]): (r["tf"], r["length"], r["positions"]) for r in told} == {("title", "the"): (1, 2, [0]), ("title", "end"): (1, 2, [1]), ("body", "end"): (2, 4, [2, 5]), ("body", "of"): (1, 4, [3]), ("body", "the"): (1, 4, [4])}
+
+
+def damerau(a: str, b: str) -> bool:
+    """Within one edit."""
+    if a == b or abs(len(a) - len(b)) > 1:
+        return a == b
+    if len(a) == len(b):
+        d = [i for i in range(len(a)) if a[i] != b[i]]
+        return len(d) == 1 or len(d) == 2 and d[1] == d[0] + 1 and a[d[0]] == b[d[1]] and a[d[1]] == b[d[0]]
+    short, long = sorted((a, b), key=len)
+    return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_titles_by_edits_and_parts(spark, tmp_path, stored):
+    rng = random.Random(9)
+    titles = ["".join(rng.choices("abc ", k=rng.randrange(1, 9))).strip() or "a" for _ in range(60)] + ["A long title of more than thirty two characters, with an end", "Über Größe"]
+    frame = spark.createDataFrame([(t, "f", f"f/{k}.md", None, "x") for k, t in enumerate(titles)], SCHEMA)
+    n = vault.notes(frame)
+    index = Index(spark, str(tmp_path / "t")).commit(n).titles if stored else None
+    for q in ("ab", "abc ba", "acb", "cc c"):
+        want = {f"f/{k}.md": s for k, t in enumerate(titles) if (s := sum(max((2 if w == v else 1) if damerau(w, v) else 0 for w in [v2]) for v in dict.fromkeys(q.split()) for v2 in dict.fromkeys(t.lower().split())))}
+        assert {r["path"]: r["score"] for r in search.fuzzy_suggest(n, q, 1000, index).collect()} == want
+    for q in ("b", "ab", "of more than thirty two characters, with", "über", "zzz"):
+        want = {(f"f/{k}.md", 1 if t.lower().startswith(q) else 2) for k, t in enumerate(titles) if q in t.lower()}
+        assert {(r["path"], r["tier"]) for r in search.suggest(n, q, 20, index).collect() if r["tier"] < 3} <= want
+        assert {r["path"] for r in search._containing(n, q, index).collect()} == {p for p, _ in want}
+        assert [r["name"] for r in search.complete(n, q, index).collect()] == sorted({t for t in titles if q in t.lower()}, key=lambda t: (not t.lower().startswith(q), t))[:5]
