@@ -214,7 +214,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of each group: that with the smallest doc_id, of equal ones that with the smallest key."""
+    """One row of each group: that with the smallest doc_id, of equal ones that with the smallest key.
+    Of rows that are equal in doc_id and text and differ in other columns, any one stays."""
     told = durable(fingerprints(docs))
     rows = told.groupBy("doc_id", "key").agg(F.min("fp").alias("fp"), F.count("*").alias("n"))  # equal texts have equal fingerprints
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "n")
