@@ -13,6 +13,5 @@ def test_same_rows(spark, data, name):
     assert_same(spark, data, catalog.QUERIES[name], catalog.ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
-def test_runs(spark, data, name):
-    assert catalog.QUERIES[name](spark, data).count() >= 1
+def test_every_query_has_sql():
+    assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL)
