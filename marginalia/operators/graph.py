@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import settled
+from ..session import planned_ahead, settled
 from .indexes import link_index, link_rows
 
 
@@ -41,14 +41,15 @@ def pagerank(notes: DataFrame, rounds: int = 20, damping: float = 0.85, every: i
     spark = notes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = edges(notes).select("src", "dst")
-    links = settled(links.join(links.groupBy("src").agg(F.count("*").alias("out")), "src").repartition(parts, "src"))
-    nodes = settled(notes.select(F.col("path").alias("node")).distinct().repartition(parts, "node"))
-    n = nodes.count()
-    ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    for k in range(1, rounds + 1):
-        given = links.join(ranks.hint("shuffle_hash"), links["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        ranks = nodes.join(given.hint("shuffle_hash"), nodes["node"] == given["dst"], "left").select("node", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        ranks = settled(ranks) if k % every == 0 or k == rounds else ranks
+    with planned_ahead(spark):
+        links = settled(links.join(links.groupBy("src").agg(F.count("*").alias("out")), "src").repartition(parts, "src"))
+        nodes = settled(notes.select(F.col("path").alias("node")).distinct().repartition(parts, "node"))
+        n = nodes.count()
+        ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
+        for k in range(1, rounds + 1):
+            given = links.join(ranks.hint("shuffle_hash"), links["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
+            ranks = nodes.join(given.hint("shuffle_hash"), nodes["node"] == given["dst"], "left").select("node", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+            ranks = settled(ranks) if k % every == 0 or k == rounds else ranks
     top = ranks.agg(F.max("rank").alias("top"))
     return ranks.join(F.broadcast(top), F.lit(True)).select(F.col("node").alias("path"), F.round(F.col("rank") / F.col("top"), 6).alias("rank"))
 

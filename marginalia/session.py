@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -28,6 +31,19 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def planned_ahead(spark: SparkSession) -> Iterator[None]:
+    """What is run inside is planned as a whole before it runs: only then does a checkpoint tell how its
+    rows are dealt, and a later join needs no exchange for them."""
+    name = "spark.sql.adaptive.enabled"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Removes folders, wherever Spark's file systems keep them; what is not there is none."""
     for path in paths:

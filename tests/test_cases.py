@@ -61,6 +61,15 @@ def test_pagerank_hub(spark):
     assert ranks["H.md"] == 1.0 > ranks["A.md"]
 
 
+def test_pagerank_has_one_exchange_a_round(spark, monkeypatch):
+    n = notes(spark, {f"n{k}": [f"n{k * 7 % 40}", "n5"] for k in range(40)})
+    seen, settled = [], graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: (seen.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange ")), settled(df))[1])
+    ranks = graph.pagerank(n, rounds=8, every=4)
+    assert seen[2:] == [4, 4] and spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    assert ranks.where("path = 'n5.md'").first()["rank"] == 1.0
+
+
 def test_incremental_backlinks(spark):
     n = notes(spark, {"A": ["B"], "B": ["C"], "C": []})
     parsed = notes(spark, {"A": ["C"]})
