@@ -110,3 +110,25 @@ def test_an_empty_stream_is_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], ROW).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(ROW).parquet(str(tmp_path / "in"))
     assert streaming.merged(stream, S.keep_last_n(spark, str(tmp_path / "t"), 2)).count() == 0
+
+
+def test_progress_is_summed_before_it_is_merged(spark, tmp_path):
+    """A row a user and note, whatever the batches; nothing is kept in a state store or goes through Python."""
+    rng = random.Random(3)
+    start = datetime(2024, 1, 1)
+    rows = [(e, f"u{rng.randrange(3)}", f"n{rng.randrange(3)}", start + timedelta(hours=rng.randrange(4)), rng.randrange(15000) / 100) for e in range(120)]
+    for k in range(4):
+        spark.createDataFrame(rows[k::4], "event_id long, user string, path string, ts timestamp, amount double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    table = S.progress(spark, str(tmp_path / "t"))
+    query = S.progress_rows(stream).writeStream.foreachBatch(table.add).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len(query.recentProgress) >= 4 and not any(p["stateOperators"] for p in query.recentProgress)
+    want = {}
+    for e, user, path, ts, amount in sorted(rows, key=lambda r: (r[3], r[0])):
+        want[user, path] = (min(amount, 100.0), round(want.get((user, path), (0, 0))[1] + amount, 4), amount >= 95)
+    assert {(r["user"], r["path"]): (r["percent"], r["duration"], r["completed"]) for r in S.progress_told(table.rows()).collect()} == want
+    counts = S.access_counts(spark, str(tmp_path / "n"))
+    for epoch, n in ((0, 2), (1, 3), (1, 3)):
+        counts.add(spark.createDataFrame([("p", start, n), ("p", start, 1)], "path string, ts timestamp, n long"), epoch)
+    assert [r["n"] for r in counts.rows().collect()] == [7]
