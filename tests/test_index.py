@@ -145,3 +145,21 @@ def test_titles_by_edits_and_parts(spark, tmp_path, stored):
         assert {(r["path"], r["tier"]) for r in search.suggest(n, q, 20, index).collect() if r["tier"] < 3} <= want
         assert {r["path"] for r in search._containing(n, q, index).collect()} == {p for p, _ in want}
         assert [r["name"] for r in search.complete(n, q, index).collect()] == sorted({t for t in titles if q in t.lower()}, key=lambda t: (not t.lower().startswith(q), t))[:5]
+
+
+def test_tables_are_written_when_they_are_asked_for(spark, tmp_path):
+    from marginalia.sources.store import Corpus
+
+    docs = spark.range(30).selectExpr("id as doc_id", "concat('word', id, ' the') as text", "'en' as lang", "'s' as source", "5L as n_chars")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    corpus = Corpus(spark, str(tmp_path))
+    assert corpus.notes.count() == 30 and corpus.index.held == []
+    assert {r["n"] for r in corpus.postings.of(["word7"]).groupBy("path").agg(F.count("*").alias("n")).collect()} == {1} and corpus.index.held == ["postings"]
+    assert Corpus(spark, str(tmp_path)).index.held == ["postings"]  # and they stay
+    # a changed input brings rows of what is held; what is asked for later is written for both segments
+    docs.limit(2).selectExpr("doc_id + 100 as doc_id", "text", "lang", "source", "n_chars").write.mode("append").parquet(str(tmp_path / "documents.parquet"))
+    grown = Corpus(spark, str(tmp_path))
+    assert len(grown.index.mark["segments"]) == 2 and grown.index.held == ["postings"] and grown.index.mark["deletes"]
+    told = content(grown.having(*ix.KEYS))
+    assert told == content(Index(spark, str(tmp_path / "full")).commit(grown.whole)) and told["totals"]["docs"] == 32
+    assert content(grown.index.merged(2)) == told
