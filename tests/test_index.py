@@ -163,3 +163,20 @@ def test_tables_are_written_when_they_are_asked_for(spark, tmp_path):
     told = content(grown.having(*ix.KEYS))
     assert told == content(Index(spark, str(tmp_path / "full")).commit(grown.whole)) and told["totals"]["docs"] == 32
     assert content(grown.index.merged(2)) == told
+
+
+def test_postings_of_more_notes_than_are_sorted_at_once(spark, monkeypatch):
+    """Runs end with the note, and positions with null and empty texts are those of plain Python."""
+    held = texts(70, 3) | {"é": "Straße straße ß 12", "none": ""}
+    frame = vault.notes(rows(spark, held)).select("path", "title", "body").union(spark.createDataFrame([("x", None, "a a"), ("y", "b", None)], "path string, title string, body string")).coalesce(1)
+    want = set()
+    for r in frame.collect():
+        title, body = (re.findall(r"[^\W_]+", (t or "").lower()) for t in (r["title"], r["body"]))
+        for field, words, first in (("title", title, 0), ("body", body, len(title))):
+            want |= {(w, r["path"], field, words.count(w), len(words), tuple(first + i for i, x in enumerate(words) if x == w)) for w in words}
+    batches = frame.select("path", search.T.words(F.col("title")).alias("title"), search.T.words(F.col("body")).alias("body")).toArrow().to_batches()
+    monkeypatch.setattr(search, "NOTES_AT_ONCE", 7)
+    cut = [(*(d[c] for c in ("token", "path", "field", "tf", "length")), tuple(d["positions"])) for b in search._placed(iter(batches)) for d in b.to_pylist()]
+    told = [(r["token"], r["path"], r["field"], r["tf"], r["length"], tuple(r["positions"])) for r in search.posting_rows(frame).collect()]
+    assert len(cut) == len(told) == len(want) and set(cut) == set(told) == want
+    assert [r["n"] for r in spark.createDataFrame([("a  b_c İx",), ("",), (None,), ("..",)], "t string").select(search.T.n_words(F.col("t")).alias("n")).collect()] == [len(re.findall(r"[^\W_]+", "a b c i x")), 0, None, 0]
