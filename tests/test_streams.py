@@ -132,3 +132,16 @@ def test_progress_is_summed_before_it_is_merged(spark, tmp_path):
     for epoch, n in ((0, 2), (1, 3), (1, 3)):
         counts.add(spark.createDataFrame([("p", start, n), ("p", start, 1)], "path string, ts timestamp, n long"), epoch)
     assert [r["n"] for r in counts.rows().collect()] == [7]
+
+
+def test_notes_are_streamed_a_bounded_folder_at_a_time(spark, data, monkeypatch):
+    """What the driver lists and keeps at once does not grow with the notes."""
+    from marginalia import catalog
+    from marginalia.sources.vault import derived_vault
+
+    listed, stream = [], S.stream_notes
+    monkeypatch.setattr(streaming, "FILES", 60)
+    monkeypatch.setattr(S, "stream_notes", lambda spark, root: listed.append(sum(1 for p in Path(root).rglob("*.md"))) or stream(spark, root))
+    told = sorted(map(tuple, catalog.QUERIES["stream_notes"](spark, data).collect()))
+    assert told == sorted((r["path"], len(r["raw"])) for r in derived_vault(spark, data).collect())
+    assert sum(listed) == len(told) and len(listed) == 4 and max(listed) < 90
