@@ -20,7 +20,8 @@ Rows that are equal entirely would share a block. Where one occurs more than ``R
 copies are first counted within the tasks that read them; one is encoded, and its result repeated.
 
 Decoding looks ids up in the token-byte table, whose size is the vocabulary's: what a
-broadcast join with it would give, by array index.
+broadcast join with it would give, by array index. Where both are wanted, the task that places a block's
+ids decodes them too, so that it needs one Python worker, not two at once.
 
 The vocabulary is a rank file named by the caller; it is read once and broadcast (tens
 of thousands of entries). Null text counts as empty and gives no ids. Columns other
@@ -113,14 +114,32 @@ def _counted(docs: DataFrame) -> tuple[DataFrame, bool]:
     return rest.unionByName(docs.join(often, same, "left_semi").groupBy("doc_id", "text").agg(F.count("*").alias("n"))), True
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """doc_id and ids, array<int>."""
+def _token_bytes(ranks: dict[bytes, int]) -> tuple[bytes, np.ndarray]:
+    """The bytes of all tokens by id, and where each begins."""
+    tokens = sorted(ranks, key=ranks.get)
+    return b"".join(tokens), np.cumsum([0, *map(len, tokens)])
+
+
+def _decoded(listed: pa.ListArray, table: tuple[bytes, np.ndarray]) -> pa.Array:
+    """The bytes that each list of ids stands for."""
+    data, at = table
+    ids = listed.flatten().to_numpy(zero_copy_only=False)
+    sizes = at[ids + 1] - at[ids]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    text = np.frombuffer(data, np.uint8)[np.repeat(at[ids] - ends[:-1], sizes) + np.arange(ends[-1])]
+    cut = ends[np.concatenate([[0], np.cumsum(listed.value_lengths().fill_null(0).to_numpy())])]
+    return pa.array([text[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, decoding: bool = False) -> DataFrame:
+    """doc_id and ids, array<int>; with ``decoding`` also ``decoded``, the bytes that the ids stand for."""
     spark = docs.sparkSession
     docs, repeated = _counted(docs)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // BLOCK_BYTES) or 1
     n = -(-min(blocks, REGION) // BLOCKS_PER_BUCKET)
     shared = spark.sparkContext.broadcast(ranks)
+    looked_up = spark.sparkContext.broadcast(_token_bytes(ranks)) if decoding else None
     tokens = F.regexp_extract_all("text", F.lit("(?U)" + pattern), F.lit(0))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
     base = docs.select("doc_id", block.alias("block"), "n", tokens.alias("tokens")).mapInArrow(_pack, "doc_id long, block int, n long, z binary, lens binary")
@@ -177,41 +196,34 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str = public_token
             ids = flat[np.repeat(start[word] - ends[:-1], c) + np.arange(ends[-1])]
             offsets = ends[np.concatenate([[0], np.cumsum(part)])].astype(np.int32)
             told = [doc_ids.slice(lo, len(part)).combine_chunks(), copies.slice(lo, len(part)).combine_chunks(), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))]
-            yield pa.RecordBatch.from_arrays(told, ["doc_id", "n", "ids"])
+            more = [_decoded(told[-1], looked_up.value)] if decoding else []
+            yield pa.RecordBatch.from_arrays([*told, *more], schema=schema)
+
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.list_(pa.int32())), *([("decoded", pa.binary())] if decoding else [])])
 
     def reassembled(block: pa.Table, told: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(placed(block, told), pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.list_(pa.int32()))]))
+        return pa.Table.from_batches(placed(block, told), schema)
 
     words = base.groupBy("block").applyInArrow(spoken, "bucket int, block int, words binary, lens binary")
     ids = words.groupBy("bucket").applyInArrow(encoded, "block int, bucket int, ids binary, counts binary")
-    told = base.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(reassembled, "doc_id long, n long, ids array<int>")
+    told = base.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(reassembled, "doc_id long, n long, ids array<int>" + (", decoded binary" if decoding else ""))
     if repeated:  # copies in portions over all tasks
         portions = told.withColumn("from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"), F.lit(REPEATS).cast("long")))).repartition(F.col("doc_id"), F.col("from"))
         told = portions.withColumn("copy", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + REPEATS - 1, F.col("n")))))
-    return told.select("doc_id", "ids")
+    return told.drop("n", "from", "copy")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """The same rows with ``decoded``, the bytes that the ids stand for."""
     encoded = encoded.drop("decoded")
-    tokens = sorted(ranks, key=ranks.get)
-    shared = encoded.sparkSession.sparkContext.broadcast((b"".join(tokens), np.cumsum([0, *map(len, tokens)])))
+    shared = encoded.sparkSession.sparkContext.broadcast(_token_bytes(ranks))
     names = encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, at = shared.value
-        data = np.frombuffer(data, np.uint8)
         for batch in batches:
             for k in range(0, len(batch), 256):
                 part = batch.slice(k, 256)
-                ids = part["ids"].flatten().to_numpy(zero_copy_only=False)
-                sizes = at[ids + 1] - at[ids]
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                text = data[np.repeat(at[ids] - ends[:-1], sizes) + np.arange(ends[-1])]
-                each = part["ids"].value_lengths().fill_null(0).to_numpy()
-                cut = ends[np.concatenate([[0], np.cumsum(each)])]
-                out = pa.array([text[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, out], [*names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, _decoded(part["ids"], shared.value)], [*names, "decoded"])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes)
     return encoded.mapInArrow(run, f"{kinds}, decoded binary")
@@ -220,7 +232,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per document: number of tokens, and hashes of the ids and of the decoded bytes."""
     ranks = read_ranks(path or public_tokenizers.path(VOCABULARY))
-    told = decode(encode(docs, ranks), ranks)
+    told = encode(docs, ranks, decoding=True)
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return told.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

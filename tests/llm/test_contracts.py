@@ -162,6 +162,17 @@ def test_equal_rows_are_encoded_once_and_told_each_time(spark, monkeypatch):
     assert told == {(None, len(bpe.encode_ordinary(text))): 100_000, (5, 0): 70, (6, 2): 2, (5, 2): 1} and sizes == [5]
 
 
+def test_ids_are_decoded_by_the_task_that_places_them(awkward):
+    ranks = byte_bpe.read_ranks(public_tokenizers.path(byte_bpe.VOCABULARY))
+    last = byte_bpe.digests(awkward)._jdf.queryExecution().executedPlan().toString().split("FlatMapCoGroupsInArrow")[0]
+    assert "MapInArrow" not in last  # a second Python worker beside it
+    both = byte_bpe.encode(awkward, ranks, decoding=True)
+    apart = byte_bpe.decode(byte_bpe.encode(awkward, ranks), ranks)
+    rows = lambda df: Counter((r["doc_id"], tuple(r["ids"]), bytes(r["decoded"])) for r in df.collect())
+    assert both.columns == apart.columns == ["doc_id", "ids", "decoded"]
+    assert rows(both) == rows(apart) == Counter((r["doc_id"], ids, (r["text"] or "").encode()) for r in awkward.collect() for ids in [tuple(tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(r["text"] or ""))])
+
+
 # 7 and 10
 def test_language_of_held_out_documents(spark, data, documents):
     told = {r["doc_id"]: r for r in language_id.op7_language_id(spark, data).collect()}
