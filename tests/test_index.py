@@ -180,3 +180,18 @@ def test_postings_of_more_notes_than_are_sorted_at_once(spark, monkeypatch):
     told = [(r["token"], r["path"], r["field"], r["tf"], r["length"], tuple(r["positions"])) for r in search.posting_rows(frame).collect()]
     assert len(cut) == len(told) == len(want) and set(cut) == set(told) == want
     assert [r["n"] for r in spark.createDataFrame([("a  b_c İx",), ("",), (None,), ("..",)], "t string").select(search.T.n_words(F.col("t")).alias("n")).collect()] == [len(re.findall(r"[^\W_]+", "a b c i x")), 0, None, 0]
+
+
+def test_grams_of_stored_notes_take_tags_from_there_and_search_a_text_for_ideographs_once(spark, tmp_path):
+    held = texts(20, 5) | {"cjk": "one 日本語 b 語 x漢 #tag", "none": ""}
+    index = Index(spark, str(tmp_path)).commit(vault.notes(rows(spark, held)), first=[])
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    told, alone = ix.tables(vault.notes(rows(spark, held)), index.rows("notes")), ix.tables(vault.notes(rows(spark, held)))
+    assert "PythonUDF" in plan(alone["grams"]) or "EvalPython" in plan(alone["grams"])
+    for name in ("grams", "links", "titles"):
+        assert "PythonUDF" not in plan(told[name]) and "EvalPython" not in plan(told[name])
+        assert sorted(map(str, told[name].collect())) == sorted(map(str, alone[name].collect()))
+    text = spark.createDataFrame([("one 日本語 b 語 x漢",), (None,), ("",)], "t string")
+    grams = text.select(search.T.ngrams(F.col("t")).alias("g"))
+    assert grams._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 1
+    assert [r["g"] for r in grams.collect()] == [["one", "日本語", "語", "x漢", "日", "本", "語", "語", "漢", "日本", "本語"], None, []]
