@@ -349,3 +349,15 @@ def test_streams_are_drained_without_the_driver(spark, tmp_path):
         one.selectExpr("token", "cast(ts as timestamp) ts", "n", "cast(expires_at as timestamp) expires_at", "max_visits").coalesce(1).write.mode("append").parquet(str(tmp_path / "acc"))
     told = streaming.drained(S.share_budget(spark.readStream.schema(accesses).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "acc"))), "update", ["token"])
     assert {r["token"]: r["visits"] for r in told.collect()} == {"s": 5, "z": 4}
+
+
+@pytest.mark.parametrize("name", ["scan_vault", "export_site"])
+def test_files_of_notes_are_read_by_few_tasks(spark, data, monkeypatch, name):
+    from marginalia.plans import extraction
+    from marginalia.session import setting
+
+    tasks, settled = [], extraction.settled
+    monkeypatch.setattr(extraction, "settled", lambda df: (tasks.append(df.rdd.getNumPartitions()), settled(df))[1])
+    with setting(spark, "spark.sql.files.maxPartitionBytes", str(4 << 20)):
+        assert extraction.Q.queries[name](spark, data).count() == 200
+    assert len(tasks) == 1 and tasks[0] < 20  # 200 with a file a task
