@@ -165,8 +165,9 @@ def _counted(dealt: DataFrame) -> DataFrame:
 def links(fps: DataFrame, tree: int = TREE) -> DataFrame:
     """(a, b): a forest that joins all fingerprints within the radius; ``fps`` has each once."""
     first = _counted(fps.select("fp", F.explode(_shards(F.col("fp"))).alias("shard"), F.lit(-1).cast("long").alias("inner")))
-    inner = F.explode(_shards(_other_bits(F.col("fp"), F.col("shard")), INNER)).alias("inner")
-    again = _counted(first.where(F.col("n") > tree).select("fp", "shard", inner))
+    # the other bits are a column of their own: written out in each shard's number they make a method of more than 64 KB
+    rest = first.where(F.col("n") > tree).select("fp", "shard", _other_bits(F.col("fp"), F.col("shard")).alias("rest"))
+    again = _counted(rest.select("fp", "shard", F.explode(_shards(F.col("rest"), INNER)).alias("inner")))
     parts = F.ceil(F.col("n") / F.lit(tree)).cast("int")
     rows = first.where(F.col("n") <= tree).unionByName(again).withColumn("home", F.pmod(F.xxhash64("fp"), parts).cast("int")).select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     rows = rows.select("shard", "inner", "part", (F.col("home") == F.col("part")).alias("own"), "fp")

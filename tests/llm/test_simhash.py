@@ -9,6 +9,7 @@ import pytest
 import xxhash
 
 from marginalia.llm import simhash
+from marginalia.session import setting
 
 
 @pytest.fixture(scope="module")
@@ -47,6 +48,18 @@ def test_groups_are_those_of_all_pairs(spark, documents, tree, monkeypatch):
     assert {d: c for d, (_, c) in told.items()} == {d: root(d) for d in fps}
 
 
+def test_second_deal_compiles(spark):
+    """Its code must stay below the 64 KB of a method: to compile it in vain took the driver hundreds of MB."""
+    fps = spark.createDataFrame([(0,), (1,), (3,), (7,), (1 << 40,), (-1,)], "fp long")
+    with setting(spark, "spark.sql.codegen.fallback", "false"):
+        pairs = {frozenset(r) for r in simhash.links(fps, 2).where("a <> b").collect()}
+    parent = {r["fp"]: r["fp"] for r in fps.collect()}
+    for _ in parent:
+        for a, b in map(tuple, pairs):
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    assert parent == {0: 0, 1: 0, 3: 0, 7: 0, 1 << 40: 0, -1: -1}
+
+
 def test_long_chains_settle(spark):
     pairs = spark.range(1, 500).selectExpr("id as a", "id - 1 as b")
     assert {r["component"] for r in simhash.components(pairs).collect()} == {0}
