@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, small_batches, table
 
 #: Bytes of text in a block: smaller ones take less memory, and send more words in all.
 BLOCK_BYTES = 12 << 20
@@ -83,13 +83,14 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["block"], batch["n"], pa.array(z, pa.binary()), pa.array(lens, pa.binary())], ["doc_id", "block", "n", "z", "lens"])
 
 
-def _block(docs: pa.Table) -> tuple[list[int], pa.DictionaryArray]:
-    """Pre-tokens of each document, and all of them in a row, by dictionary."""
+def _block(docs: pa.Table) -> tuple[list[int], pa.LargeBinaryArray]:
+    """Numbers of each document's pre-tokens, and all pre-tokens in a row."""
     lens = [_unzip(x, np.uint32) for x in docs["lens"].to_pylist()]
-    ends = np.concatenate([[0], np.cumsum(np.concatenate([*lens, np.zeros(0, np.uint32)]), dtype=np.int64)])
+    each = [len(x) for x in lens]
+    ends = np.zeros(sum(each) + 1, np.int64)
+    np.cumsum(np.concatenate([*lens, np.zeros(0, np.uint32)]), out=ends[1:])
     data = b"".join(_unzip(x) for x in docs["z"].to_pylist())
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)])
-    return [len(x) for x in lens], words.dictionary_encode()
+    return each, pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)])
 
 
 def _by_bucket(words: list[bytes], buckets: int) -> dict[int, list[int]]:
@@ -134,6 +135,7 @@ def _decoded(listed: pa.ListArray, table: tuple[bytes, np.ndarray]) -> pa.Array:
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, decoding: bool = False) -> DataFrame:
     """doc_id and ids, array<int>; with ``decoding`` also ``decoded``, the bytes that the ids stand for."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs, repeated = _counted(docs)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // BLOCK_BYTES) or 1
@@ -145,7 +147,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str = public_token
     base = docs.select("doc_id", block.alias("block"), "n", tokens.alias("tokens")).mapInArrow(_pack, "doc_id long, block int, n long, z binary, lens binary")
 
     def spoken(block: pa.Table) -> pa.Table:
-        words = _block(block)[1].dictionary.to_pylist()
+        words = _block(block)[1].unique().to_pylist()
         buckets = _by_bucket(words, n)
         rows = [_zip(b"".join(words[k] for k in at)) for at in buckets.values()]
         lens = [_zip(np.array([len(words[k]) for k in at], np.uint32)) for at in buckets.values()]
@@ -173,6 +175,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str = public_token
 
     def placed(block: pa.Table, told: pa.Table) -> Iterator[pa.RecordBatch]:
         sizes, words = _block(block)
+        words = words.dictionary_encode()
         buckets = _by_bucket(words.dictionary.to_pylist(), n)
         count = np.zeros(len(words.dictionary), np.int64)
         start = np.zeros(len(words.dictionary), np.int64)

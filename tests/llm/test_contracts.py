@@ -8,12 +8,14 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marginalia.llm import byte_bpe, language_id, licenses, pii, quality_classifier, quality_rules, registry, sharding, simhash, substring_dedup
+from marginalia.llm import byte_bpe, labelled, language_id, licenses, pii, quality_classifier, quality_rules, registry, sharding, simhash, substring_dedup
 from tests.compare import assert_same
 
 LONG = "word " * 30_000
@@ -162,6 +164,42 @@ def test_equal_rows_are_encoded_once_and_told_each_time(spark, monkeypatch):
     assert told == {(None, len(bpe.encode_ordinary(text))): 100_000, (5, 0): 70, (6, 2): 2, (5, 2): 1} and sizes == [5]
 
 
+class FewTexts:
+    """Stands in for a network: no more than so many bytes of text come at once."""
+
+    BOUND = 8 << 20
+
+    def documents(self, texts):
+        texts = list(texts)
+        assert sum(map(len, texts)) <= self.BOUND, sum(map(len, texts))
+        return [np.zeros(1) for _ in texts]
+
+
+def test_whole_texts_come_to_python_in_small_batches(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(3000).coalesce(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 1000).alias("text"))  # 33 MB
+    pack = byte_bpe._pack
+
+    def packed(batches):
+        def small(batch):
+            assert batch.nbytes <= FewTexts.BOUND, batch.nbytes
+            return batch
+
+        return pack(map(small, batches))
+
+    monkeypatch.setattr(byte_bpe, "_pack", packed)
+    ranks = byte_bpe.read_ranks(public_tokenizers.path(byte_bpe.VOCABULARY))
+    for run in (lambda: byte_bpe.encode(docs, ranks).select("doc_id"), lambda: labelled.score(docs, FewTexts()).select("doc_id")):
+        spark.conf.unset(name)
+        assert run().distinct().count() == 3000
+    try:
+        spark.conf.set(name, "8000000")  # the caller's own
+        run()
+        assert spark.conf.get(name) in ("8000000", "8000000b")
+    finally:
+        spark.conf.unset(name)
+
+
 def test_ids_are_decoded_by_the_task_that_places_them(awkward):
     ranks = byte_bpe.read_ranks(public_tokenizers.path(byte_bpe.VOCABULARY))
     last = byte_bpe.digests(awkward)._jdf.queryExecution().executedPlan().toString().split("FlatMapCoGroupsInArrow")[0]
