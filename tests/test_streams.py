@@ -145,3 +145,64 @@ def test_notes_are_streamed_a_bounded_folder_at_a_time(spark, data, monkeypatch)
     told = sorted(map(tuple, catalog.QUERIES["stream_notes"](spark, data).collect()))
     assert told == sorted((r["path"], len(r["raw"])) for r in derived_vault(spark, data).collect())
     assert sum(listed) == len(told) and len(listed) == 4 and max(listed) < 90
+
+
+def test_a_row_is_merged_as_often_as_the_table_doubles(spark, tmp_path, monkeypatch):
+    """Files of one level are folded, not the whole table each time; an earlier mark without levels is read too."""
+    table = StateTable(spark, str(tmp_path / "t"), ["user"], newest(["user"], 100, F.desc("event_id")), buckets=1, fan=2)
+    put, written = table._put, []
+    monkeypatch.setattr(table, "_put", lambda rows, name: (put(rows, name), written.append(spark.read.parquet(f"{table.path}/{name}").count()))[0])
+    seen = []
+    for epoch, rows in enumerate(batches(9, 10)):
+        table.add(spark.createDataFrame(rows, ROW), epoch)
+        seen += rows
+    assert told(table) == sorted(seen, key=str)
+    assert sum(written) - len(seen) <= 10 * (2 + 4 + 2 + 8)  # 10 * (2 + 3 + .. + 9) where all is merged each time
+    mark = json.loads(spark.read.parquet(str(tmp_path / "t" / "marks")).orderBy(F.desc("epoch")).first()["mark"])
+    mark.pop("level")
+    spark.createDataFrame([(json.dumps(mark),)], "mark string").write.mode("overwrite").parquet(f"{table.path}/marks/epoch=8")
+    table.add(spark.createDataFrame(rows := batches(10, 10)[9], ROW), 9)
+    assert told(table) == sorted(seen + rows, key=str)
+
+
+def test_texts_are_dealt_to_buckets_in_one_exchange(spark, tmp_path):
+    table = S.merge_notes(spark, str(tmp_path / "t"))
+    rows = [(f"p{k}", datetime(2024, 1, 1 + k % 3), f"r{k}") for k in range(9)]
+    notes = "path string, mtime timestamp, raw string"
+    assert table._folded(spark.createDataFrame(rows, notes).withColumn("epoch", F.lit(1).cast("long")))._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    table.add(spark.createDataFrame(rows, notes), 0)
+    table.add(spark.createDataFrame([("p1", datetime(2020, 1, 1), "new"), ("p2", datetime(2024, 1, 1), "a"), ("p2", datetime(2024, 1, 2), "b")], notes), 1)
+    assert table.rows().columns == ["path", "mtime", "raw"]
+    assert {r["path"]: r["raw"] for r in table.rows().collect()} == {r[0]: r[2] for r in rows} | {"p1": "new", "p2": "b"}
+
+
+def test_notes_are_listed_by_few_tasks_and_two_folders_at_once(spark, data, monkeypatch):
+    """A batch's files are looked up by a few tasks a core, and the driver lists a folder while another is merged."""
+    from threading import Lock
+
+    from marginalia import catalog
+    from marginalia.sources.vault import derived_vault
+
+    lock, ran, now, most = Lock(), streaming.ran, [], []
+
+    def counted(*given):
+        with lock:
+            now.append(1)
+            most.append(len(now))
+        try:
+            ran(*given)
+        finally:
+            with lock:
+                now.pop()
+
+    monkeypatch.setattr(streaming, "FILES", 60)
+    monkeypatch.setattr(streaming, "ran", counted)
+    name, sc = "spark.sql.sources.parallelPartitionDiscovery.parallelism", spark.sparkContext
+    jobs, was = sc._jsc.sc().dagScheduler().numTotalJobs, spark.conf.get(name)
+    before = jobs()
+    told = sorted(map(tuple, catalog.QUERIES["stream_notes"](spark, data).collect()))
+    assert told == sorted((r["path"], len(r["raw"])) for r in derived_vault(spark, data).collect())
+    assert len(most) == 4 and max(most) == 2 and spark.conf.get(name) == was
+    tracker = sc.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in range(before, jobs()) for s in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) <= 4 * sc.defaultParallelism
