@@ -169,11 +169,15 @@ def test_texts_are_dealt_to_buckets_in_one_exchange(spark, tmp_path):
     table = S.merge_notes(spark, str(tmp_path / "t"))
     rows = [(f"p{k}", datetime(2024, 1, 1 + k % 3), f"r{k}") for k in range(9)]
     notes = "path string, mtime timestamp, raw string"
-    assert table._folded(spark.createDataFrame(rows, notes).withColumn("epoch", F.lit(1).cast("long")))._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert table._folded(spark.createDataFrame(rows, notes).withColumn("epoch", F.lit(1).cast("long")), table.fold)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     table.add(spark.createDataFrame(rows, notes), 0)
     table.add(spark.createDataFrame([("p1", datetime(2020, 1, 1), "new"), ("p2", datetime(2024, 1, 1), "a"), ("p2", datetime(2024, 1, 2), "b")], notes), 1)
     assert table.rows().columns == ["path", "mtime", "raw"]
     assert {r["path"]: r["raw"] for r in table.rows().collect()} == {r[0]: r[2] for r in rows} | {"p1": "new", "p2": "b"}
+    told = table.rows(lambda rows: rows.select("path", "epoch", F.length("raw").alias("chars")))
+    assert {r["path"]: r["chars"] for r in told.collect()} == {f"p{k}": 2 for k in range(9)} | {"p1": 3, "p2": 1}
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("length(raw") > plan.index("Window")  # below it: no text is exchanged
 
 
 def test_notes_are_listed_by_few_tasks_and_two_folders_at_once(spark, data, monkeypatch):
