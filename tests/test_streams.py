@@ -187,12 +187,13 @@ def test_notes_are_listed_by_few_tasks_and_two_folders_at_once(spark, data, monk
     from marginalia import catalog
     from marginalia.sources.vault import derived_vault
 
-    lock, ran, now, most = Lock(), streaming.ran, [], []
+    lock, ran, now, most, cached = Lock(), streaming.ran, [], [], []
 
     def counted(*given):
         with lock:
             now.append(1)
             most.append(len(now))
+            cached.append(spark.conf.get("spark.sql.hive.filesourcePartitionFileCacheSize"))
         try:
             ran(*given)
         finally:
@@ -206,7 +207,7 @@ def test_notes_are_listed_by_few_tasks_and_two_folders_at_once(spark, data, monk
     before = jobs()
     told = sorted(map(tuple, catalog.QUERIES["stream_notes"](spark, data).collect()))
     assert told == sorted((r["path"], len(r["raw"])) for r in derived_vault(spark, data).collect())
-    assert len(most) == 4 and max(most) == 2 and spark.conf.get(name) == was
+    assert len(most) == 4 and max(most) == 2 and spark.conf.get(name) == was and {*cached} == {"0"}
     tracker = sc.statusTracker()
     stages = [tracker.getStageInfo(s) for j in range(before, jobs()) for s in tracker.getJobInfo(j).stageIds]
     assert max(s.numTasks for s in stages if s) <= 4 * sc.defaultParallelism
